@@ -1,15 +1,20 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat_format, decontam, url_filter
+from . import chat_format, decontam, licences, pieces, pii, quality, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontam.query,
+    "op2_classify_quality": quality.query,
+    "op3_encode_pieces": pieces.query,
+    "op4_scan_licences": licences.query,
+    "op5_find_pii": pii.query,
     "op6_filter_urls": url_filter.query,
     "op7_format_chats": chat_format.query,
 }
 
 SQL = {
     "op1_decontaminate": decontam.SQL,
+    "op4_scan_licences": licences.SQL,
     "op6_filter_urls": url_filter.SQL,
     "op7_format_chats": chat_format.SQL,
 }
