@@ -40,8 +40,10 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return runs.groupBy("ws").agg(F.collect_set("item").alias("items"))
 
 
-def find_items(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Each row of documents(doc_id, text): doc_id, n_words, n_hit, items (sorted) and hits (start and length, in words, of each window found)."""
+def find_items(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, keep_key: bool = False) -> DataFrame:
+    """Each row of documents(doc_id, text): doc_id, n_words, n_hit, items (sorted) and hits (start and length, in words, of each window found).
+
+    keep_key adds k1 and k2, which stand for the text."""
     windows = written(item_windows(benchmark, window), "windows")
     size = F.least(F.size("ws"), F.lit(shingle))
     sizes = sorted(r[0] for r in windows.select(size).distinct().collect()) or [shingle]  # at most SHINGLE numbers
@@ -63,13 +65,15 @@ def find_items(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     spots = spots.groupBy("k1", "k2").agg(F.collect_set("spot").alias("spots"))
 
     docs = documents.select("doc_id", "text", *text_key(F.col("text"))).join(spots, ["k1", "k2"], "left")
-    docs = docs.select("doc_id", "spots", words(F.col("text")).alias("dws"))
+    key = ["k1", "k2"] if keep_key else []
+    docs = docs.select("doc_id", *key, "spots", words(F.col("text")).alias("dws"))
     fits = F.filter("spots", lambda s: (s["start"] + F.size(s["ws"]) <= F.size("dws")) & (F.slice("dws", s["start"] + 1, F.size(s["ws"])) == s["ws"]))
-    docs = docs.select("doc_id", F.size("dws").cast("long").alias("n_words"), fits.alias("found"))
+    docs = docs.select("doc_id", *key, F.size("dws").cast("long").alias("n_words"), fits.alias("found"))
     covered = F.array_distinct(F.flatten(F.transform("found", lambda s: F.sequence(s["start"], s["start"] + F.size(s["ws"]) - 1))))
     none = F.array()
     return docs.select(
         "doc_id",
+        *key,
         "n_words",
         F.when(F.col("found").isNotNull(), F.size(covered)).otherwise(0).cast("long").alias("n_hit"),
         F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda s: s["items"])))), none.cast("array<string>")).alias("items"),
@@ -77,6 +81,14 @@ def find_items(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     )
 
 
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of documents that hold no window of the benchmark; all columns stay."""
+    found = find_items(documents.select("doc_id", "text"), benchmark, keep_key=True)
+    bad = found.filter("n_hit > 0").select("k1", "k2").distinct().withColumnsRenamed({"k1": "bad_k1", "k2": "bad_k2"})
+    keyed = documents.withColumns(dict(zip(("_k1", "_k2"), text_key(F.col("text")), strict=True)))
+    return keyed.join(bad, (F.col("_k1") == F.col("bad_k1")) & (F.col("_k2") == F.col("bad_k2")), "left_anti").select(*documents.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
