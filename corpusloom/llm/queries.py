@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import ann, chat_format, decontam, licences, near_dups, pieces, pii, quality, url_filter
+from . import ann, chat_format, decontam, licences, near_dups, pieces, pii, quality, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontam.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_find_pii": pii.query,
     "op6_filter_urls": url_filter.query,
     "op7_format_chats": chat_format.query,
+    "op8_remove_repeats": suffix_dedup.query,
     "op9_near_duplicates": near_dups.query,
     "op10_nearest_vectors": ann.query,
 }
