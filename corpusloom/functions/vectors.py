@@ -16,7 +16,8 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Null where a vector is zero; held within [-1, 1]."""
-    return F.least(F.greatest(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(-1.0)), F.lit(1.0))
+    c = F.try_divide(dot(a, b), norm(a) * norm(b))
+    return F.when(c > 1, 1.0).when(c < -1, -1.0).otherwise(c)
 
 
 def unit(a: Column) -> Column:

@@ -48,7 +48,7 @@ def similar_pairs(rows: DataFrame, threshold: float, row_id: str, k: int | None
     left = packed.select("mine", "rows", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     both = left.join(packed.select(F.col("mine").alias("other"), F.col("rows").alias("others")), "other")
 
-    def matched(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def matched(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for rs, os in zip(pdf["rows"], pdf["others"], strict=True):
             a, b = (np.array([np.asarray(r["v"]) for r in x]) for x in (rs, os))
@@ -161,7 +161,7 @@ def thinned_edges(scored: DataFrame, budget: int, cap: int, focus: str | None =
         new = written(left.join(good, "_o", "left_semi"), "taken")
         if new.isEmpty():
             break
-        taken = new if taken is None else taken.union(new)
+        taken = new if taken is None else taken.unionByName(new)
         used = taken.select(F.col("src").alias("slug")).union(taken.select("dst")).groupBy("slug").agg(F.count(F.lit(1)).alias("used")).withColumn("free", room - F.col("used")).filter("free <= 0").select("slug")
         rest = left.join(good, "_o", "left_anti").join(used.withColumnRenamed("slug", "src"), "src", "left_anti").join(used.withColumnRenamed("slug", "dst"), "dst", "left_anti")
         left = written(rest, "left")
