@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontam, near_dups, pieces, pii, quality
-from corpusloom.llm.common import shared_dir, table
+from corpusloom.llm.common import shared_dir, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows of docs outside the held-out fourth; drops what the model rejects."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "_score").filter(F.col("_score") >= quality.GOOD).select(*docs.columns)
+    name = unused(docs, "score")
+    return quality.score(docs, model, name).filter(F.col(name) >= quality.GOOD).select(*docs.columns)
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(docs, name="_pii").withColumn("text", pii.redact("text", "_pii"))
+    name = unused(docs, "pii")
+    found = pii.find_pii(docs, name=name).withColumn("text", pii.redact("text", name))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)

@@ -47,3 +47,17 @@ def ascii_lower(c: Column) -> Column:
 def words(text: Column) -> Column:
     """The lower-cased words of a text; an empty array for null."""
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(df: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
+    """df with the two columns of text_key added under names that it doesn't have, and those names."""
+    names = [unused(df, "_k1"), unused(df, "_k2")]
+    return df.withColumns(dict(zip(names, text_key(F.col(text)), strict=True))), names

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_key, words, written
+from .common import keyed, table, text_key, words, written
 
 WINDOW, SHINGLE = 10, 3
 
@@ -84,9 +84,9 @@ def find_items(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents that hold no window of the benchmark; all columns stay."""
     found = find_items(documents.select("doc_id", "text"), benchmark, keep_key=True)
-    bad = found.filter("n_hit > 0").select("k1", "k2").distinct().withColumnsRenamed({"k1": "bad_k1", "k2": "bad_k2"})
-    keyed = documents.withColumns(dict(zip(("_k1", "_k2"), text_key(F.col("text")), strict=True)))
-    return keyed.join(bad, (F.col("_k1") == F.col("bad_k1")) & (F.col("_k2") == F.col("bad_k2")), "left_anti").select(*documents.columns)
+    docs, key = keyed(documents)
+    bad = found.filter("n_hit > 0").select("k1", "k2").distinct().toDF(*key)
+    return docs.join(bad, key, "left_anti").select(*documents.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

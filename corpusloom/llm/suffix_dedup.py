@@ -21,8 +21,6 @@ doc_id; runs of one byte and long texts take linear time; an empty table gives n
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -299,22 +297,3 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"),
     )
 
-
-def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
-    """n_bytes, n_removed, n_spans, kept_sha256 of each text, from a dictionary of all strings: for tests."""
-    data = [(t or "").encode() for t in texts]
-    seen: dict[bytes, int] = {}
-    for b in data:
-        for i in range(len(b) - length + 1):
-            key = hashlib.blake2b(b[i : i + length], digest_size=12).digest()
-            seen[key] = seen.get(key, 0) + 1
-    out = []
-    for b in data:
-        gone = bytearray(len(b))
-        for i in range(len(b) - length + 1):
-            if seen[hashlib.blake2b(b[i : i + length], digest_size=12).digest()] > 1:
-                gone[i : i + length] = b"\1" * length
-        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
-        out.append((len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
-    return out
