@@ -168,6 +168,27 @@ def thinned_edges(scored: DataFrame, budget: int, cap: int, focus: str | None =
     return taken.orderBy(F.desc("_o")).limit(budget).select(*scored.columns)
 
 
+def reconcile(documents: DataFrame, vectors: DataFrame, key: str = "slug") -> tuple[DataFrame, DataFrame]:
+    """The keys that both sides have, and those of one side only with the side that lacks them; none in common is an error."""
+    left, right = documents.select(key).distinct(), vectors.select(key).distinct()
+    both = left.join(right, key, "left_semi")
+    if both.isEmpty():
+        raise ValueError("no key is on both sides")
+    odd = left.join(right, key, "left_anti").withColumn("missing_in", F.lit("vectors")).union(right.join(left, key, "left_anti").withColumn("missing_in", F.lit("documents")))
+    return both, odd
+
+
+def summary(nodes: DataFrame, explicit: DataFrame, semantic: DataFrame, focused: bool = False) -> DataFrame:
+    """(what, n): nodes, edges of both kinds, and whether semantic edges have to be thinned for drawing (1 or 0)."""
+    kinds = [("nodes", nodes), ("explicit_edges", explicit), ("semantic_edges", semantic)]
+    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n") for what, df in kinds]
+    counts = rows[0].union(rows[1]).union(rows[2])
+    low, most, each = (7_000, 12_000, 6) if focused else (10_000, 18_000, 12)
+    held = counts.groupBy().pivot("what", [k for k, _ in kinds]).agg(F.first("n"))
+    budget = F.least(F.lit(most), F.greatest(F.lit(low), F.col("nodes") * each))
+    return counts.union(held.select(F.lit("condensed"), (F.col("semantic_edges") > budget).cast("long")))
+
+
 def node_radius(nodes: DataFrame) -> DataFrame:
     """nodes(slug, degree) with radius: a square-root scale from 4.5 to 13 over [0, greatest degree]."""
     top = nodes.agg(F.greatest(F.max("degree"), F.lit(1)).alias("top"))

@@ -268,6 +268,11 @@ def chunk_sections(spark, sf_dir):
     return chunking.chunk_sections(rows, ["doc_id"]).select("doc_id", "chunk_index", "chunk_id", "chunk_text")
 
 
+@query("select item_id, sha256(encode('7') || unhex('00') || encode(text)) as cache_key from benchmark")
+def cache_keys(spark, sf_dir):
+    return _t(spark, sf_dir, "benchmark").select("item_id", tx.cache_key(F.col("text"), F.lit(7)).alias("cache_key"))
+
+
 # --- entries ---------------------------------------------------------------------------------------------------------
 
 _SECTIONS = f"""s as (select cast(conv_id as varchar) as slug, turn, role, {_norm_sql('text')} as t from conversations),
@@ -402,6 +407,19 @@ def node_degrees(spark, sf_dir):
     return graph.degrees(nodes, graph.induced(e, nodes))
 
 
+@query(f"with {_EDGES}, v as (select distinct slug from u), p as (select 'p' || p_partkey as slug from part where p_size > 10) select slug, 'vectors' as missing_in from v where slug not in (select slug from p) union all select slug, 'documents' from p where slug not in (select slug from v)")
+def reconcile_slugs(spark, sf_dir):
+    parts = _t(spark, sf_dir, "part").filter("p_size > 10").select(F.concat(F.lit("p"), "p_partkey").alias("slug"))
+    return graph.reconcile(graph.undirected(_edges(spark, sf_dir)), parts)[1]
+
+
+@query(f"with {_FULL}, c as (select (select count(*) from f) as n, (select count(*) from i) as e, (select count(*) from embeddings) as s) select unnest(['nodes', 'explicit_edges', 'semantic_edges', 'condensed']) as what, unnest([n, e, s, cast(s > least(18000, greatest(10000, n * 12)) as bigint)]) as n from c")
+def graph_summary(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    nodes = graph.well_linked(e)
+    return graph.summary(nodes, graph.induced(e, nodes), _t(spark, sf_dir, "embeddings"))
+
+
 _HOP = f"{_EDGES}, h1 as (select 's1' as slug union select neighbor from u where slug = 's1'), h2 as (select slug from h1 union select neighbor from u where slug in (select slug from h1))"
 
 
@@ -527,6 +545,12 @@ def resolve_label(spark, sf_dir):
     return rows.groupBy("r.label", "r.source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("select c_name as entry_slug, c_mktsegment as entry_title, c_name as url, cast(null as varchar) as subdiscipline from customer where c_custkey % 2 = 0")
+def label_work_list(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("entry_slug"), F.col("c_mktsegment").alias("entry_title"), F.col("c_name").alias("url"), F.when(F.col("c_custkey") % 2 == 1, "Logic").alias("subdiscipline"))
+    return classify.work_list(rows, only_missing=True)
+
+
 # --- tables ----------------------------------------------------------------------------------------------------------
 
 

@@ -78,7 +78,7 @@ def test_snippet_ids_labels(spark):
 def test_urls(spark):
     urls = ["https://h.org/entries/truth/?x=1#2", "http://h.org/entries/truth", "http://h.org/other/truth", "http://h.org/entries/a/b", None]
     assert column(spark, tx.entry_url, urls) == ["https://h.org/entries/truth/", "http://h.org/entries/truth/", None, None, None]
-    assert column(spark, lambda c: tx.url_parameter(c, "sep"), ["http://h/e?sep=kant&x=1", "http://h/e?sep=", "http://h/e", "not a url %%"]) == ["kant", None, None, None]
+    assert column(spark, lambda c: tx.url_parameter(c, "id"), ["http://h/e?id=kant&x=1", "http://h/e?id=", "http://h/e", "not a url %%"]) == ["kant", None, None, None]
     heads = column(spark, tx.heading_parts, ["2.3. On  Truth", "Truth", "1 A"])
     assert [tuple(h) for h in heads] == [("2.3", "On Truth"), ("", "Truth"), ("1", "A")]
 
