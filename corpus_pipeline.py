@@ -47,7 +47,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of the text and how many there are; lossless: is the text what the ids decode to?"""
-    back = pieces.decode_pieces(pieces.encode_texts(docs.select("doc_id", "text")))
+    back = pieces.encode_texts(docs.select("doc_id", "text"), decoded="decoded")
     return back.select("doc_id", "pieces", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 

@@ -18,23 +18,27 @@ from __future__ import annotations
 import re
 from functools import cache
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
 #: The public model's place, the share of skipped merges, the seed, and how many ways there are to cut one unit.
 MODEL, DROPOUT, SEED, VARIANTS = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17, 4
 
-#: Units that a task remembers; the memory is emptied when it is full.
-REMEMBERED = 800_000
+#: Units that a task remembers, and those of them, the first ones, that stay when its memory is full.
+REMEMBERED, KEPT = 200_000, 50_000
 
-#: Characters of text that a task works on together; longer units have their own agenda.
-GROUP, LONGEST = 4_000_000, 64
+#: Characters of text, and units, that a task works on together; longer units have their own agenda.
+GROUP, TOGETHER, LONGEST = 1_000_000, 8_000, 64
 
 #: No candidate; no symbol.
 NONE, GONE = 1 << 20, -(1 << 40)
@@ -209,12 +213,14 @@ class Encoder:
     def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         self.v, self.dropout, self.seed = vocabulary(path), dropout, seed
         self.variants = variants if dropout else 1
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[tuple[str, int], int] = {}
         self.ids, self.begins = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def _forget(self) -> None:
+        self.known = dict(islice(self.known.items(), KEPT))
+        self.begins = self.begins[: len(self.known) + 1].copy()
+        self.ids = self.ids[: self.begins[-1]].copy()
+
     def _variants(self, text: str, n: int) -> list[int]:
         if self.variants == 1:
             return [0] * n
@@ -230,10 +236,13 @@ class Encoder:
         for text in texts:
             units = _UNITS.findall(" " + text) if text else []  # the model's own leading space
             places.append([known.setdefault(key, len(known)) for key in zip(units, self._variants(text, len(units)), strict=True)] if units else [])
-        if new := list(known)[old:]:
-            made, sizes = encode_units(self.v, new, self.dropout, self.seed)
-            self.ids = np.concatenate([self.ids, made])
-            self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
+        new = list(islice(known, old, None))
+        made, sizes = [self.ids], [np.zeros(0, np.int64)]
+        for at in range(0, len(new), TOGETHER):
+            ids, n = encode_units(self.v, new[at : at + TOGETHER], self.dropout, self.seed)
+            made.append(ids)
+            sizes.append(n)
+        self.ids, self.begins = np.concatenate(made), np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.concatenate(sizes))])
         return [None if t is None else self._joined(np.array(p, np.int64)) for t, p in zip(texts, places, strict=True)]
 
     def _joined(self, place: np.ndarray) -> np.ndarray:
@@ -242,18 +251,6 @@ class Encoder:
         return self.ids[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
 
-def _groups(texts: list):
-    """texts in groups of about GROUP characters."""
-    group, size = [], 0
-    for t in texts:
-        if group and size + len(t or "") > GROUP:
-            yield group
-            group, size = [], 0
-        group.append(t)
-        size += len(t or "")
-    yield group
-
-
 def decode_ids(v: Vocabulary, ids) -> str | None:
     """The text of ids; the leading space that encoding adds is dropped."""
     if ids is None:
@@ -262,31 +259,60 @@ def decode_ids(v: Vocabulary, ids) -> str | None:
     return text[1:] if text[:1] == " " else text
 
 
-def encode_texts(documents: DataFrame, text: str = "text", name: str = "pieces", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """documents with the ids of each text's pieces added, as an array<int>."""
+def encode_texts(documents: DataFrame, text: str = "text", name: str = "pieces", decoded: str | None = None, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """documents with the ids of each text's pieces added, as an array<int>, and, if named, the text that they decode to.
+
+    Rows pass as Arrow batches and leave in slices of about GROUP characters, so a task holds little beside its batch.
+    """
+    documents = documents.drop(name, *([decoded] if decoded else []))
+    schema = T.StructType([*documents.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
+    place = documents.columns.index(text)
 
     def encoded(batches):
         encoder = Encoder(model, dropout, seed)
-        for texts in batches:
-            yield pd.Series([ids for group in _groups(texts.tolist()) for ids in encoder.encode(group)], dtype=object)
+        for batch in batches:
+            for part in _slices(batch, place):
+                ids = encoder.encode(part.column(place).to_pylist())
+                columns = [*part.columns, _lists(ids)]
+                if decoded:
+                    columns.append(pa.array([decode_ids(encoder.v, x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return documents.mapInArrow(encoded, schema)
+
+
+def _slices(batch: pa.RecordBatch, place: int):
+    """The batch in slices of whole rows with about GROUP characters of text each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        base = size[at - 1] if at else 0
+        end = max(int(np.searchsorted(size, base + GROUP)), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
 
-    return documents.withColumn(name, F.pandas_udf(encoded, "array<int>", F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+def _lists(ids: list) -> pa.Array:
+    sizes = [0 if x is None else len(x) for x in ids]
+    flat = np.concatenate([np.zeros(0, np.int32), *[x for x in ids if x is not None]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat), mask=pa.array([x is None for x in ids], pa.bool_()))
 
 
 def decode_pieces(rows: DataFrame, pieces: str = "pieces", name: str = "decoded", model: str = MODEL) -> DataFrame:
     """rows with the text of an array of ids added."""
 
-    def decoded(batches):
+    @F.pandas_udf(T.StringType())
+    def text_of(ids: pd.Series) -> pd.Series:
         v = vocabulary(model)
-        for ids in batches:
-            yield pd.Series([decode_ids(v, x) for x in ids.tolist()], dtype=object)
+        return pd.Series([decode_ids(v, x) for x in ids.tolist()], dtype=object)
 
-    return rows.withColumn(name, F.pandas_udf(decoded, "string", F.PandasUDFType.SCALAR_ITER)(F.col(pieces)))
+    return rows.withColumn(name, text_of(F.col(pieces)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = decode_pieces(encode_texts(documents))
+    back = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     return back.select(
         "doc_id",
         F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"),
