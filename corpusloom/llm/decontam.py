@@ -83,7 +83,8 @@ def find_items(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents that hold no window of the benchmark; all columns stay."""
-    found = find_items(documents.select("doc_id", "text"), benchmark, keep_key=True)
+    # A table of its own: a filter on n_hit would else be pushed below, and the words be worked out anew for each place.
+    found = written(find_items(documents.select("doc_id", "text"), benchmark, keep_key=True).select("k1", "k2", "n_hit"), "contaminated")
     docs, key = keyed(documents)
     bad = found.filter("n_hit > 0").select("k1", "k2").distinct().toDF(*key)
     return docs.join(bad, key, "left_anti").select(*documents.columns)
