@@ -11,10 +11,12 @@ with one digest go by the smallest of their names; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, table, text_key
+from .common import table, text_key
 
 #: Short licences and the usual one-line notices. Further ones come from a table known(license, text).
 KNOWN = [
@@ -38,26 +40,42 @@ STEPS = [
     (r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*", r"\1"),
     (r"[^a-z0-9]+", " "),
     (r"\b(licence|licenses|licences)\b", "license"),
-    (r"\b(licenced|sublicence)\b", "licensed"),
-    (r"\b(organisation)\b", "organization"),
-    (r"\b(ver|v) ([0-9])", r"version \2"),
+    (r"\blicenced\b", "licensed"),
+    (r"\borganisation\b", "organization"),
     (r"\bnon commercial\b", "noncommercial"),
     (r"\bcopyright owner\b", "copyright holder"),
-    (r"^ +| +$", ""),
 ]
+#: What a text holds if the first step, or any after the second, can change it.
+_FIRST, _LATER = ["copyright", "(c)", "©"], ["licenc", "licenses", "organisation", "non commercial", "copyright owner"]
+
+#: No step changes so many of the first letters and digits of a notice.
+_HEAD = 3
+
+
+def _any(c: Column, marks: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(m)) for m in marks])
+
 
+def with_digest(rows: DataFrame, text: str, name: str = "digest", empty: str = "") -> DataFrame:
+    """rows with the digest of the text's canonical form in place of the text; `empty` where that form is empty.
 
-def canonical(text: Column) -> Column:
-    c = ascii_lower(F.coalesce(text, F.lit("")))
-    for pattern, put in STEPS:
-        c = F.regexp_replace(c, pattern, put.replace("\\", "$"))
-    return c
+    The steps are columns of their own, so that each is worked out once and only where it can change the text. The digest
+    is never null: a join would else filter on it, and the filter, pushed below, repeat the steps many times.
+    """
+    c = F.col(text)
+    rows = rows.withColumn(text, F.lower(F.coalesce(c, F.lit(""))))
+    for guard, steps in ((_FIRST, STEPS[:1]), (None, STEPS[1:2]), (_LATER, STEPS[2:])):
+        done = c
+        for pattern, put in steps:
+            done = F.regexp_replace(done, pattern, put.replace("\\", "$"))
+        rows = rows.withColumn(text, F.when(_any(c, guard), done).otherwise(c) if guard else done)
+    rows = rows.withColumn(text, F.trim(c))
+    return rows.withColumn(name, F.coalesce(F.when(c != "", F.sha2(c, 256)), F.lit(empty))).drop(*({text} - {name}))
 
 
-def digest(text: Column) -> Column:
-    """Of the canonical form; null where that is empty."""
-    c = canonical(text)
-    return F.when(c != "", F.sha2(c, 256))
+def _head(c: Column) -> Column:
+    """The first letters and digits."""
+    return F.coalesce(F.regexp_replace(F.regexp_extract(F.lower(c), rf"[a-z0-9](?:[^a-z0-9]*[a-z0-9]){{0,{_HEAD - 1}}}", 0), "[^a-z0-9]", ""), F.lit(""))
 
 
 def known_licences(spark, rows=KNOWN) -> DataFrame:
@@ -66,12 +84,15 @@ def known_licences(spark, rows=KNOWN) -> DataFrame:
 
 def scan(documents: DataFrame, known: DataFrame) -> DataFrame:
     """Each row of documents(doc_id, text): doc_id, digest (of its canonical form), license (null if it isn't one) and notices (sorted)."""
-    digests = known.select("license", digest(F.col("text")).alias("digest")).filter("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
-    lines = documents.select(*text_key(F.col("text")), F.explode(F.split("text", "\n")).alias("line")).filter("line != ''")
-    notices = lines.select("k1", "k2", digest(F.col("line")).alias("digest")).join(digests, "digest").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("license")).alias("notices"))
-    whole = documents.select("doc_id", *text_key(F.col("text")), digest(F.col("text")).alias("digest"))
+    known = known.select("license", "text", _head(F.regexp_replace(F.lower("text"), STEPS[0][0], "$1")).alias("head"))
+    heads = known.select("head").distinct()
+    digests = with_digest(known, "text", empty="none").groupBy("digest").agg(F.min("license").alias("license"))
+    lines = documents.select(*text_key(F.col("text")), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).withColumn("head", _head(F.col("line")))
+    lines = with_digest(lines.join(heads, "head", "left_semi").select("k1", "k2", "line"), "line")
+    notices = lines.join(digests, "digest").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("license")).alias("notices"))
+    whole = with_digest(documents.select("doc_id", *text_key(F.col("text")), "text"), "text")
     found = whole.join(digests, "digest", "left").join(notices, ["k1", "k2"], "left")
-    return found.select("doc_id", "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    return found.select("doc_id", F.nullif("digest", F.lit("")).alias("digest"), "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -83,10 +104,10 @@ def _sql() -> str:
         return "'" + s.replace("'", "''") + "'"
 
     def c(text: str) -> str:
-        text = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
+        text = f"lower(coalesce({text}, ''))"
         for pattern, put in STEPS:
             text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(put)}, 'g')"
-        return text
+        return f"trim({text})"
 
     known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in KNOWN)
     return f"""
