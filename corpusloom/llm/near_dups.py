@@ -3,10 +3,12 @@
 A text is a weighted set of shingles of five words (a shorter one is a single shingle). A shingle's weight is its count in
 the text times a damped inverse document frequency; document frequencies of all shingles of the corpus come from a
 count-min sketch of fixed size, summed over all documents. BANDS * ROWS consistent weighted samples make BANDS keys;
-texts that share a key are candidates. Exact copies count as one text from the start. A bucket's texts meet its least
-text only; then the classes that still share a bucket meet through their first and last texts, all of them in small
-buckets and by changing leaders in large ones. So there are never more than a few pairs for each text, however large a
-bucket. Every pair is verified by weighted Jaccard similarity, and linked texts form classes.
+texts that share a key are candidates. Exact copies count as one text from the start. A bucket's texts first meet its
+least text; then the classes that still share a bucket meet through their first and last texts, all of them in small
+buckets and by changing leaders in large ones. That joins most classes at a few pairs for each text. What is left, the
+texts of buckets that still hold several classes, meets by an exact join: two texts of different classes are compared if
+they share a shingle that any two similar texts must share (see `prefixes`), so no pair of a bucket that is similar
+enough is passed over. Every pair is verified by weighted Jaccard similarity, and linked texts form classes.
 
 Cases: a null text is an empty one; texts without words are near-duplicates of equal texts only; equal texts are one class
 whatever their doc_id, null included; long texts are taken whole; an empty table gives no rows; other columns are ignored.
@@ -29,9 +31,12 @@ WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 10, 3
 #: How far rarity raises a weight: from 1 for a shingle of every text to 1 + IDF for one of a single text.
 IDF = 0.25
 
-#: Counters in each of the two rows of the sketch; buckets of so many texts or less are compared in full; rounds of leaders.
+#: Counters in each of the two rows of the sketch; in buckets of so many classes or less all meet at once; rounds of leaders.
 WIDTH, SMALL, ROUNDS = 1 << 20, 24, 3
 
+#: Classes of one shingle that a block of the exact join holds.
+BLOCK = 256
+
 #: Bits of a shingle's hash that are kept, so that text and shingle fit into 64 bits.
 _BITS = np.uint64(44)
 
@@ -173,6 +178,27 @@ def similarity(texts: list, others: list, frequency: Frequencies) -> np.ndarray:
     return found
 
 
+def prefixes(texts: list, frequency: Frequencies, threshold: float):
+    """For each text: its weight, its rarest shingles, and how many of them count where the other text is as heavy or heavier.
+
+    Similar texts a and b, a not the heavier, have in common at least threshold * weight(b), and 2 * threshold /
+    (1 + threshold) * weight(a). With all shingles in one order, rarest first, each text keeps its first ones until the
+    rest weighs less than that. If the kept shingles had none in common, all that the texts share would be in the rest of
+    one of them, which is too little.
+    """
+    for _, many, owner, shingle, count in shingles(texts):
+        rarity = frequency.weight(shingle)
+        order = np.lexsort((shingle, -rarity, owner))
+        shingle, w = shingle[order], (count * rarity.astype(float))[order]
+        cut = np.searchsorted(owner, np.arange(many + 1))
+        for i in range(many):
+            mine = w[cut[i] : cut[i + 1]]
+            rest = np.cumsum(mine[::-1])[::-1]  # of a shingle and those after it
+            total = rest[0] if len(rest) else 0.0
+            heavy, light = (int((rest >= share * total * (1 - 1e-9)).sum()) for share in (threshold, 2 * threshold / (1 + threshold)))
+            yield total, shingle[cut[i] : cut[i] + heavy].view(np.int64), light
+
+
 def near_classes(documents: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """Each row of documents(doc_id, text): doc_id, k1, k2 (which stand for its text), class_id (the least doc_id of the class),
     c1, c2 (the text of that document; exactly one text stands for a class) and class_size (rows)."""
@@ -234,6 +260,37 @@ def near_classes(documents: DataFrame, threshold: float = SIMILAR) -> DataFrame:
             links = links.unionByName(more)
             roots = written(components(links), "roots")
 
+    # Texts of buckets with several classes, by the shingles that two similar texts must share.
+    def marked(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                rows = [(*key, weight, shingle, k < light) for key, (weight, kept, light) in zip(part[["t1", "t2", "r1", "r2"]].itertuples(index=False, name=None), prefixes(part["text"].tolist(), frequency.value, threshold), strict=True) for k, shingle in enumerate(kept.tolist())]
+                yield pd.DataFrame(rows, columns=["t1", "t2", "r1", "r2", "weight", "shingle", "light"])
+
+    placed = buckets.select("band", "key", "t").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    left = placed.join(mixed, ["band", "key"], "left_semi").select("t", "root").distinct()
+    left = bodies.join(left, "t").select(F.col("t.k1").alias("t1"), F.col("t.k2").alias("t2"), F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2"), "text")
+    marks = left.mapInPandas(marked, "t1 long, t2 long, r1 long, r2 long, weight double, shingle long, light boolean")
+    marks = written(marks.select(F.struct(F.col("t1").alias("k1"), F.col("t2").alias("k2")).alias("t"), F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2")).alias("root"), "weight", "shingle", "light"), "marks")
+    # Classes meet first, so that texts of one class never meet, and in blocks, so that no shingle makes a large task.
+    classes = marks.groupBy("shingle", "root").agg(F.max("light").alias("light"))
+    blocks = classes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max("light").alias("some")).filter("n > 1 and some").select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    classes = classes.join(blocks, "shingle").withColumn("mine", F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int")).withColumn("all", F.expr("sequence(0, blocks - 1)"))
+    some = classes.filter("light").select("shingle", F.col("root").alias("root_a"), F.col("mine").alias("block_a"), F.explode("all").alias("block_b"))
+    others = classes.select("shingle", F.col("root").alias("root_b"), F.explode("all").alias("block_a"), F.col("mine").alias("block_b"))
+    meeting = some.join(others, ["shingle", "block_a", "block_b"]).filter("root_a <> root_b").select("shingle", "root_a", "root_b")
+    one = marks.filter("light").select("shingle", F.col("root").alias("root_a"), F.col("t").alias("a"), F.col("weight").alias("weight_a"))
+    other = marks.select("shingle", F.col("root").alias("root_b"), F.col("t").alias("b"), F.col("weight").alias("weight_b"))
+    fit = (F.col("weight_a") <= F.col("weight_b") * (1 + 1e-9)) & (F.col("weight_a") >= F.col("weight_b") * threshold * (1 - 1e-9))
+    pairs = meeting.join(one, ["shingle", "root_a"]).join(other, ["shingle", "root_b"]).filter(fit)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "last-pairs")
+    more = written(verified(pairs), "last-links")
+    if not more.isEmpty():
+        roots = written(components(links.unionByName(more)), "roots")
+
     labelled = rows.select("doc_id", t).join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     labelled = written(labelled.select("doc_id", "t", "root"), "labelled")
     named = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t")).alias("first"), F.count(F.lit(1)).alias("class_size"))

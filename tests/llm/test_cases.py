@@ -151,6 +151,34 @@ def test_near_duplicates(spark, odd, none):
     assert near_dups.near_classes(none).count() == 0
 
 
+def test_near_duplicates_in_a_crowded_bucket(spark):
+    passage = " ".join(f"common{i}" for i in range(170))
+    texts = [f"{passage} {' '.join(f'pair{p}x{i}' for i in range(16))} {' '.join(f'own{p}y{k}y{i}' for i in range(14))}" for p in range(200) for k in range(2)]
+    found = {r["doc_id"]: r["class_id"] for r in near_dups.near_classes(documents(spark, *enumerate(texts))).collect()}
+    frequency = near_dups.frequencies(documents(spark, *enumerate(texts)))
+    twins = near_dups.similarity(texts[::2], texts[1::2], frequency)
+    assert near_dups.similarity(texts[1:-1:2], texts[2::2], frequency).max() < near_dups.SIMILAR <= twins.min()
+    assert found == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_prefixes_of_similar_texts_meet():
+    r = np.random.default_rng(3)
+    texts = []
+    for _ in range(60):
+        words = [f"w{k}" for k in r.integers(0, 300, r.integers(20, 120))]
+        cut = [*words]
+        for k in r.integers(0, len(words), r.integers(0, 4)):
+            cut[k] = "other"
+        texts += [" ".join(words), " ".join(cut[: len(cut) - r.integers(0, 10)])]
+    frequency = near_dups.Frequencies(r.integers(1, 9, (2, 1 << 10)), 9)
+    kept = list(near_dups.prefixes(texts, frequency, 0.8))
+    similar = near_dups.similarity(texts[::2], texts[1::2], frequency)
+    for k in np.flatnonzero(similar >= 0.8).tolist():
+        (_, a, light), (_, b, _) = sorted(kept[2 * k : 2 * k + 2], key=lambda x: x[0])
+        assert set(a[:light].tolist()) & set(b.tolist())
+    assert (similar >= 0.8).sum() > 10 < (similar < 0.8).sum()
+
+
 def test_sampling_estimates_weighted_jaccard():
     texts = [" ".join(f"w{i}" for i in range(a, a + 400)) for a in (0, 40)]
     frequency = near_dups.Frequencies(np.ones((2, 1 << 10), np.int64), 2)
