@@ -34,7 +34,7 @@ _DIGITS = re.compile(r"[0-9]+")
 _IBAN = re.compile(r"[\x20:#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
 _ACCOUNT = re.compile(r"(?:\x20(?:no\.?|number|nr\.?))?[\x20:#=]{0,3}([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])")
 _SSN = re.compile(r"[\x20:#=]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
-_LOGIN = re.compile(r"([^\s/@:]+:[^\s/@]+)@")
+_LOGIN = re.compile(r"([^\s/@:]++:[^\s/@]++)@")  # stops at a "/", so that the next "://" begins behind it
 _CUES = {"iban": ["IBAN", "iban", "Iban"], "account": ["account", "Account", "ACCOUNT", "acct", "Acct"], "ssn": ["SSN", "ssn", "social security number"]}
 
 
@@ -92,7 +92,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
             if (m := _PHONE.match(text, last)) and 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 found.append(("phone", last, m.end()))
         elif what == "scheme":
-            if m := _LOGIN.match(text, last + 1, last + 300):
+            if m := _LOGIN.match(text, last + 1):
                 found.append(("login", m.start(1), m.end(1)))
         elif m := {"iban": _IBAN, "account": _ACCOUNT, "ssn": _SSN}[what].match(text, last + 1):
             if what != "iban":

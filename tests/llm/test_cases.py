@@ -83,6 +83,13 @@ def test_pii(odd, none):
     assert [s for s in pii.spans(digits) if s[0] != "phone"] == []
 
 
+def test_long_login():
+    secret = "me:" + "ey!" * 2000
+    assert ("login", 8, 8 + len(secret)) in pii.spans(f"https://{secret}@localhost/x")
+    many = "http://a:b" * 100_000
+    assert not [s for s in pii.spans(many) if s[0] == "login"]
+
+
 def test_urls(spark):
     urls = ["http://a.com/x", "http://COM/x", "http://a.com", "http://example.com/en/1", "http://m.example.com/en/1", "http://www.example.com/en/", "ftp://x.net/es/?q", "http://a.net/fr/", "http://a.net/de/1/?utm_source=x&b=1#f", "https://www.a.net/de/1?b=1", "nonsense", None]
     pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, host string")
