@@ -3,9 +3,10 @@
 Reads the pieces of a public BPE model with byte fallback (its path is a parameter; nothing is trained). A text is cut
 into units, a run of spaces with the word after it: no piece joins two units. Within a unit an agenda holds all
 candidate merges, best piece first, then leftmost; a popped candidate is skipped where a hash keyed by the seed, the
-unit, its variant and the candidate's place falls below `dropout`. The variant of each unit of a text is a hash of the
-seed, the text and the place, modulo VARIANTS; so segmentations vary from place to place and from text to text, a rerun
-or a retried task gives the same ones, and a task can reuse those that it has made. dropout 0 is plain BPE.
+unit, its occurrence and the candidate's place falls below `dropout`. The occurrence is a hash of the seed, the text and
+the unit's place in it; so each occurrence is drawn on its own, and a rerun or a retried task gives the same ids. A task
+remembers each unit's plain ids and the merges that lead to them: an occurrence that skips none of these is plain, and
+only the others run an agenda of their own. dropout 0 is plain BPE.
 
 Decoding is lossless: characters without a piece, and U+2581 itself (the model's mark for a space), become byte pieces.
 
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 
 from .common import table
 
-#: The public model's place, the share of skipped merges, the seed, and how many ways there are to cut one unit.
-MODEL, DROPOUT, SEED, VARIANTS = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17, 4
+#: The public model's place, the share of skipped merges and the seed.
+MODEL, DROPOUT, SEED = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17
 
 #: Units that a task remembers, and those of them, the first ones, that stay when its memory is full.
 REMEMBERED, KEPT = 200_000, 50_000
@@ -89,7 +90,19 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_unit(v: Vocabulary, unit: str, variant: int, dropout: float, seed: int) -> list[int]:
+def _key(unit: str, occurrence: int, seed: int) -> int:
+    """What the skips of one occurrence of a unit depend on."""
+    return xxhash.xxh64_intdigest(unit, seed) ^ occurrence * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+
+
+def _skipped(key: np.ndarray, merge: np.ndarray, limit: np.uint64) -> np.ndarray:
+    """Whether each merge, by its place, is skipped."""
+    h = (key ^ merge) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ h >> np.uint64(32)) < limit
+
+
+def encode_unit(v: Vocabulary, unit: str, occurrence: int, dropout: float, seed: int) -> list[int]:
     """The ids of one unit (spaces, then a word)."""
     if unit == SPACE:
         return v.fallback(SPACE)
@@ -99,7 +112,7 @@ def encode_unit(v: Vocabulary, unit: str, variant: int, dropout: float, seed: in
     agenda = [(rank[s[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if s[i : i + 2] in rank]
     heapify(agenda)
     limit = int(dropout * (1 << 64))
-    key = xxhash.xxh64_intdigest(unit, seed * 1_000_003 + variant) if limit and agenda else 0
+    key = _key(unit, occurrence, seed)
     while agenda:
         _, left, right, end = heappop(agenda)
         if ends[left] != right or ends[right] != end:
@@ -128,9 +141,9 @@ def encode_unit(v: Vocabulary, unit: str, variant: int, dropout: float, seed: in
     return ids
 
 
-def encode_units(v: Vocabulary, units: list[tuple[str, int]], dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """encode_unit for many (unit, variant), as all ids in a row and how many each has: the agendas of all short units
-    advance together, one candidate each a round."""
+def encode_units(v: Vocabulary, units: list[tuple[str, int]], dropout: float, seed: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """encode_unit for many (unit, occurrence), as all ids in a row and how many each has: the agendas of all short units
+    advance together, one candidate each a round. merges, if given, gets arrays of the units and places of the merges made."""
     texts = [u.replace(" ", SPACE) for u, _ in units]
     flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     sizes = np.array([len(t) for t in texts])
@@ -142,7 +155,7 @@ def encode_units(v: Vocabulary, units: list[tuple[str, int]], dropout: float, se
     symbol = v.char_ids[np.minimum(flat, len(v.char_ids) - 1)]
     symbol = np.where(symbol < 0, -1 - flat.astype(np.int64), symbol)  # no piece: the character itself, to fall back on bytes
     limit = np.uint64(int(dropout * (1 << 64)))
-    key = np.array([xxhash.xxh64_intdigest(u, seed * 1_000_003 + k) for u, k in units] if limit else [0] * len(units), np.uint64)
+    key = np.array([_key(u, k, seed) for u, k in units] if limit else [0] * len(units), np.uint64)
 
     def candidates(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The piece that each pair makes and its rank; NONE where it makes none."""
@@ -170,11 +183,11 @@ def encode_units(v: Vocabulary, units: list[tuple[str, int]], dropout: float, se
         unit, start, symbol, made, rank, pick = unit[rest], start[rest], symbol[rest], made[rest], rank[rest], pick[rest]
         at = np.flatnonzero(pick)
         ends = np.where(np.append(unit[1:], -1) == unit, np.append(start[1:], 0), sizes[unit])
+        place = (start[at] << 40 | start[at + 1] << 20 | ends[at + 1]).astype(np.uint64)
+        if merges is not None:
+            merges.append((unit[at], place))
         if limit:
-            h = (key[unit[at]] ^ (start[at] << 40 | start[at + 1] << 20 | ends[at + 1]).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            skipped = h ^ h >> np.uint64(32)
-            skipped = skipped < limit
+            skipped = _skipped(key[unit[at]], place, limit)
             rank[at[skipped]] = NONE
             at = at[~skipped]
         if not len(at):
@@ -210,45 +223,75 @@ def encode_units(v: Vocabulary, units: list[tuple[str, int]], dropout: float, se
 class Encoder:
     """Encodes texts, and remembers at most about REMEMBERED units."""
 
-    def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED):
         self.v, self.dropout, self.seed = vocabulary(path), dropout, seed
-        self.variants = variants if dropout else 1
-        self.known: dict[tuple[str, int], int] = {}
+        self.limit = np.uint64(int(dropout * (1 << 64)))
+        self.known: dict[str, int] = {}
+        # Of each known unit: its plain ids, its plain merges, its hash, and whether it is too long for its merges to be kept.
         self.ids, self.begins = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.merges, self.firsts = np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        self.hashes, self.long = np.zeros(0, np.uint64), np.zeros(0, bool)
 
     def _forget(self) -> None:
         self.known = dict(islice(self.known.items(), KEPT))
-        self.begins = self.begins[: len(self.known) + 1].copy()
-        self.ids = self.ids[: self.begins[-1]].copy()
+        n = len(self.known)
+        self.begins, self.firsts, self.hashes, self.long = self.begins[: n + 1].copy(), self.firsts[: n + 1].copy(), self.hashes[:n].copy(), self.long[:n].copy()
+        self.ids, self.merges = self.ids[: self.begins[-1]].copy(), self.merges[: self.firsts[-1]].copy()
 
-    def _variants(self, text: str, n: int) -> list[int]:
-        if self.variants == 1:
-            return [0] * n
+    def _occurrences(self, text: str, n: int) -> np.ndarray:
         h = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(xxhash.xxh64_intdigest(text, self.seed))
         h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        return ((h >> np.uint64(40)) % np.uint64(self.variants)).tolist()
+        return h ^ h >> np.uint64(32)
+
+    def _learn(self, new: list[str]) -> None:
+        """The plain ids and merges of new units."""
+        for at in range(0, len(new), TOGETHER):
+            units, merges = new[at : at + TOGETHER], [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+            ids, sizes = encode_units(self.v, [(u, 0) for u in units], 0, self.seed, merges)
+            unit, place = (np.concatenate(x) for x in zip(*merges, strict=True))
+            self.ids, self.begins = np.concatenate([self.ids, ids]), np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
+            self.merges = np.concatenate([self.merges, place[np.argsort(unit, kind="stable")]])
+            self.firsts = np.concatenate([self.firsts, self.firsts[-1] + np.cumsum(np.bincount(unit, minlength=len(units)))])
+            self.hashes = np.concatenate([self.hashes, np.array([_key(u, 0, self.seed) for u in units], np.uint64)])
+            self.long = np.concatenate([self.long, np.array([len(u) > LONGEST for u in units], bool)])
+
+    def _varied(self, place: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+        """The occurrences that skip one of their unit's plain merges."""
+        first = self.firsts[place]
+        n = self.firsts[place + 1] - first
+        owner = np.repeat(np.arange(len(place)), n)
+        merge = self.merges[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        key = self.hashes[place] ^ occurrence * np.uint64(0x9E3779B97F4A7C15)
+        found = self.long[place]
+        found[owner[_skipped(key[owner], merge, self.limit)]] = True
+        return np.flatnonzero(found)
 
     def encode(self, texts: list) -> list:
         """The ids of each text; None for None."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        known, old, places = self.known, len(self.known), []
+        known, old, units, sizes, drawn = self.known, len(self.known), [], [], []
         for text in texts:
-            units = _UNITS.findall(" " + text) if text else []  # the model's own leading space
-            places.append([known.setdefault(key, len(known)) for key in zip(units, self._variants(text, len(units)), strict=True)] if units else [])
-        new = list(islice(known, old, None))
-        made, sizes = [self.ids], [np.zeros(0, np.int64)]
-        for at in range(0, len(new), TOGETHER):
-            ids, n = encode_units(self.v, new[at : at + TOGETHER], self.dropout, self.seed)
-            made.append(ids)
-            sizes.append(n)
-        self.ids, self.begins = np.concatenate(made), np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.concatenate(sizes))])
-        return [None if t is None else self._joined(np.array(p, np.int64)) for t, p in zip(texts, places, strict=True)]
-
-    def _joined(self, place: np.ndarray) -> np.ndarray:
-        begin = self.begins[place]
-        size = self.begins[place + 1] - begin
-        return self.ids[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            mine = _UNITS.findall(" " + text) if text else []  # the model's own leading space
+            units += mine
+            sizes.append(len(mine))
+            if self.limit and mine:
+                drawn.append(self._occurrences(text, len(mine)))
+        place = np.array([known.setdefault(u, len(known)) for u in units], np.int64)
+        self._learn(list(islice(known, old, None)))
+        begin, size, ids = self.begins[place], self.begins[place + 1] - self.begins[place], [self.ids]
+        if drawn:
+            occurrence = np.concatenate(drawn)
+            varied, end = self._varied(place, occurrence), len(self.ids)
+            for at in range(0, len(varied), TOGETHER):
+                some = varied[at : at + TOGETHER]
+                made, n = encode_units(self.v, [(units[i], k) for i, k in zip(some.tolist(), occurrence[some].tolist(), strict=True)], self.dropout, self.seed)
+                begin[some], size[some] = end + np.cumsum(n) - n, n
+                ids.append(made)
+                end += len(made)
+        flat = np.concatenate(ids)[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        ends = np.append(0, np.cumsum(size))[np.cumsum(sizes, dtype=np.int64)]
+        return [None if t is None else x for t, x in zip(texts, np.split(flat, ends[:-1]), strict=True)] if texts else []
 
 
 def decode_ids(v: Vocabulary, ids) -> str | None:

@@ -66,6 +66,23 @@ def test_pieces(odd, none):
     assert pieces.encode_texts(none).count() == 0
 
 
+def test_each_occurrence_is_drawn_on_its_own():
+    text, v = " wonderful" * 4000, pieces.vocabulary(pieces.MODEL)
+    (ids,) = pieces.Encoder(dropout=0.1).encode([text])
+    cuts, unit, at = [], [], 0
+    for i in ids.tolist():
+        unit.append(i)
+        at += len(v.texts[i])
+        if at % 10 == 1 and at > 1:  # the model's own space comes first
+            cuts.append(tuple(unit))
+            unit = []
+    assert len(set(cuts)) > 4
+    encoder = pieces.Encoder(dropout=0.1)
+    units = pieces._UNITS.findall(" " + text)
+    one_by_one = [i for u, k in zip(units, encoder._occurrences(text, len(units)).tolist(), strict=True) for i in pieces.encode_unit(v, u, k, 0.1, pieces.SEED)]
+    assert ids.tolist() == one_by_one
+
+
 def test_licences(spark, none):
     mit = licences.KNOWN[11][1]
     rows = [(1, "Copyright (c) 2020 Me\n\n" + mit.upper().replace(".", " ;")), (2, "x\nreleased under the MIT licence\nLicensed under CC BY-NC 4.0."), (3, None), (4, ""), (5, LONG), (5, LONG), (6, "...")]
