@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of ASCII letters, digits and anything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, in lower-cased text: a word is a run of ASCII letters, digits and anything beyond ASCII.
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -18,12 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Only where that is unset (tests on one machine) a local one."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not set_to:
-        set_to = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", set_to)
-    return set_to.rstrip("/")
+    """The folder in spark.checkpoint.dir, which all executors share."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """At the end of a task: returns the memory that its Python worker has freed, as workers stay for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text: rows with equal texts share it, whatever their doc_id. Null counts as empty."""
     text = F.coalesce(text, F.lit(""))
@@ -46,7 +56,7 @@ def ascii_lower(c: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The lower-cased words of a text; an empty array for null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), BETWEEN_WORDS), ""), F.array().cast("array<string>"))
 
 
 def unused(df: DataFrame, name: str) -> str:

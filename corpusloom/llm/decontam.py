@@ -3,11 +3,13 @@
 A window is WINDOW consecutive words of an item; an item of fewer words, but not none, is one window. Windows and
 documents are taken as sets of shingles (SHINGLE consecutive words, or all words of a shorter window). A document that
 contains a window contains all its shingles, so the necessary prefix of a window is one shingle: the one that is rarest
-in the corpus. Its hits, with their positions, give the only places where the window can stand; places that don't fit
-into the document are dropped (length and position bounds) and the rest is compared word by word.
+in the corpus (of equally rare ones that of the smallest hash). A first pass counts the windows' shingles in the corpus; a
+second one joins the prefixes only. Their hits, with their positions, give the only places where a window can stand;
+places that don't fit into the document are dropped (length and position bounds) and the rest is compared word by word,
+beside the document's words: no text is shuffled.
 
 Only DataFrame expressions are used. Cases: null texts have no words; rows with a null item_id or text are no items;
-an empty benchmark or corpus gives clean documents or no rows; equal texts get equal results, whatever their doc_id, and
+very long texts are taken whole; an empty benchmark or corpus gives clean documents or no rows; equal texts get equal results, whatever their doc_id, and
 each row of the input has its row in the result; other columns of the inputs are ignored.
 """
 
@@ -20,6 +22,9 @@ from .common import keyed, table, text_key, words, written
 
 WINDOW, SHINGLE = 10, 3
 
+#: So many windows at most (some 200 bytes each) are sent to all tasks; beyond that they meet the corpus by a shuffled join.
+BROADCAST = 200_000
+
 
 def _shingles(ws: Column, sizes: list[int]) -> Column:
     """(hash, at) of all runs of each size in ws."""
@@ -32,6 +37,17 @@ def _shingles(ws: Column, sizes: list[int]) -> Column:
     return F.concat(*[of(n) for n in sizes])
 
 
+def _places(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """docs(k1, k2, dws) -> k1, k2, dws, shingle, at: all runs of each size in dws. Rows of words are hashed by generated code, other than arrays."""
+    n = max(sizes)
+    grams = F.arrays_zip(*[F.slice("dws", k + 1, F.size("dws")) for k in range(n)])
+    rows = docs.select("k1", "k2", "dws", F.posexplode(grams).alias("at", "g"))
+    ws = [F.col("g")[str(k)] for k in range(n)]
+    made = [F.when(ws[m - 1].isNotNull(), F.xxhash64(F.lit(m), *ws[:m])) for m in sizes]
+    rows = rows.select("k1", "k2", "dws", "at", (made[0] if len(made) == 1 else F.explode(F.array(*made))).alias("shingle"))
+    return rows.filter("shingle is not null")
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """benchmark(item_id, text) -> each different window: its words ws and the items (as strings) that hold it."""
     ws = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
@@ -49,27 +65,25 @@ def find_items(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     sizes = sorted(r[0] for r in windows.select(size).distinct().collect()) or [shingle]  # at most SHINGLE numbers
     of_size = F.coalesce(*[F.when(size == n, _shingles(F.col("ws"), [n])) for n in sizes])
     parts = written(windows.select("ws", "items", F.explode(of_size).alias("s")).select("ws", "items", "s.*"), "window-shingles")
+    small = (lambda df: F.broadcast(df)) if windows.count() <= BROADCAST else (lambda df: df)
 
-    # Every place of the corpus where a shingle of any window stands.
-    places = documents.select(*text_key(F.col("text")), words(F.col("text")).alias("dws")).select("k1", "k2", F.explode(_shingles(F.col("dws"), sizes)).alias("s")).select("k1", "k2", "s.*")
-    hits = written(places.join(parts.select("shingle").distinct(), "shingle"), "shingle-hits")
-
-    # The rarest shingle of each window: its necessary prefix.
-    rarity = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    ranked = parts.join(rarity, "shingle", "left").groupBy("ws", "items").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "at")).alias("p"))
-    prefix = ranked.filter("p.n > 0").select("ws", "items", F.col("p.shingle").alias("shingle"), F.col("p.at").alias("off"))
+    # How often each shingle of a window stands in the corpus: added up in each task before anything is shuffled.
+    docs = documents.select(*text_key(F.col("text")), words(F.col("text")).alias("dws"))
+    places = _places(docs, sizes)
+    rarity = places.select("shingle").join(small(parts.select("shingle").distinct()), "shingle").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
 
-    # Where a window can stand; copies of a text share their places.
+    # The rarest shingle of each window that the corpus may hold is its necessary prefix; only prefixes meet the corpus.
+    ranked = parts.join(written(rarity, "rarity"), "shingle", "left").groupBy("ws", "items").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "at")).alias("p"))
+    prefix = written(ranked.filter("p.n > 0").select("ws", "items", F.col("p.shingle").alias("shingle"), F.col("p.at").alias("off")), "prefixes")
     start = F.col("at") - F.col("off")
-    spots = hits.join(prefix, "shingle").filter(start >= 0).select("k1", "k2", F.struct(start.alias("start"), "ws", "items").alias("spot"))
-    spots = spots.groupBy("k1", "k2").agg(F.collect_set("spot").alias("spots"))
+    fits = (start >= 0) & (start + F.size("ws") <= F.size("dws")) & (F.slice("dws", F.greatest(start, F.lit(0)) + 1, F.size("ws")) == F.col("ws"))
+    spots = places.join(small(prefix), "shingle").filter(fits)
+    spots = spots.select("k1", "k2", F.struct(start.alias("start"), F.size("ws").alias("length"), "items").alias("spot"))
+    found = written(spots.groupBy("k1", "k2").agg(F.collect_set("spot").alias("found")), "places")  # copies of a text share theirs
 
-    docs = documents.select("doc_id", "text", *text_key(F.col("text"))).join(spots, ["k1", "k2"], "left")
     key = ["k1", "k2"] if keep_key else []
-    docs = docs.select("doc_id", *key, "spots", words(F.col("text")).alias("dws"))
-    fits = F.filter("spots", lambda s: (s["start"] + F.size(s["ws"]) <= F.size("dws")) & (F.slice("dws", s["start"] + 1, F.size(s["ws"])) == s["ws"]))
-    docs = docs.select("doc_id", *key, F.size("dws").cast("long").alias("n_words"), fits.alias("found"))
-    covered = F.array_distinct(F.flatten(F.transform("found", lambda s: F.sequence(s["start"], s["start"] + F.size(s["ws"]) - 1))))
+    docs = documents.select("doc_id", *text_key(F.col("text")), F.size(words(F.col("text"))).cast("long").alias("n_words")).join(found, ["k1", "k2"], "left")
+    covered = F.array_distinct(F.flatten(F.transform("found", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
     none = F.array()
     return docs.select(
         "doc_id",
@@ -77,7 +91,7 @@ def find_items(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         "n_words",
         F.when(F.col("found").isNotNull(), F.size(covered)).otherwise(0).cast("long").alias("n_hit"),
         F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda s: s["items"])))), none.cast("array<string>")).alias("items"),
-        F.coalesce(F.transform("found", lambda s: F.struct(s["start"].alias("start"), F.size(s["ws"]).alias("length"))), none.cast("array<struct<start:int,length:int>>")).alias("hits"),
+        F.coalesce(F.transform("found", lambda s: F.struct(s["start"], s["length"])), none.cast("array<struct<start:int,length:int>>")).alias("hits"),
     )
 
 
