@@ -1,44 +1,49 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles.
 
 A text is a weighted set of shingles of five words (a shorter one is a single shingle). A shingle's weight is its count in
-the text times a damped inverse document frequency; document frequencies of all shingles of the corpus come from a
-count-min sketch of fixed size, summed over all documents. BANDS * ROWS consistent weighted samples make BANDS keys;
-texts that share a key are candidates. Exact copies count as one text from the start. A bucket's texts first meet its
-least text; then the classes that still share a bucket meet through their first and last texts, all of them in small
-buckets and by changing leaders in large ones. That joins most classes at a few pairs for each text. What is left, the
-texts of buckets that still hold several classes, meets by an exact join: two texts of different classes are compared if
-they share a shingle that any two similar texts must share (see `prefixes`), so no pair of a bucket that is similar
-enough is passed over. Every pair is verified by weighted Jaccard similarity, and linked texts form classes.
+the text times a damped inverse document frequency; document frequencies come from a count-min sketch over all documents.
+What counts is the share of documents that hold a shingle, down to RARE; the sketch's error, as a share of documents, is
+the mean number of shingles of a text / WIDTH, so weights come out alike in a small and in a large corpus.
+
+BANDS * ROWS consistent weighted samples make BANDS keys; texts that share a key are candidates. Exact copies count as one
+text from the start. A bucket's texts first meet its least text, which joins most classes at one pair for each text. The
+texts of buckets that still hold several classes meet by an exact prefix-filtered join: two texts of different classes are
+compared if they share a shingle that any two similar texts must share (see `prefixes`), so no similar pair of a bucket is
+passed over. Each text's pairs that share most are compared first; those that are of one class by then need no comparison
+any more. Every link is verified by weighted Jaccard similarity; linked texts form classes.
 
 Cases: a null text is an empty one; texts without words are near-duplicates of equal texts only; equal texts are one class
-whatever their doc_id, null included; long texts are taken whole; an empty table gives no rows; other columns are ignored.
+whatever their doc_id, null included; long texts are taken whole (a shingle's count in a text is kept up to 2 ** 20 - 1);
+among equally rare shingles the order is that of their hashes; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, table, text_key, unused, written
+from .common import give_back, keyed, table, text_key, unused, written
 from .components import components
 from .text_arrays import WORD_BYTES, chunks, hashes, lowered, mix, runs
 
 #: Words of a shingle, similarity of near-duplicates, keys of a text, samples of a key.
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 10, 3
 
-#: How far rarity raises a weight: from 1 for a shingle of every text to 1 + IDF for one of a single text.
-IDF = 0.25
+#: How far rarity raises a weight: from 1 for a shingle of every text to 1 + IDF for one that a share of RARE or less holds.
+IDF, RARE = 0.25, 1 / 512
 
-#: Counters in each of the two rows of the sketch; in buckets of so many classes or less all meet at once; rounds of leaders.
-WIDTH, SMALL, ROUNDS = 1 << 20, 24, 3
+#: Counters in each of the two rows of the sketch, blocks in which they travel, tasks whose blocks are added up together.
+WIDTH, BLOCKS, FAN_IN = 1 << 20, 64, 1024
 
-#: Classes of one shingle that a block of the exact join holds.
-BLOCK = 256
+#: Classes of one shingle that a block of the exact join holds; how many of a text's pairs are compared before the others.
+BLOCK, WAVES = 256, (4, 64)
 
-#: Bits of a shingle's hash that are kept, so that text and shingle fit into 64 bits.
-_BITS = np.uint64(44)
+#: Bits of a shingle's hash that are kept, so that text and shingle, or shingle and count, fit into 64 bits.
+_BITS, _COUNT = np.uint64(44), np.uint64(20)
+_MOST = np.uint64((1 << 20) - 1)
 
 
 def shingles(texts: list, n: int = WORDS):
@@ -72,47 +77,52 @@ class Frequencies:
     """The sketch of the document frequencies of a corpus' shingles."""
 
     def __init__(self, counts: np.ndarray, documents: int):
-        n = max(documents, 1)
-        rarity = np.log((n + 1) / np.clip(counts, 1, n)) / np.log(n + 1)
-        self.weights = (1 + IDF * rarity).astype(np.float32)
+        share = np.clip(counts / max(documents, 1), RARE, 1)
+        self.counts = np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
+        self.weights = (1 + IDF * np.log(share) / np.log(RARE)).astype(np.float32)
 
     def weight(self, shingle: np.ndarray) -> np.ndarray:
-        """The largest of the two cells' weights: the smaller count."""
+        """The larger of the two cells' weights: the smaller count."""
         a, b = _cells(shingle, self.weights.shape[1])
         return np.maximum(self.weights[0][a], self.weights[1][b])
 
+    def count(self, shingle: np.ndarray) -> np.ndarray:
+        a, b = _cells(shingle, self.weights.shape[1])
+        return np.minimum(self.counts[0][a], self.counts[1][b])
+
 
 def frequencies(documents: DataFrame, width: int = WIDTH) -> Frequencies:
-    """Of all shingles of documents(text). Tasks send blocks of counters; the sum, 2 * WIDTH numbers whatever the corpus, comes to the driver."""
-    blocks = 64
+    """Of all shingles of documents(text). Tasks send blocks of counters, which are added up in a tree; the sum, 2 * WIDTH numbers whatever the corpus, comes to the driver."""
 
     def counted(batches):
-        total, n = np.zeros((2, width), np.int64), 0
+        total, n = np.zeros((2, width), np.int32), 0
         for pdf in batches:
             n += len(pdf)
             for _, _, _, shingle, _ in shingles(pdf["text"].tolist()):
                 for row, cell in enumerate(_cells(shingle, width)):
-                    total[row] += np.bincount(cell, minlength=width)
+                    cell, many = np.unique(cell, return_counts=True)
+                    total[row, cell] += many.astype(np.int32)
+        task = TaskContext.get().partitionId()
         for row in range(2):
-            for k, part in enumerate(np.split(total[row], blocks)):
+            for k, part in enumerate(np.split(total[row], BLOCKS)):
                 if part.any():
-                    yield pd.DataFrame({"row": [row], "block": [k], "counts": [part.astype(np.int32).tobytes()], "n": [0]})
-        yield pd.DataFrame({"row": [-1], "block": [0], "counts": [b""], "n": [n]})
-
-    def summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if key[0] < 0:
-            return pd.DataFrame({"row": [-1], "block": [0], "counts": [b""], "n": [pdf["n"].sum()]})
-        total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"row": [key[0]], "block": [key[1]], "counts": [total.tobytes()], "n": [0]})
-
-    shape = "row int, block int, counts binary, n long"
-    found = documents.select("text").mapInPandas(counted, shape).groupBy("row", "block").applyInPandas(summed, shape)
-    counts, documents_n = np.zeros((2, width), np.int64), 0
+                    yield pd.DataFrame({"task": [task], "row": [row], "block": [k], "counts": [part.astype(np.int64).tobytes()], "n": [0]})
+        yield pd.DataFrame({"task": [task], "row": [-1], "block": [0], "counts": [b""], "n": [n]})
+        give_back()
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
+        return pdf.iloc[:1].assign(task=pdf["task"].iloc[0] // FAN_IN, counts=[total.tobytes()], n=[pdf["n"].sum()])
+
+    shape = "task int, row int, block int, counts binary, n long"
+    found = documents.select("text").mapInPandas(counted, shape)
+    found = found.groupBy("row", "block", F.floor(F.col("task") / FAN_IN)).applyInPandas(lambda pdf: summed(pdf), shape)
+    found = found.groupBy("row", "block").applyInPandas(lambda pdf: summed(pdf), shape)
+    counts, documents_n, size = np.zeros((2, width), np.int64), 0, width // BLOCKS
     for r in found.collect():
         if r["row"] < 0:
             documents_n = r["n"]
         else:
-            size = width // blocks
             counts[r["row"], r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
     return Frequencies(counts, documents_n)
 
@@ -160,43 +170,53 @@ class Sampler:
         return out
 
 
-def similarity(texts: list, others: list, frequency: Frequencies) -> np.ndarray:
-    """Weighted Jaccard similarity of each text with its partner; 0 where one has no words."""
-    found = np.zeros(len(texts))
-    mixed = [t for pair in zip(texts, others, strict=True) for t in pair]
-    sides: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for first, many, owner, shingle, count in shingles(mixed):
-        w = count * frequency.weight(shingle).astype(float)
+def packed(texts: list, frequency: Frequencies):
+    """The weight of each text and its shingles with their counts, sorted, as one array of 64-bit numbers."""
+    for _, many, owner, shingle, count in shingles(texts):
         cut = np.searchsorted(owner, np.arange(many + 1))
+        total = np.append(0, np.cumsum(count * frequency.weight(shingle).astype(float)))[cut]
+        both = shingle << _COUNT | np.minimum(count.astype(np.uint64), _MOST)
         for i in range(many):
-            sides[first + i] = shingle[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]]
-            if (first + i) % 2:
-                (a, v), (b, u) = sides.pop(first + i - 1), sides.pop(first + i)
-                _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-                both = np.minimum(v[x], u[y]).sum()
-                found[(first + i) // 2] = both / (v.sum() + u.sum() - both) if len(a) and len(b) else 0.0
-    return found
+            yield total[i + 1] - total[i], both[cut[i] : cut[i + 1]]
 
 
-def prefixes(texts: list, frequency: Frequencies, threshold: float):
-    """For each text: its weight, its rarest shingles, and how many of them count where the other text is as heavy or heavier.
+def similar(a: np.ndarray, weight_a: float, b: np.ndarray, weight_b: float, frequency: Frequencies) -> float:
+    """Weighted Jaccard similarity of two packed texts; 0 where one has no words."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.minimum(np.searchsorted(b >> _COUNT, a >> _COUNT), len(b) - 1)
+    hit = np.flatnonzero(b[at] >> _COUNT == a >> _COUNT)
+    x, y = a[hit], b[at[hit]]
+    both = float((np.minimum(x & _MOST, y & _MOST) * frequency.weight(x >> _COUNT).astype(float)).sum())
+    return both / (weight_a + weight_b - both)
+
+
+def similarity(texts: list, others: list, frequency: Frequencies) -> np.ndarray:
+    """Weighted Jaccard similarity of each text with its partner; 0 where one has no words."""
+    return np.array([similar(a, v, b, w, frequency) for (v, a), (w, b) in zip(packed(texts, frequency), packed(others, frequency), strict=True)])
+
+
+def prefixes(items: list[np.ndarray], frequency: Frequencies, threshold: float):
+    """For each packed text: its rarest shingles, the weight of each, and how many of them count where the other text is as heavy or heavier.
 
     Similar texts a and b, a not the heavier, have in common at least threshold * weight(b), and 2 * threshold /
     (1 + threshold) * weight(a). With all shingles in one order, rarest first, each text keeps its first ones until the
     rest weighs less than that. If the kept shingles had none in common, all that the texts share would be in the rest of
     one of them, which is too little.
     """
-    for _, many, owner, shingle, count in shingles(texts):
-        rarity = frequency.weight(shingle)
-        order = np.lexsort((shingle, -rarity, owner))
-        shingle, w = shingle[order], (count * rarity.astype(float))[order]
-        cut = np.searchsorted(owner, np.arange(many + 1))
-        for i in range(many):
-            mine = w[cut[i] : cut[i + 1]]
-            rest = np.cumsum(mine[::-1])[::-1]  # of a shingle and those after it
-            total = rest[0] if len(rest) else 0.0
-            heavy, light = (int((rest >= share * total * (1 - 1e-9)).sum()) for share in (threshold, 2 * threshold / (1 + threshold)))
-            yield total, shingle[cut[i] : cut[i] + heavy].view(np.int64), light
+    for x in items:
+        shingle = x >> _COUNT
+        order = np.lexsort((shingle, frequency.count(shingle)))
+        shingle = shingle[order]
+        w = (x[order] & _MOST) * frequency.weight(shingle).astype(float)
+        rest = np.cumsum(w[::-1])[::-1]  # of a shingle and those after it
+        total = rest[0] if len(rest) else 0.0
+        heavy, light = (int((rest >= share * total * (1 - 1e-9)).sum()) for share in (threshold, 2 * threshold / (1 + threshold)))
+        yield shingle[:heavy].view(np.int64), w[:heavy], light
+
+
+def _t(a: str, b: str, name: str) -> Column:
+    return F.struct(F.col(a).alias("k1"), F.col(b).alias("k2")).alias(name)
 
 
 def near_classes(documents: DataFrame, threshold: float = SIMILAR) -> DataFrame:
@@ -204,97 +224,100 @@ def near_classes(documents: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     c1, c2 (the text of that document; exactly one text stands for a class) and class_size (rows)."""
     spark = documents.sparkSession
     frequency = spark.sparkContext.broadcast(frequencies(documents))  # 2 * WIDTH numbers
-    sampler_of = Sampler
 
     def banded(batches):
-        sampler = sampler_of()
+        sampler = Sampler()
         for pdf in batches:
             keys: list = []
             for _, many, owner, shingle, count in shingles(pdf["text"].tolist()):
                 keys += sampler.keys(many, owner, shingle, count * frequency.value.weight(shingle))
-            yield pd.DataFrame({"k1": pdf["k1"], "k2": pdf["k2"], "keys": keys})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k1": pdf["k1"], "k2": pdf["k2"], "keys": keys})
+        give_back()
+
+    def weighed(batches):
+        for pdf in batches:
+            weights, items = zip(*packed(pdf["text"].tolist(), frequency.value), strict=True) if len(pdf) else ((), ())
+            yield pd.DataFrame({"t1": pdf["t1"], "t2": pdf["t2"], "weight": weights, "items": [x.tobytes() for x in items]})
+        give_back()
 
+    kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *text_key(F.col("text")))
-    t = F.struct("k1", "k2").alias("t")
-    texts = rows.select("k1", "k2", "text").mapInPandas(banded, "k1 long, k2 long, keys array<long>").filter("keys is not null")
-    texts = texts.groupBy("k1", "k2").agg(F.first("keys").alias("keys"))
-    buckets = written(texts.select(t, F.posexplode("keys").alias("band", "key")), "bands")
-    crowded = buckets.groupBy("band", "key").agg(F.min("t").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    texts = rows.mapInPandas(banded, f"doc_id {kind}, k1 long, k2 long, keys array<long>")
+    own = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")
+    texts = written(texts.groupBy("k1", "k2").agg(F.first("keys").alias("keys"), F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).select(_t("k1", "k2", "t"), "keys", "first", "n"), "texts")
+    buckets = texts.select("t", F.posexplode("keys").alias("band", "key"))
+    crowded = written(buckets.groupBy("band", "key").agg(F.min("t").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key", "least"), "crowded")
     buckets = written(buckets.join(crowded, ["band", "key"]), "buckets")
 
-    named = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    members = buckets.select("t.k1", "t.k2").distinct()
-    bodies = written(named.join(members, ["k1", "k2"], "left_semi").select(t, "text"), "candidate-texts")
+    # The shingles of the candidates, from one row of each text.
+    members = texts.join(buckets.select("t").distinct(), "t", "left_semi").select("t", F.struct("first.doc_id").alias("own"))
+    bodies = rows.select(_t("k1", "k2", "t"), F.struct("doc_id").alias("own"), "text").join(members, ["t", "own"], "left_semi")
+    bodies = bodies.select(F.col("t.k1").alias("t1"), F.col("t.k2").alias("t2"), "text").mapInPandas(weighed, "t1 long, t2 long, weight double, items binary")
+    bodies = written(bodies.select(_t("t1", "t2", "t"), "weight", "items").dropDuplicates(["t"]), "bodies")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         def compared(batches):
             for pdf in batches:
-                s = similarity(pdf["text_a"].tolist(), pdf["text_b"].tolist(), frequency.value)
-                yield pdf.loc[s >= threshold, ["a1", "a2", "b1", "b2"]]
+                keep = [similar(np.frombuffer(a, np.uint64), v, np.frombuffer(b, np.uint64), w, frequency.value) >= threshold for a, v, b, w in zip(pdf["items_a"], pdf["weight_a"], pdf["items_b"], pdf["weight_b"], strict=True)]
+                yield pdf.loc[np.array(keep, bool), ["a1", "a2", "b1", "b2"]]
+            give_back()
 
-        both = pairs.join(bodies.withColumnsRenamed({"t": "a", "text": "text_a"}), "a").join(bodies.withColumnsRenamed({"t": "b", "text": "text_b"}), "b")
-        both = both.select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2"), "text_a", "text_b")
-        found = both.mapInPandas(compared, "a1 long, a2 long, b1 long, b2 long")
-        return found.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b"))
+        sides = [bodies.select(F.col("t").alias(s), F.col("weight").alias(f"weight_{s}"), F.col("items").alias(f"items_{s}")) for s in "ab"]
+        both = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").filter(F.least("weight_a", "weight_b") >= threshold * (1 - 1e-9) * F.greatest("weight_a", "weight_b"))
+        both = both.select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2"), "weight_a", "items_a", "weight_b", "items_b")
+        return written(both.mapInPandas(compared, "a1 long, a2 long, b1 long, b2 long").select(_t("a1", "a2", "a"), _t("b1", "b2", "b")), name)
 
     tested = written(buckets.filter("t <> least").select(F.col("least").alias("a"), F.col("t").alias("b")).distinct(), "pairs")
-    links = written(verified(tested), "near-links")
-    roots = written(components(links), "roots")
-    for turn in range(ROUNDS):
-        # Classes that share a bucket: each is there with its least and its greatest text.
-        placed = buckets.select("band", "key", "t").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-        classes = placed.groupBy("band", "key", "root").agg(F.min("t").alias("low"), F.max("t").alias("high"))
-        shared = classes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min_by("low", F.xxhash64("root", F.lit(turn))).alias("lead"), F.min_by("root", F.xxhash64("root", F.lit(turn))).alias("lead_root")).filter("n > 1")
-        placed = classes.join(shared, ["band", "key"])
-        ends = placed.select("band", "key", "n", "root", "lead", "lead_root", F.explode(F.array_distinct(F.array("low", "high"))).alias("t"))
-        by_lead = ends.filter(F.col("n") > SMALL).filter("root <> lead_root").select(F.col("lead").alias("a"), F.col("t").alias("b"))
-        few = ends.filter(F.col("n") <= SMALL).select("band", "key", "root", "t")
-        full = few.join(few.withColumnsRenamed({"root": "root2", "t": "t2"}), ["band", "key"]).filter("root < root2").select(F.col("t").alias("a"), F.col("t2").alias("b"))
-        pairs = by_lead.unionByName(full).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more-pairs")
-        if pairs.isEmpty():
-            break
-        more = written(verified(pairs), "more-links")
-        tested = tested.unionByName(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = written(components(links), "roots")
+    links = verified(tested, "links-to-least")
+    roots = components(links)
+
+    def rooted(rows: DataFrame, t: str = "t", root: str = "root") -> DataFrame:
+        return rows.join(roots.select(F.col("node").alias(t), F.col("root").alias(root)), t, "left").withColumn(root, F.coalesce(root, t))
 
     # Texts of buckets with several classes, by the shingles that two similar texts must share.
     def marked(batches):
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
-                rows = [(*key, weight, shingle, k < light) for key, (weight, kept, light) in zip(part[["t1", "t2", "r1", "r2"]].itertuples(index=False, name=None), prefixes(part["text"].tolist(), frequency.value, threshold), strict=True) for k, shingle in enumerate(kept.tolist())]
-                yield pd.DataFrame(rows, columns=["t1", "t2", "r1", "r2", "weight", "shingle", "light"])
-
-    placed = buckets.select("band", "key", "t").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    left = placed.join(mixed, ["band", "key"], "left_semi").select("t", "root").distinct()
-    left = bodies.join(left, "t").select(F.col("t.k1").alias("t1"), F.col("t.k2").alias("t2"), F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2"), "text")
-    marks = left.mapInPandas(marked, "t1 long, t2 long, r1 long, r2 long, weight double, shingle long, light boolean")
-    marks = written(marks.select(F.struct(F.col("t1").alias("k1"), F.col("t2").alias("k2")).alias("t"), F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2")).alias("root"), "weight", "shingle", "light"), "marks")
+                made = list(prefixes([np.frombuffer(x, np.uint64) for x in part["items"]], frequency.value, threshold))
+                many = [len(s) for s, _, _ in made]
+                out = part.drop(columns="items").loc[part.index.repeat(many)]
+                yield out.assign(shingle=np.concatenate([s for s, _, _ in made]), w=np.concatenate([w for _, w, _ in made]), light=np.concatenate([np.arange(len(s)) < k for s, _, k in made]))
+        give_back()
+
+    placed = rooted(buckets.select("band", "key", "t"))
+    mixed = written(placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "key"), "mixed")
+    left = rooted(buckets.select("band", "key", "t").join(mixed, ["band", "key"], "left_semi").select("t").distinct())
+    left = bodies.join(left, "t").select(F.col("t.k1").alias("t1"), F.col("t.k2").alias("t2"), F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2"), "weight", "items")
+    marks = left.mapInPandas(marked, "t1 long, t2 long, r1 long, r2 long, weight double, shingle long, w double, light boolean")
+    marks = written(marks.select(_t("t1", "t2", "t"), _t("r1", "r2", "root"), "weight", "shingle", "w", "light"), "marks")
     # Classes meet first, so that texts of one class never meet, and in blocks, so that no shingle makes a large task.
     classes = marks.groupBy("shingle", "root").agg(F.max("light").alias("light"))
-    blocks = classes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max("light").alias("some")).filter("n > 1 and some").select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = written(classes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max("light").alias("some")).filter("n > 1 and some").select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "blocks")
     classes = classes.join(blocks, "shingle").withColumn("mine", F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int")).withColumn("all", F.expr("sequence(0, blocks - 1)"))
     some = classes.filter("light").select("shingle", F.col("root").alias("root_a"), F.col("mine").alias("block_a"), F.explode("all").alias("block_b"))
     others = classes.select("shingle", F.col("root").alias("root_b"), F.explode("all").alias("block_a"), F.col("mine").alias("block_b"))
     meeting = some.join(others, ["shingle", "block_a", "block_b"]).filter("root_a <> root_b").select("shingle", "root_a", "root_b")
-    one = marks.filter("light").select("shingle", F.col("root").alias("root_a"), F.col("t").alias("a"), F.col("weight").alias("weight_a"))
-    other = marks.select("shingle", F.col("root").alias("root_b"), F.col("t").alias("b"), F.col("weight").alias("weight_b"))
+    one = marks.filter("light").select("shingle", F.col("root").alias("root_a"), F.col("t").alias("a"), F.col("weight").alias("weight_a"), F.col("w").alias("w_a"))
+    other = marks.select("shingle", F.col("root").alias("root_b"), F.col("t").alias("b"), F.col("weight").alias("weight_b"), F.col("w").alias("w_b"))
     fit = (F.col("weight_a") <= F.col("weight_b") * (1 + 1e-9)) & (F.col("weight_a") >= F.col("weight_b") * threshold * (1 - 1e-9))
     pairs = meeting.join(one, ["shingle", "root_a"]).join(other, ["shingle", "root_b"]).filter(fit)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "last-pairs")
-    more = written(verified(pairs), "last-links")
-    if not more.isEmpty():
-        roots = written(components(links.unionByName(more)), "roots")
-
-    labelled = rows.select("doc_id", t).join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-    labelled = written(labelled.select("doc_id", "t", "root"), "labelled")
-    named = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t")).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return labelled.join(named, "root").select("doc_id", F.col("t.k1").alias("k1"), F.col("t.k2").alias("k2"), F.col("first.doc_id").alias("class_id"), F.col("first.t.k1").alias("c1"), F.col("first.t.k2").alias("c2"), "class_size")
+    pairs = pairs.groupBy("a", "b").agg(F.sum(F.least("w_a", "w_b")).alias("shared"))
+    done = tested.select("a", "b").union(tested.select("b", "a"))
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
+    pairs = written(pairs.join(done, ["a", "b"], "left_anti").withColumn("place", best).select("a", "b", "place"), "more-pairs")
+    for low, high in zip([0, *WAVES], [*WAVES, 1 << 62], strict=True):
+        wave = rooted(rooted(pairs.filter(F.col("place").between(low + 1, high)), "a", "now_a"), "b", "now_b").filter("now_a <> now_b")
+        links = links.unionByName(verified(wave, "more-links"))
+        roots = components(links)
+
+    linked = texts.join(roots.withColumnRenamed("node", "t"), "t").select("t", "root", "first", "n")
+    named = written(linked.groupBy("root").agg(F.min(F.struct("first", "t")).alias("of"), F.sum("n").alias("size")), "classes")
+    found = linked.join(named, "root").select("t", "of", "size")
+    found = texts.select("t", F.struct("first", "t").alias("alone"), "n").join(found, "t", "left")
+    of = F.coalesce("of", "alone")
+    found = written(found.select(F.col("t.k1").alias("k1"), F.col("t.k2").alias("k2"), of["first"]["doc_id"].alias("class_id"), of["t"]["k1"].alias("c1"), of["t"]["k2"].alias("c2"), F.coalesce("size", "n").alias("class_size")), "classes-of-texts")
+    return rows.select("doc_id", "k1", "k2").join(found, ["k1", "k2"]).select("doc_id", "k1", "k2", "class_id", "c1", "c2", "class_size")
 
 
 def one_of_each(documents: DataFrame, classes: DataFrame) -> DataFrame:
@@ -302,7 +325,7 @@ def one_of_each(documents: DataFrame, classes: DataFrame) -> DataFrame:
     docs, key = keyed(documents)
     docs = docs.withColumn(own := unused(docs, "_own"), F.struct("doc_id"))  # a struct, so that a null doc_id equals itself
     keep = classes.filter("k1 = c1 and k2 = c2 and doc_id <=> class_id").select("k1", "k2", F.struct("doc_id")).distinct().toDF(*key, own)
-    return docs.join(keep, [*key, own], "left_semi").dropDuplicates(key).select(*documents.columns)
+    return docs.join(keep, [*key, own], "left_semi").dropDuplicates([*key, own]).select(*documents.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

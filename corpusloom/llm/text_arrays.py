@@ -11,7 +11,7 @@ _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 #: Bytes of text that are worked on together; a longer text is worked on alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
