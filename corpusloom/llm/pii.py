@@ -1,11 +1,13 @@
 """Personal data: anchors found by an Aho-Corasick automaton, each expanded and validated by a small local parser.
 
-Anchors are at-signs, "://", plus signs, digits and identifier cues ("IBAN", "account" ...). Base kinds, leftmost and
-without overlaps within a kind: email, ip, card, phone. From the cues come iban (mod 97 holds), account (6 to 17 digits
-after an account cue), ssn (after its cue) and login (user:password in a URL). All offsets are code points.
-
-Cases: a null text is an empty one and has no spans; texts are scanned whole, in time linear in their length; repeated
-rows give the same spans; an empty table gives no rows; other columns pass through unread.
+Anchors are at-signs, "://", plus signs, digits and identifier cues ("IBAN", "account", "token" ...) in any case of A-Z.
+Base kinds, leftmost and without overlaps within a kind: email, ip, card, phone. From the cues come iban (mod 97 holds),
+account (6 to 17 digits after an account cue), ssn (after its cue), tel (7 to 15 digits without a plus, after a cue), secret
+(a key, token or password that is assigned to its name) and login (user:password in a URL). All offsets are code points.
+
+Cases: a null text is an empty one and has no spans; texts are scanned whole, in time linear in their length; of kinds that
+start at one place the one that is listed first comes first; repeated rows give the same spans; an empty table gives no
+rows; other columns pass through unread, one of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .common import table
 
 #: Kinds in the order in which equal starts are listed.
 BASE = ["email", "ip", "card", "phone"]
-KINDS = [*BASE, "iban", "account", "ssn", "login"]
+KINDS = [*BASE, "iban", "account", "ssn", "tel", "secret", "login"]
 
 #: Fixed values of the formats.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -31,11 +33,23 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
-_IBAN = re.compile(r"[\x20:#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
-_ACCOUNT = re.compile(r"(?:\x20(?:no\.?|number|nr\.?))?[\x20:#=]{0,3}([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])")
+_IBAN = re.compile(r"[\x20:#]{0,3}([A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30})")
+_ACCOUNT = re.compile(r"(?:\x20(?:no\.?|number|nr\.?))?[\x20:#=]{0,3}([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])", re.IGNORECASE)
 _SSN = re.compile(r"[\x20:#=]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
+_TEL = re.compile(r"(?:\x20(?:no\.?|number|nr\.?))?[\x20.:#=]{0,3}(\(?[0-9][\x20().0-9/-]{5,24}[0-9])(?![0-9])", re.IGNORECASE)
+_SECRET = re.compile(r"[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?([^\s\"',;]{12,})")
+_PASSWORD = re.compile(r"[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?([^\s\"',;]{6,})")
 _LOGIN = re.compile(r"([^\s/@:]++:[^\s/@]++)@")  # stops at a "/", so that the next "://" begins behind it
-_CUES = {"iban": ["IBAN", "iban", "Iban"], "account": ["account", "Account", "ACCOUNT", "acct", "Acct"], "ssn": ["SSN", "ssn", "social security number"]}
+_CUES = {
+    "iban": ["iban"],
+    "account": ["account", "acct", "konto", "compte", "cuenta"],
+    "ssn": ["ssn", "social security number"],
+    "tel": ["phone", "tel", "telephone", "mobile", "fax", "téléphone", "telefon", "teléfono"],
+    "secret": ["token", "secret", "api_key", "api-key", "apikey", "api key", "access_key", "access key", "private_key", "private key"],
+    "password": ["password", "passwd", "pwd", "passwort", "contraseña", "mot de passe"],
+}
+_PARSERS = {"iban": _IBAN, "account": _ACCOUNT, "ssn": _SSN, "tel": _TEL, "secret": _SECRET, "password": _PASSWORD}
+_FOLD = {c: c + 32 for c in range(65, 91)}
 
 
 @cache
@@ -65,8 +79,8 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all personal data in a text, by start, then kind."""
     text = text or ""
     found: list[tuple[str, int, int]] = []
-    mail = ip = card = run = 0  # ends of the last email, ip and card and of the last run of digits
-    for last, what in _automaton().iter(text):
+    mail = ip = card = run = told = 0  # ends of the last email, ip, card and secret and of the last run of digits
+    for last, what in _automaton().iter(text.lower() if text.isascii() else text.translate(_FOLD)):
         if what == "digit":
             if last < run:
                 continue
@@ -94,18 +108,24 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         elif what == "scheme":
             if m := _LOGIN.match(text, last + 1):
                 found.append(("login", m.start(1), m.end(1)))
-        elif m := {"iban": _IBAN, "account": _ACCOUNT, "ssn": _SSN}[what].match(text, last + 1):
-            if what != "iban":
+        elif what in ("secret", "password"):
+            if last >= told and (m := _PARSERS[what].match(text, last + 1)):  # a cue inside a secret is part of it
+                told = m.end()
+                if what == "password" or any(c.isdigit() for c in m[1]):
+                    found.append(("secret", m.start(1), told))
+        elif m := _PARSERS[what].match(text, last + 1):
+            if what == "iban":
+                if (end := _iban_end(text, m.start(1), m.end(1))) is not None:
+                    found.append((what, m.start(1), end))
+            elif what != "tel" or 7 <= sum(c.isdigit() for c in m[1]) <= 15:
                 found.append((what, m.start(1), m.end(1)))
-            elif (end := _iban_end(text, m.start(1), m.end(1))) is not None:
-                found.append((what, m.start(1), end))
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def _iban_end(text: str, start: int, end: int) -> int | None:
     """The longest end at which the letters and digits from start make a valid number."""
     while end - start >= 15:
-        plain = text[start:end].replace(" ", "")
+        plain = text[start:end].replace(" ", "").upper()
         if text[end - 1] != " " and len(plain) >= 15 and _mod97(plain):
             return end
         end -= 1
@@ -154,4 +174,4 @@ def query(spark, sf_dir: str) -> DataFrame:
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("pii", lambda s: s["kind"].isin(BASE))
-    return found.select("doc_id", *map(n, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *map(n, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"), n("secret"))
