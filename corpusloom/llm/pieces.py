@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import give_back, table
 
 #: The public model's place, the share of skipped merges and the seed.
 MODEL, DROPOUT, SEED = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17
@@ -39,7 +39,7 @@ MODEL, DROPOUT, SEED = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17
 REMEMBERED, KEPT = 200_000, 50_000
 
 #: Characters of text, and units, that a task works on together; longer units have their own agenda.
-GROUP, TOGETHER, LONGEST = 1_000_000, 8_000, 64
+GROUP, TOGETHER, LONGEST = 1_000_000, 24_000, 64
 
 #: No candidate; no symbol.
 NONE, GONE = 1 << 20, -(1 << 40)
@@ -141,9 +141,10 @@ def encode_unit(v: Vocabulary, unit: str, occurrence: int, dropout: float, seed:
     return ids
 
 
-def encode_units(v: Vocabulary, units: list[tuple[str, int]], dropout: float, seed: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode_units(v: Vocabulary, units: list[tuple[str, int]], dropout: float, seed: int, merges: list | None = None, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """encode_unit for many (unit, occurrence), as all ids in a row and how many each has: the agendas of all short units
-    advance together, one candidate each a round. merges, if given, gets arrays of the units and places of the merges made."""
+    advance together, one candidate each a round. merges, if given, gets arrays of the units and places of the merges made;
+    keys are the units' _key, if known."""
     texts = [u.replace(" ", SPACE) for u, _ in units]
     flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     sizes = np.array([len(t) for t in texts])
@@ -155,7 +156,7 @@ def encode_units(v: Vocabulary, units: list[tuple[str, int]], dropout: float, se
     symbol = v.char_ids[np.minimum(flat, len(v.char_ids) - 1)]
     symbol = np.where(symbol < 0, -1 - flat.astype(np.int64), symbol)  # no piece: the character itself, to fall back on bytes
     limit = np.uint64(int(dropout * (1 << 64)))
-    key = np.array([_key(u, k, seed) for u, k in units] if limit else [0] * len(units), np.uint64)
+    key = keys if keys is not None else np.array([_key(u, k, seed) for u, k in units] if limit else [0] * len(units), np.uint64)
 
     def candidates(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The piece that each pair makes and its rank; NONE where it makes none."""
@@ -285,7 +286,8 @@ class Encoder:
             varied, end = self._varied(place, occurrence), len(self.ids)
             for at in range(0, len(varied), TOGETHER):
                 some = varied[at : at + TOGETHER]
-                made, n = encode_units(self.v, [(units[i], k) for i, k in zip(some.tolist(), occurrence[some].tolist(), strict=True)], self.dropout, self.seed)
+                keys = self.hashes[place[some]] ^ occurrence[some] * np.uint64(0x9E3779B97F4A7C15)
+                made, n = encode_units(self.v, [(units[i], k) for i, k in zip(some.tolist(), occurrence[some].tolist(), strict=True)], self.dropout, self.seed, keys=keys)
                 begin[some], size[some] = end + np.cumsum(n) - n, n
                 ids.append(made)
                 end += len(made)
@@ -322,6 +324,8 @@ def encode_texts(documents: DataFrame, text: str = "text", name: str = "pieces",
                 if decoded:
                     columns.append(pa.array([decode_ids(encoder.v, x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+        del encoder
+        give_back()
 
     return documents.mapInArrow(encoded, schema)
 

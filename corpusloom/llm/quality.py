@@ -5,16 +5,19 @@ the sequences of two and three token shapes, hashed into 2 ** BITS places. Each
 its smoothed frequencies in the two classes; a linear hinge-loss model is fitted to the unit-length scaled vectors by
 dual coordinate descent, and a logistic curve over its margins, fitted to rows kept out of that fit, makes the score.
 
-It learns from a bounded sample (SAMPLE labelled rows, those with the smallest hash of doc_id, whatever the corpus'
-size); the features of those rows are all that reaches the driver. Scoring is one pass over the corpus.
-
-Cases: null and empty texts have no features and get the score of the model's intercept; rows whose label is null,
-or whose doc_id has contradicting labels, teach nothing; without rows of both classes every score is the share of label
-1 (0.5 without any); repeated rows are scored alike; an empty corpus gives no rows; other columns pass through unread.
+It learns from a bounded sample (at most SAMPLE labelled rows, those with the smallest hash of doc_id, and at most
+SAMPLE_MB of their features, whatever the corpus' size and its texts' length); the features of those rows are all that
+reaches the driver. Scoring is one pass over the corpus.
+
+Cases: null and empty texts have no features and get the score of the model's intercept; long texts are taken whole; rows
+whose label is null, or whose doc_id has contradicting labels, teach nothing; rows of one hash are ordered by doc_id, then
+by their features; without rows of both classes every score is the share of label 1 (0.5 without any); repeated rows are
+scored alike; an empty corpus gives no rows; other columns pass through unread, one of the score's name is replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +25,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table, written
 from .text_arrays import chunks, hashes, lowered, mix, runs
 
 #: Size of the feature space, rows learnt from, cost of an error, rounds of the descent, score from which a text is good.
 BITS, SAMPLE, COST, ROUNDS, GOOD = 18, 8000, 1.0, 20, 0.7
 
+#: MB of features, beside SAMPLE rows, that the model learns from.
+SAMPLE_MB = 100
+
 _KINDS = np.array([0 if b <= 32 or b == 127 else 1 if 97 <= b <= 122 or b > 127 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 for b in range(256)], np.uint8)
 
 
@@ -162,8 +168,12 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: i
     def numbers(batches):
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [x.tobytes() for x in features(pdf["text"].tolist(), bits)]})
+        give_back()
 
-    found = rows.mapInPandas(numbers, "doc_id long, y int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).collect()
+    found = written(rows.mapInPandas(numbers, "doc_id long, y int, x binary").withColumn("h", F.xxhash64("doc_id")), "sample")
+    sizes = [r[0] for r in found.select("h", "doc_id", "x", F.octet_length("x").alias("n")).orderBy("h", "doc_id", "x").limit(sample).select("n").collect()]
+    most = int(np.searchsorted(np.cumsum(sizes), SAMPLE_MB << 20, "right"))
+    found = found.orderBy("h", "doc_id", "x").limit(most).collect()
     return fit([np.frombuffer(r["x"], np.int32) for r in found], np.array([r["y"] for r in found], int), bits)
 
 
@@ -172,8 +182,10 @@ def score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
     shipped = documents.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS numbers, twice
 
     @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series(shipped.value.scores(texts.tolist()))
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(shipped.value.scores(texts.tolist()))
+        give_back()
 
     return documents.withColumn(name, scores(F.col("text")))
 

@@ -100,9 +100,17 @@ def test_pii(odd, none):
     assert [s for s in pii.spans(digits) if s[0] != "phone"] == []
 
 
+def test_cues_in_any_case():
+    text = 'ACCT 12345678, Token = "04dbebab91ab85687d33eeaa", PASSWORD: hunter22 Tel. (743) 555-3824, Ünïcode iban gb82 west 1234 5698 7654 32, token: individual'
+    found = {(k, text[s:e]) for k, s, e in pii.spans(text)}
+    assert found >= {("account", "12345678"), ("secret", "04dbebab91ab85687d33eeaa"), ("secret", "hunter22"), ("tel", "(743) 555-3824"), ("iban", "gb82 west 1234 5698 7654 32")}
+    assert not [x for k, x in found if x.startswith("indiv")]
+
+
 def test_long_login():
     secret = "me:" + "ey!" * 2000
     assert ("login", 8, 8 + len(secret)) in pii.spans(f"https://{secret}@localhost/x")
+    assert len(pii.spans("token=" * 100_000 + "1")) == 1
     many = "http://a:b" * 100_000
     assert not [s for s in pii.spans(many) if s[0] == "login"]
 
@@ -153,15 +161,46 @@ def test_interleave_is_the_merged_order():
     runs = []
     for n in (40, 1, 25):
         e = np.zeros(n, suffix_dedup._ENTRY)
-        for name in ("s1", "s2", "core"):
+        for name in ("tail", "s2", "s1"):
             e[name] = r.integers(0, 3, n)
         e["many"] = 1
-        runs.append(e[np.lexsort((e["core"], e["s2"], e["s1"]))])
-    z, block, _ = suffix_dedup.interleaved(runs)
+        runs.append(e[np.lexsort((e["s1"], e["s2"], e["tail"]))])
+    z, block = suffix_dedup.interleaved(runs)
     every = np.concatenate(runs)
-    keys = [tuple(every[i][["s1", "s2", "core"]]) for i in z]
+    keys = [tuple(every[i][["s1", "s2", "tail"]]) for i in z]
     assert keys == sorted(keys) and len(set(keys)) == len(set(block.tolist()))
     assert all(keys.count(k) > 1 for k in keys)
+    assert sorted(z.tolist()) == [i for i, e in enumerate(every) if sum(e[["s1", "s2", "tail"]].tolist() == x for x in every[["s1", "s2", "tail"]].tolist()) > 1]
+
+
+@pytest.mark.parametrize("bucket", [1 << 12, 1 << 24])
+def test_repeats_in_many_buckets(spark, bucket):
+    r = np.random.default_rng(4)
+    word = [f"w{i}" for i in range(5000)]
+    passage = " ".join(r.choice(word, 120))
+    texts = [" ".join(r.choice(word, r.integers(1, 300))) for _ in range(60)]
+    texts += [f"{' '.join(r.choice(word, 60))} {passage[: r.integers(300, 700)]} {' '.join(r.choice(word, 60))}" for _ in range(80)]
+    found, _ = suffix_dedup.repeats(documents(spark, *enumerate(texts)), bucket=bucket)
+    runs = {}
+    for x in found.filter("first >= 0").collect():
+        runs.setdefault((x["k1"], x["k2"]), []).append((x["first"], x["last"]))
+    keys = {x["doc_id"]: (x["k1"], x["k2"]) for x in documents(spark, *enumerate(texts)).select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")).collect()}
+    from test_queries import brute_repeats
+
+    for i, (n, gone, spans, _) in enumerate(brute_repeats(texts, 400)):
+        kept, cuts = suffix_dedup.cut(texts[i].encode(), runs.get(keys[i], []), 400)
+        assert (n - len(kept), len(cuts)) == (gone, spans)
+
+
+def test_passages_of_other_texts_are_told(spark):
+    r = np.random.default_rng(5)
+    word = [f"w{i}" for i in range(3000)]
+    passage = " ".join(r.choice(word, 52))
+    assert len(passage) < 400
+    texts = [" ".join(r.choice(word, 200)) for _ in range(6)]
+    texts += [f"{' '.join(r.choice(word, 40))} {passage} {' '.join(r.choice(word, 40))}" for _ in range(3)]
+    rows = {x["doc_id"]: x for x in suffix_dedup.remove_repeats(documents(spark, *enumerate(texts))).collect()}
+    assert [i for i in rows if rows[i]["shared"]] == [6, 7, 8] and all(not x["spans"] for x in rows.values())
 
 
 def test_near_duplicates(spark, odd, none):
@@ -195,7 +234,8 @@ def test_prefixes_of_similar_texts_meet():
             cut[k] = "other"
         texts += [" ".join(words), " ".join(cut[: len(cut) - r.integers(0, 10)])]
     frequency = near_dups.Frequencies(r.integers(1, 9, (2, 1 << 10)), 9)
-    kept = list(near_dups.prefixes(texts, frequency, 0.8))
+    weights, items = zip(*near_dups.packed(texts, frequency), strict=True)
+    kept = [(w, x, light) for w, (x, _, light) in zip(weights, near_dups.prefixes(items, frequency, 0.8), strict=True)]
     similar = near_dups.similarity(texts[::2], texts[1::2], frequency)
     for k in np.flatnonzero(similar >= 0.8).tolist():
         (_, a, light), (_, b, _) = sorted(kept[2 * k : 2 * k + 2], key=lambda x: x[0])
