@@ -16,14 +16,20 @@ def strip(c: Column) -> Column:
 
 
 def fix_mojibake(c: Column) -> Column:
-    """UTF-8 that was read as Latin-1 (up to twice) set right; the whole text or nothing."""
+    """UTF-8 that was read as Latin-1 (up to twice) set right; the whole text or nothing.
+
+    Nearly all texts fail the first test and are returned as they are; only the others are worked on, as an array's element,
+    so that what c stands for isn't worked out again for each mention.
+    """
+
+    def garbled(x: Column) -> Column:
+        return x.rlike(r"[\x{c3}\x{c2}\x{e2}\x{80}-\x{9f}]") & ~x.rlike(r"[^\x{00}-\x{ff}]")
 
     def once(x: Column) -> Column:
-        garbled = x.rlike(r"[\x{c3}\x{c2}\x{e2}\x{80}-\x{9f}]") & ~x.rlike(r"[^\x{00}-\x{ff}]")
         # encode() raises on what Latin-1 lacks, so only what passed the test reaches it
-        return F.coalesce(F.when(garbled, F.try_validate_utf8(F.encode(F.when(garbled, x), "ISO-8859-1").cast("string"))), x)
+        return F.coalesce(F.when(garbled(x), F.try_validate_utf8(F.encode(F.when(garbled(x), x), "ISO-8859-1").cast("string"))), x)
 
-    return once(once(c))
+    return F.when(garbled(c), F.get(F.transform(F.transform(F.array(c), once), once), F.lit(0))).otherwise(c)
 
 
 def repair_strings(c: Column) -> Column:

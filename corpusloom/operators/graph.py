@@ -151,7 +151,7 @@ def thinned_edges(scored: DataFrame, budget: int, cap: int, focus: str | None =
     order = F.struct(F.col("score").alias("s"), F.col("similarity").alias("m"), F.struct(F.col("src").alias("a"), F.col("dst").alias("b")).alias("e"))
     room = F.when(F.lit(focus).isNotNull() & (F.col("slug") == F.lit(focus)), 2 * cap).otherwise(cap)
     left, taken = scored.withColumn("_o", order), None
-    for _ in range(10_000):
+    while True:
         ends = left.select(F.col("src").alias("slug"), "_o").union(left.select("dst", "_o"))
         used = None if taken is None else taken.select(F.col("src").alias("slug")).union(taken.select("dst")).groupBy("slug").agg(F.count(F.lit(1)).alias("used"))
         free = ends.select("slug").distinct()

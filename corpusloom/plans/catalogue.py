@@ -61,11 +61,11 @@ def vec_topk_entry(spark, sf_dir):
     return retrieval.top_k(means, _vector(spark, sf_dir), K.ENTRY_CANDIDATES, "label").select("label", F.round("cosine", 5).alias("cosine"))
 
 
-@query(f"{_SCORED} select vec_id, label, round(c, 6) as cosine from s where label in (1, 2, 3, 5, 7, 9) qualify row_number() over (partition by label order by c desc, vec_id) <= 4")
+@query(f"{_SCORED} select vec_id, label, round(c, 6) as cosine from s where label in (select label from m e, q order by {_COS} desc, label limit 6) qualify row_number() over (partition by label order by c desc, vec_id) <= 4")
 def vec_topk_per_entry(spark, sf_dir):
-    rows = _t(spark, sf_dir, "embeddings").filter(F.col("label").isin(1, 2, 3, 5, 7, 9))
-    scored = retrieval.scored(rows, _vector(spark, sf_dir))
-    return retrieval.top_per_group(scored, scored.select("label"), "label", K.CHUNKS_PER_ENTRY, "vec_id").select("vec_id", "label", F.round("cosine", 6).alias("cosine"))
+    rows, vector = _t(spark, sf_dir, "embeddings"), _vector(spark, sf_dir)
+    best = retrieval.top_k(entries.mean_vectors(rows, "label"), vector, K.EXPANDED_ENTRIES, "label")
+    return retrieval.top_per_group(retrieval.scored(rows, vector), best, "label", K.CHUNKS_PER_ENTRY, "vec_id").select("vec_id", "label", F.round("cosine", 6).alias("cosine"))
 
 
 _LISTS = f"""{_SCORED}, u as (
@@ -413,11 +413,13 @@ def reconcile_slugs(spark, sf_dir):
     return graph.reconcile(graph.undirected(_edges(spark, sf_dir)), parts)[1]
 
 
-@query(f"with {_FULL}, c as (select (select count(*) from f) as n, (select count(*) from i) as e, (select count(*) from embeddings) as s) select unnest(['nodes', 'explicit_edges', 'semantic_edges', 'condensed']) as what, unnest([n, e, s, cast(s > least(18000, greatest(10000, n * 12)) as bigint)]) as n from c")
+@query(f"""{_MUTUAL}, {_FULL}, m as (select 'p' || src as src, 'p' || dst as dst from semantic where 'p' || src in (select slug from f) and 'p' || dst in (select slug from f)),
+c as (select (select count(*) from f) as n, (select count(*) from i) as e, (select count(*) from m) as s) select unnest(['nodes', 'explicit_edges', 'semantic_edges', 'condensed']) as what, unnest([n, e, s, cast(s > least(18000, greatest(10000, n * 12)) as bigint)]) as n from c""")
 def graph_summary(spark, sf_dir):
     e = _edges(spark, sf_dir)
     nodes = graph.well_linked(e)
-    return graph.summary(nodes, graph.induced(e, nodes), _t(spark, sf_dir, "embeddings"))
+    semantic = _semantic(spark, sf_dir).select(*[F.concat(F.lit("p"), c).alias(c) for c in ("src", "dst")])
+    return graph.summary(nodes, graph.induced(e, nodes), graph.induced(semantic, nodes))
 
 
 _HOP = f"{_EDGES}, h1 as (select 's1' as slug union select neighbor from u where slug = 's1'), h2 as (select slug from h1 union select neighbor from u where slug in (select slug from h1))"

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections import OrderedDict
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.models import HashEmbedder, LexicalReranker
-from ..functions.text import rerank_text_of_chunk, rerank_text_of_entry, section_bonus, title_bonus
+from ..functions.text import clean_text, rerank_text_of_chunk, rerank_text_of_entry, section_bonus, title_bonus
 from ..operators import graph, retrieval
 
 
@@ -33,8 +35,8 @@ class SearchService:
         self.chunks, self.entries = chunks, entries
         self.spark = chunks.sparkSession
         self.embedder, self.reranker = embedder or HashEmbedder(), reranker or LexicalReranker()
-        self.cache: OrderedDict[str, _Window] = OrderedDict()
-        self.timings: dict[str, float] = {}
+        self.cache: OrderedDict[tuple[str, int | None], _Window] = OrderedDict()
+        self.stages: dict[str, tuple[float, int]] = {}
 
     def embed_query(self, text: str) -> list[float]:
         vector = self.embedder.query(self.spark, text)
@@ -68,16 +70,31 @@ class SearchService:
         return rows.withColumn("final", score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("final"), F.desc("cosine"), "chunk_id")))
 
     def window(self, query: str, wanted: int, candidate_limit: int | None = None) -> DataFrame:
-        """The ranked results of a query, enough for `wanted` of them, behind the confidence gate."""
+        """The ranked results of a query, enough for `wanted` of them, behind the confidence gate, persisted.
+
+        Each stage is worked out and kept by itself, few rows by its LIMIT; self.stages has its milliseconds and rows.
+        """
+        self.stages, held = {}, []
+
+        def staged(name: str, make) -> DataFrame:
+            start = time.time()
+            df = make().persist()
+            held.append(df)
+            n = df.count()
+            self.stages[name] = ((time.time() - start) * 1000, n)
+            return df
+
         start = time.time()
         vector = self.embed_query(query)
+        self.stages["embed_query"] = ((time.time() - start) * 1000, 1)
         n_chunks, n_entries = retrieval.budgets(wanted, candidate_limit)
-        lists, ranked = [self.retrieve_candidates(vector, n_chunks)], None
+        lists, ranked = [staged("chunk_candidates", lambda: self.retrieve_candidates(vector, n_chunks))], None
         if (found := self.retrieve_entry_candidates(vector, n_entries)) is not None:
-            ranked = self.rerank_entries(query, found).persist()
-            lists.append(self.retrieve_chunks_for_entries(vector, ranked.filter(F.col("rank") <= K.EXPANDED_ENTRIES)))
-        rows = retrieval.confident(self.rerank_candidates(query, retrieval.merge_candidates(lists, "chunk_id"), ranked)).persist()
-        self.timings["window_ms"] = (time.time() - start) * 1000
+            ranked = staged("entries", lambda: self.rerank_entries(query, found))
+            lists.append(staged("expanded_chunks", lambda: self.retrieve_chunks_for_entries(vector, ranked.filter(F.col("rank") <= K.EXPANDED_ENTRIES))))
+        rows = staged("results", lambda: retrieval.confident(self.rerank_candidates(query, retrieval.merge_candidates(lists, "chunk_id"), ranked)))
+        for df in held[:-1]:
+            df.unpersist()
         return rows
 
     def search(self, query: str, candidate_limit: int | None = None, result_limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -93,14 +110,17 @@ class SearchService:
         if limit < 1:
             raise ValueError("result_limit must be positive")
         end = offset + limit
-        held = self.cache.get(query)
+        key = query, candidate_limit
+        held = self.cache.get(key)
         if held is None or time.time() - held.made > K.CACHE_SECONDS or not held.serves(end):
             wanted = retrieval.widened(end, limit)
             rows = self.window(query, wanted, candidate_limit)
             held = _Window(rows, time.time(), wanted, rows.count())
+            if key in self.cache:
+                self.cache.pop(key).rows.unpersist()
             while len(self.cache) >= K.CACHED_QUERIES:
                 self.cache.popitem(last=False)[1].rows.unpersist()
-            self.cache[query] = held
+            self.cache[key] = held
         public = ["chunk_id", "entry_title", "section_title", "url", "chunk_text", "cosine", "rerank"]
         return retrieval.page(held.rows, offset, limit).orderBy("rank").select(*public)
 
@@ -117,10 +137,13 @@ class SearchService:
 
 
 class GraphService:
-    """Views of the concept graph over entries(entry_slug, entry_title, ...), explicit(src, dst, weight) and semantic(src, dst, similarity)."""
+    """Views of the concept graph over entries(entry_slug, entry_title, ...), explicit(src, dst, weight) and semantic(src, dst, similarity).
+
+    leads(entry_slug, lead), if given, has what stands before an entry's first heading, for the centre of a neighbourhood.
+    """
 
-    def __init__(self, entries: DataFrame, explicit: DataFrame, semantic: DataFrame):
-        self.entries, self.explicit, self.semantic = entries, explicit, semantic
+    def __init__(self, entries: DataFrame, explicit: DataFrame, semantic: DataFrame, leads: DataFrame | None = None):
+        self.entries, self.explicit, self.semantic, self.leads = entries, explicit, semantic, leads
         self._full: dict[str, DataFrame] | None = None
 
     def _view(self, slugs: DataFrame) -> dict[str, DataFrame]:
@@ -142,9 +165,28 @@ class GraphService:
             raise ValueError("slug must not be empty, hops must be 1 or 2")
         if self.entries.filter(F.col("entry_slug") == slug).limit(1).count() == 0:
             raise LookupError(slug)
-        return self._view(graph.neighborhood(slug, hops, self.explicit, self.semantic))
+        view = self._view(graph.neighborhood(slug, hops, self.explicit, self.semantic))
+        if self.leads is not None:
+            lead = self.leads.filter(F.col("entry_slug") == slug).select(F.col("entry_slug").alias("slug"), clean_text(F.col("lead")).alias("lead"))
+            view["nodes"] = view["nodes"].join(lead, "slug", "left").orderBy(F.desc("degree"), "entry_title", "slug")
+        return view
+
+    def health(self) -> dict[str, int]:
+        """How many entries and edges there are."""
+        return {name: df.count() for name, df in (("entries", self.entries), ("explicit_edges", self.explicit), ("semantic_edges", self.semantic))}
+
+
+def payload(view: dict[str, DataFrame]) -> str:
+    """A view, bounded by its caller, as one JSON object of lists of records: what a front end reads."""
+    return "{" + ",".join(f"{json.dumps(name)}:[{','.join(r[0] for r in df.select(F.to_json(F.struct("*"))).collect())}]" for name, df in view.items()) + "}"
 
 
 def create_search_service(spark: SparkSession, chunks_path: str, entries_path: str | None = None, embedder=None, reranker=None) -> SearchService:
-    entries = spark.read.parquet(entries_path) if entries_path else None
+    """Without a table at entries_path there are no entries: the search is one of chunks only."""
+    try:
+        entries = spark.read.parquet(entries_path) if entries_path else None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        entries = None
     return SearchService(spark.read.parquet(chunks_path), entries, embedder, reranker)

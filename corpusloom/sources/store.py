@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +16,12 @@ from ..functions.text import fix_mojibake
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one only where that is unset (tests on one machine)."""
+    """The folder in spark.checkpoint.dir, which all executors share. Only where that is unset and all run in one process, as in tests, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,7 +35,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType, order: str = "section_ord", limit: int | None = None) -> DataFrame:
-    """A file of one JSON array, each record with its place in the list; with limit, the first records only. Anything but a list of records, or an empty one, is an error."""
+    """A file of one JSON array, each record with its place in the list; with limit, the first records only. Anything but a list of records, or an empty one, is an error.
+
+    A JSON array can't be split, so a file is one task and has 2 GB at most; larger data comes as many files or as JSON lines (read_lines)."""
     if limit is not None and limit <= 0:
         raise ValueError("limit must be positive")
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", T.ArrayType(schema)).alias("records"))
@@ -41,25 +47,31 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, order: st
     return rows if limit is None else rows.filter(F.col(order) < limit)
 
 
+def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines, as write_records makes them: files are split between tasks. A line that is no record is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def write_records(df: DataFrame, path: str) -> None:
     """JSON lines in UTF-8."""
     df.write.mode("overwrite").json(path)
 
 
 def repair_records(df: DataFrame) -> DataFrame:
-    """Every string of the table, alone or in an array or a map's values, repaired."""
+    """Every string of the table repaired, at any depth of arrays, maps (values; keys stay) and structs."""
 
-    def of(name: str, kind: T.DataType):
-        c = F.col(name)
+    def of(c: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StringType):
             return fix_mojibake(c)
-        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-            return F.transform(c, fix_mojibake)
-        if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
-            return F.transform_values(c, lambda _, v: fix_mojibake(v))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: of(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(c, lambda _, v: of(v, kind.valueType))
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[of(c[f.name], f.dataType).alias(f.name) for f in kind]))
         return c
 
-    return df.select(*[of(f.name, f.dataType).alias(f.name) for f in df.schema])
+    return df.select(*[of(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
 
 
 def database_url(env: dict[str, str] | None = None) -> str:
@@ -75,14 +87,16 @@ def database_url(env: dict[str, str] | None = None) -> str:
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
-    """existing with the rows of new put in place of those with their keys; of new rows with one key the last by version stays."""
-    columns = existing.columns
-    if version is not None:
-        last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))
-        new = new.withColumn("_n", last).filter("_n = 1")
-    else:
-        new = new.dropDuplicates(keys)
-    return existing.join(new.select(*keys), keys, "left_anti").select(*columns).unionByName(new.select(*columns))
+    """existing with the rows of new put in place of those with their keys. Of new rows with one key the last by version stays;
+    without a version, and of equal ones, the greatest by its other columns, so that a rerun gives the same table."""
+    return existing.join(new.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(last_rows(new, keys, version).select(*existing.columns))
+
+
+def last_rows(rows: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
+    """One row for each key: the last by version, then by its columns as JSON."""
+    order = [F.desc_nulls_last(version)] if version else []
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, F.desc(F.to_json(F.struct(*rows.columns)))))
+    return rows.withColumn("_n", last).filter("_n = 1").drop("_n")
 
 
 def upsert_columns(existing: DataFrame, new: DataFrame, key: str, update: list[str], on_insert: dict[str, str] | None = None) -> DataFrame:
@@ -131,18 +145,24 @@ def cascade_delete(edges: DataFrame, surviving: DataFrame, key: str) -> DataFram
     return edges.join(ends.withColumnRenamed(key, "src"), "src", "left_semi").join(ends.withColumnRenamed(key, "dst"), "dst", "left_semi")
 
 
-def load(new: DataFrame, path: str, keys: list[str], truncate: bool = False, dry_run: bool = False) -> int:
-    """Upserts new into the Parquet table at path (replaces it with truncate); dry_run only counts. The number of new rows."""
+def load(new: DataFrame, path: str, keys: list[str], truncate: bool = False, dry_run: bool = False, version: str | None = None) -> int:
+    """Upserts new into the Parquet table at path (replaces it with truncate); dry_run only counts. The number of new rows.
+
+    The new table is written beside the old one and takes its place by renaming, so a failure half-way leaves the old one.
+    """
     n = new.count()
     if dry_run:
         return n
     spark = new.sparkSession
-    try:
-        old = None if truncate else spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    merged = new.dropDuplicates(keys) if old is None else written(upsert(old, new, keys), "upsert")
-    merged.write.mode("overwrite").parquet(path)
+    jvm = spark.sparkContext._jvm
+    here, aside, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{end}") for end in ("", f".new-{uuid.uuid4().hex}", f".old-{uuid.uuid4().hex}"))
+    files = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = files.exists(here)
+    merged = upsert(spark.read.parquet(path), new, keys, version) if there and not truncate else last_rows(new, keys, version)
+    merged.write.parquet(aside.toString())
+    if there:
+        files.rename(here, old)
+    files.rename(aside, here)
+    if there:
+        files.delete(old, True)
     return n

@@ -1,13 +1,15 @@
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import constants as K
+from corpusloom.functions import models
 from corpusloom.operators import chunking, classify, graph, retrieval
 from corpusloom.plans import build
 from corpusloom.plans.evaluate import evaluate
-from corpusloom.plans.service import GraphService, SearchService
+from corpusloom.plans.service import GraphService, SearchService, create_search_service, payload
 from corpusloom.sources import html, store
 
 
@@ -163,5 +165,43 @@ def test_build_search_and_report(spark):
     for bad in ("", " ", "x" * 301):
         with pytest.raises(ValueError):
             service.search(bad)
+    assert set(service.stages) == {"embed_query", "chunk_candidates", "entries", "expanded_chunks", "results"} and all(n > 0 for _, n in service.stages.values())
+    service.search("truth", candidate_limit=20), service.search("truth", candidate_limit=100)
+    assert {("truth", 20), ("truth", 100)} <= set(service.cache)
     assert "Query: truth" in evaluate(service, ["truth"])
     assert SearchService(made["chunks"], None).search("inference").count() > 0
+
+
+def test_missing_entries_and_payload(spark, tmp_path):
+    chunks = spark.createDataFrame([("c", "e", "T", "S", "u", "calm words", [1.0] * 64)], "chunk_id string, entry_slug string, entry_title string, section_title string, url string, chunk_text string, embedding array<double>")
+    chunks.write.parquet(f"{tmp_path}/chunks")
+    assert create_search_service(spark, f"{tmp_path}/chunks", f"{tmp_path}/none").search("calm words").count() == 1
+    nodes = spark.createDataFrame([("a", "A"), ("b", "B")], "entry_slug string, entry_title string")
+    edges = spark.createDataFrame([("a", "b", 2)], "src string, dst string, weight int")
+    service = GraphService(nodes, edges, edges.select("src", "dst", F.lit(0.9).alias("similarity")), spark.createDataFrame([("a", " The  lead. ")], "entry_slug string, lead string"))
+    view = json.loads(payload(service.get_neighborhood("a")))
+    assert {r["slug"]: r.get("lead") for r in view["nodes"]} == {"a": "The lead.", "b": None} and view["explicit_edges"] == [{"src": "a", "dst": "b", "weight": 2}]
+    assert service.health() == {"entries": 2, "explicit_edges": 1, "semantic_edges": 1}
+
+
+def test_models_are_loaded_once_a_worker(spark):
+    rows = spark.createDataFrame([("a bc",), (None,)], "text string")
+    embed = models.LoadedEmbedder(lambda: lambda texts: [[len(t), t.count(" ")] for t in texts], 2)
+    assert [list(r[0]) for r in rows.select(embed.column(F.col("text"))).collect()] == [[4.0, 1.0], [0.0, 0.0]] and embed.query(spark, "x y") == [3.0, 1.0]
+    rank = models.LoadedReranker(lambda: lambda pairs: [len(q) - len(t) for q, t in pairs])
+    assert [r[0] for r in rows.select(rank.column(F.lit("ab"), F.col("text"))).collect()] == [-2.0, 2.0]
+
+
+def test_store_is_repeatable_and_repairs_deeply(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "b"), (1, "c"), (1, "a"), (2, "x")], "k int, v string")
+    assert store.load(rows, f"{tmp_path}/t", ["k"]) == 4
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t").collect())) == [(1, "c"), (2, "x")]
+    store.load(rows.limit(0).union(spark.createDataFrame([(2, "y"), (3, "z")], "k int, v string")), f"{tmp_path}/t", ["k"])
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t").collect())) == [(1, "c"), (2, "y"), (3, "z")]
+    store.load(rows, f"{tmp_path}/t", ["k"], truncate=True)
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    bad = "Ã©"
+    deep = spark.createDataFrame([([{"m": {"k": bad}}],)], "d array<struct<m:map<string,string>>>")
+    assert store.repair_records(deep).first()["d"][0]["m"]["k"] == "é"
+    store.write_records(rows, f"{tmp_path}/lines")
+    assert store.read_lines(spark, f"{tmp_path}/lines", rows.schema).count() == 4
