@@ -61,7 +61,7 @@ def vec_topk_entry(spark, sf_dir):
     return retrieval.top_k(means, _vector(spark, sf_dir), K.ENTRY_CANDIDATES, "label").select("label", F.round("cosine", 5).alias("cosine"))
 
 
-@query(f"{_SCORED} select vec_id, label, round(c, 6) as cosine from s where label in (select label from m e, q order by {_COS} desc, label limit 6) qualify row_number() over (partition by label order by c desc, vec_id) <= 4")
+@query(f"{_SCORED}, {_MEANS} select vec_id, label, round(c, 6) as cosine from s where label in (select label from (select label, {_COS} as c from m e, q order by c desc, label limit 6)) qualify row_number() over (partition by label order by c desc, vec_id) <= 4")
 def vec_topk_per_entry(spark, sf_dir):
     rows, vector = _t(spark, sf_dir, "embeddings"), _vector(spark, sf_dir)
     best = retrieval.top_k(entries.mean_vectors(rows, "label"), vector, K.EXPANDED_ENTRIES, "label")
