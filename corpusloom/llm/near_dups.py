@@ -6,15 +6,15 @@ What counts is the share of documents that hold a shingle, down to RARE; the ske
 the mean number of shingles of a text / WIDTH, so weights come out alike in a small and in a large corpus.
 
 BANDS * ROWS consistent weighted samples make BANDS keys; texts that share a key are candidates. Exact copies count as one
-text from the start. A bucket's texts first meet its least text, which joins most classes at one pair for each text. The
-texts of buckets that still hold several classes meet by an exact prefix-filtered join: two texts of different classes are
-compared if they share a shingle that any two similar texts must share (see `prefixes`), so no similar pair of a bucket is
-passed over. Each text's pairs that share most are compared first; those that are of one class by then need no comparison
-any more. Every link is verified by weighted Jaccard similarity; linked texts form classes.
+text from the start. A bucket's texts first meet its least text, which joins most classes at one pair for each text. In
+the buckets that still hold several classes every text is then compared with every text of another class: BLOCK texts and
+BLOCK others meet in one group, which finds what all of them share by one product of matrices and gives a link for each two
+classes at most; so no pair of a bucket is passed over, and no pairs are written out. Similarity is weighted Jaccard
+similarity throughout; linked texts form classes.
 
 Cases: a null text is an empty one; texts without words are near-duplicates of equal texts only; equal texts are one class
 whatever their doc_id, null included; long texts are taken whole (a shingle's count in a text is kept up to 2 ** 20 - 1);
-among equally rare shingles the order is that of their hashes; an empty table gives no rows; other columns are ignored.
+of the samples' ties the smaller hash counts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, keyed, table, text_key, unused, written
@@ -38,8 +38,8 @@ IDF, RARE = 0.25, 1 / 512
 #: Counters in each of the two rows of the sketch, blocks in which they travel, tasks whose blocks are added up together.
 WIDTH, BLOCKS, FAN_IN = 1 << 20, 64, 1024
 
-#: Classes of one shingle that a block of the exact join holds; how many of a text's pairs are compared before the others.
-BLOCK, WAVES = 256, (4, 64)
+#: Texts of a block and columns of a product of matrices.
+BLOCK, WIDE = 256, 4096
 
 #: Bits of a shingle's hash that are kept, so that text and shingle, or shingle and count, fit into 64 bits.
 _BITS, _COUNT = np.uint64(44), np.uint64(20)
@@ -78,7 +78,6 @@ class Frequencies:
 
     def __init__(self, counts: np.ndarray, documents: int):
         share = np.clip(counts / max(documents, 1), RARE, 1)
-        self.counts = np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
         self.weights = (1 + IDF * np.log(share) / np.log(RARE)).astype(np.float32)
 
     def weight(self, shingle: np.ndarray) -> np.ndarray:
@@ -86,10 +85,6 @@ class Frequencies:
         a, b = _cells(shingle, self.weights.shape[1])
         return np.maximum(self.weights[0][a], self.weights[1][b])
 
-    def count(self, shingle: np.ndarray) -> np.ndarray:
-        a, b = _cells(shingle, self.weights.shape[1])
-        return np.minimum(self.counts[0][a], self.counts[1][b])
-
 
 def frequencies(documents: DataFrame, width: int = WIDTH) -> Frequencies:
     """Of all shingles of documents(text). Tasks send blocks of counters, which are added up in a tree; the sum, 2 * WIDTH numbers whatever the corpus, comes to the driver."""
@@ -196,23 +191,37 @@ def similarity(texts: list, others: list, frequency: Frequencies) -> np.ndarray:
     return np.array([similar(a, v, b, w, frequency) for (v, a), (w, b) in zip(packed(texts, frequency), packed(others, frequency), strict=True)])
 
 
-def prefixes(items: list[np.ndarray], frequency: Frequencies, threshold: float):
-    """For each packed text: its rarest shingles, the weight of each, and how many of them count where the other text is as heavy or heavier.
+def linked(items: list[np.ndarray], weights: np.ndarray, roots: np.ndarray, frequency: Frequencies, threshold: float) -> list[tuple[int, int]]:
+    """Of each two classes (numbers in roots) among some packed texts, one pair of texts that are similar enough, if there is one.
 
-    Similar texts a and b, a not the heavier, have in common at least threshold * weight(b), and 2 * threshold /
-    (1 + threshold) * weight(a). With all shingles in one order, rarest first, each text keeps its first ones until the
-    rest weighs less than that. If the kept shingles had none in common, all that the texts share would be in the rest of
-    one of them, which is too little.
+    What two texts share is a product of matrices: a column for each shingle and each of its occurrences that two texts have,
+    WIDE columns at a time. A pair at the very threshold is decided by `similar`.
     """
-    for x in items:
-        shingle = x >> _COUNT
-        order = np.lexsort((shingle, frequency.count(shingle)))
-        shingle = shingle[order]
-        w = (x[order] & _MOST) * frequency.weight(shingle).astype(float)
-        rest = np.cumsum(w[::-1])[::-1]  # of a shingle and those after it
-        total = rest[0] if len(rest) else 0.0
-        heavy, light = (int((rest >= share * total * (1 - 1e-9)).sum()) for share in (threshold, 2 * threshold / (1 + threshold)))
-        yield shingle[:heavy].view(np.int64), w[:heavy], light
+    n = len(items)
+    flat = np.concatenate(items)
+    owner = np.repeat(np.arange(n), [len(x) for x in items])
+    count = (flat & _MOST).astype(np.int64)
+    owner, shingle = np.repeat(owner, count), np.repeat(flat >> _COUNT, count)
+    level = (np.arange(len(shingle)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+    _, feature, many = np.unique(shingle << _COUNT | level, return_inverse=True, return_counts=True)
+    use = np.flatnonzero(many[feature] > 1)
+    use = use[np.argsort(feature[use], kind="stable")]
+    owner, feature, w = owner[use], feature[use], frequency.weight(shingle[use])
+    column = np.cumsum(np.append(True, feature[1:] != feature[:-1])[: len(use)]) - 1
+    both = np.zeros((n, n))
+    for low in range(0, int(column[-1]) + 1 if len(use) else 0, WIDE):
+        part = slice(*np.searchsorted(column, [low, low + WIDE]))
+        m = np.zeros((n, WIDE), np.float32)
+        m[owner[part], column[part] - low] = 1
+        scale = np.zeros(WIDE, np.float32)
+        scale[column[part] - low] = w[part]
+        both += (m * scale) @ m.T
+    similar_to = both / (weights[:, None] + weights[None, :] - both)
+    i, j = np.nonzero((similar_to >= threshold - 1e-4) & (roots[:, None] < roots[None, :]))
+    order = np.argsort(-similar_to[i, j], kind="stable")
+    i, j = i[order], j[order]
+    _, first = np.unique(roots[i] * n + roots[j], return_index=True)
+    return [(x, y) for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True) if similar_to[x, y] > threshold + 1e-4 or similar(items[x], weights[x], items[y], weights[y], frequency) >= threshold]
 
 
 def _t(a: str, b: str, name: str) -> Column:
@@ -274,46 +283,40 @@ def near_classes(documents: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     def rooted(rows: DataFrame, t: str = "t", root: str = "root") -> DataFrame:
         return rows.join(roots.select(F.col("node").alias(t), F.col("root").alias(root)), t, "left").withColumn(root, F.coalesce(root, t))
 
-    # Texts of buckets with several classes, by the shingles that two similar texts must share.
-    def marked(batches):
+    # Buckets that hold several classes: blocks of their texts meet, each two of them in one bounded group.
+    def met(batches):
+        held = None
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                made = list(prefixes([np.frombuffer(x, np.uint64) for x in part["items"]], frequency.value, threshold))
-                many = [len(s) for s, _, _ in made]
-                out = part.drop(columns="items").loc[part.index.repeat(many)]
-                yield out.assign(shingle=np.concatenate([s for s, _, _ in made]), w=np.concatenate([w for _, w, _ in made]), light=np.concatenate([np.arange(len(s)) < k for s, _, k in made]))
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            new = np.flatnonzero((pdf[["band", "key", "low", "high"]].diff() != 0).any(axis=1).to_numpy())
+            held = pdf.iloc[new[-1] :] if len(pdf) else None  # the last group may go on in the next batch
+            yield from (found for at, end in zip(new[:-1], new[1:], strict=True) if (found := pairs_of(pdf.iloc[at:end])) is not None)
+        if held is not None and (found := pairs_of(held)) is not None:
+            yield found
         give_back()
 
+    def pairs_of(group: pd.DataFrame) -> pd.DataFrame | None:
+        roots = group.groupby(["r1", "r2"], sort=False).ngroup().to_numpy()
+        if roots.max() == 0:
+            return None
+        made = linked([np.frombuffer(x, np.uint64) for x in group["items"]], group["weight"].to_numpy(), roots, frequency.value, threshold)
+        t = group[["t1", "t2"]].to_numpy()
+        return pd.DataFrame([(*t[i], *t[j]) for i, j in made], columns=["a1", "a2", "b1", "b2"]) if made else None
+
     placed = rooted(buckets.select("band", "key", "t"))
-    mixed = written(placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "key"), "mixed")
-    left = rooted(buckets.select("band", "key", "t").join(mixed, ["band", "key"], "left_semi").select("t").distinct())
-    left = bodies.join(left, "t").select(F.col("t.k1").alias("t1"), F.col("t.k2").alias("t2"), F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2"), "weight", "items")
-    marks = left.mapInPandas(marked, "t1 long, t2 long, r1 long, r2 long, weight double, shingle long, w double, light boolean")
-    marks = written(marks.select(_t("t1", "t2", "t"), _t("r1", "r2", "root"), "weight", "shingle", "w", "light"), "marks")
-    # Classes meet first, so that texts of one class never meet, and in blocks, so that no shingle makes a large task.
-    classes = marks.groupBy("shingle", "root").agg(F.max("light").alias("light"))
-    blocks = written(classes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max("light").alias("some")).filter("n > 1 and some").select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "blocks")
-    classes = classes.join(blocks, "shingle").withColumn("mine", F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int")).withColumn("all", F.expr("sequence(0, blocks - 1)"))
-    some = classes.filter("light").select("shingle", F.col("root").alias("root_a"), F.col("mine").alias("block_a"), F.explode("all").alias("block_b"))
-    others = classes.select("shingle", F.col("root").alias("root_b"), F.explode("all").alias("block_a"), F.col("mine").alias("block_b"))
-    meeting = some.join(others, ["shingle", "block_a", "block_b"]).filter("root_a <> root_b").select("shingle", "root_a", "root_b")
-    one = marks.filter("light").select("shingle", F.col("root").alias("root_a"), F.col("t").alias("a"), F.col("weight").alias("weight_a"), F.col("w").alias("w_a"))
-    other = marks.select("shingle", F.col("root").alias("root_b"), F.col("t").alias("b"), F.col("weight").alias("weight_b"), F.col("w").alias("w_b"))
-    fit = (F.col("weight_a") <= F.col("weight_b") * (1 + 1e-9)) & (F.col("weight_a") >= F.col("weight_b") * threshold * (1 - 1e-9))
-    pairs = meeting.join(one, ["shingle", "root_a"]).join(other, ["shingle", "root_b"]).filter(fit)
-    pairs = pairs.groupBy("a", "b").agg(F.sum(F.least("w_a", "w_b")).alias("shared"))
-    done = tested.select("a", "b").union(tested.select("b", "a"))
-    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
-    pairs = written(pairs.join(done, ["a", "b"], "left_anti").withColumn("place", best).select("a", "b", "place"), "more-pairs")
-    for low, high in zip([0, *WAVES], [*WAVES, 1 << 62], strict=True):
-        wave = rooted(rooted(pairs.filter(F.col("place").between(low + 1, high)), "a", "now_a"), "b", "now_b").filter("now_a <> now_b")
-        links = links.unionByName(verified(wave, "more-links"))
-        roots = components(links)
-
-    linked = texts.join(roots.withColumnRenamed("node", "t"), "t").select("t", "root", "first", "n")
-    named = written(linked.groupBy("root").agg(F.min(F.struct("first", "t")).alias("of"), F.sum("n").alias("size")), "classes")
-    found = linked.join(named, "root").select("t", "of", "size")
+    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
+    mixed = written(mixed.select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    left = placed.join(mixed, ["band", "key"]).withColumn("mine", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")).join(bodies, "t")
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("band", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), F.col("t.k1").alias("t1"), F.col("t.k2").alias("t2"), F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2"), "weight", "items")
+    group = ["band", "key", "low", "high"]
+    more = left.repartition(*group).sortWithinPartitions(*group).mapInPandas(met, "a1 long, a2 long, b1 long, b2 long")
+    more = written(more.select(_t("a1", "a2", "a"), _t("b1", "b2", "b")), "links-in-buckets")
+    roots = components(links.unionByName(more))
+
+    joined = texts.join(roots.withColumnRenamed("node", "t"), "t").select("t", "root", "first", "n")
+    named = written(joined.groupBy("root").agg(F.min(F.struct("first", "t")).alias("of"), F.sum("n").alias("size")), "classes")
+    found = joined.join(named, "root").select("t", "of", "size")
     found = texts.select("t", F.struct("first", "t").alias("alone"), "n").join(found, "t", "left")
     of = F.coalesce("of", "alone")
     found = written(found.select(F.col("t.k1").alias("k1"), F.col("t.k2").alias("k2"), of["first"]["doc_id"].alias("class_id"), of["t"]["k1"].alias("c1"), of["t"]["k2"].alias("c2"), F.coalesce("size", "n").alias("class_size")), "classes-of-texts")

@@ -224,23 +224,21 @@ def test_near_duplicates_in_a_crowded_bucket(spark):
     assert found == {i: i - i % 2 for i in range(len(texts))}
 
 
-def test_prefixes_of_similar_texts_meet():
+def test_linked_finds_what_single_comparisons_find():
     r = np.random.default_rng(3)
     texts = []
     for _ in range(60):
-        words = [f"w{k}" for k in r.integers(0, 300, r.integers(20, 120))]
+        words = [f"w{k}" for k in r.integers(0, 300, r.integers(20, 120))] + ["again and"] * int(r.integers(0, 20))
         cut = [*words]
         for k in r.integers(0, len(words), r.integers(0, 4)):
             cut[k] = "other"
         texts += [" ".join(words), " ".join(cut[: len(cut) - r.integers(0, 10)])]
     frequency = near_dups.Frequencies(r.integers(1, 9, (2, 1 << 10)), 9)
     weights, items = zip(*near_dups.packed(texts, frequency), strict=True)
-    kept = [(w, x, light) for w, (x, _, light) in zip(weights, near_dups.prefixes(items, frequency, 0.8), strict=True)]
-    similar = near_dups.similarity(texts[::2], texts[1::2], frequency)
-    for k in np.flatnonzero(similar >= 0.8).tolist():
-        (_, a, light), (_, b, _) = sorted(kept[2 * k : 2 * k + 2], key=lambda x: x[0])
-        assert set(a[:light].tolist()) & set(b.tolist())
-    assert (similar >= 0.8).sum() > 10 < (similar < 0.8).sum()
+    one_by_one = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if near_dups.similar(items[i], weights[i], items[j], weights[j], frequency) >= 0.8}
+    assert set(near_dups.linked(items, np.array(weights), np.arange(len(texts)), frequency, 0.8)) == one_by_one and len(one_by_one) > 10
+    halves = np.arange(len(texts)) // 60
+    assert len(near_dups.linked(items, np.array(weights), halves, frequency, 0.8)) == any(i < 60 <= j for i, j in one_by_one)
 
 
 def test_sampling_estimates_weighted_jaccard():
