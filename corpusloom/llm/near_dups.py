@@ -249,9 +249,10 @@ def near_classes(documents: DataFrame, threshold: float = SIMILAR) -> DataFrame:
             yield pd.DataFrame({"t1": pdf["t1"], "t2": pdf["t2"], "weight": weights, "items": [x.tobytes() for x in items]})
         give_back()
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    kind = documents.schema["doc_id"].dataType
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *text_key(F.col("text")))
-    texts = rows.mapInPandas(banded, f"doc_id {kind}, k1 long, k2 long, keys array<long>")
+    # As a string, since numbers with nulls among them are floats in pandas.
+    texts = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(banded, "doc_id string, k1 long, k2 long, keys array<long>").withColumn("doc_id", F.col("doc_id").cast(kind))
     own = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")
     texts = written(texts.groupBy("k1", "k2").agg(F.first("keys").alias("keys"), F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).select(_t("k1", "k2", "t"), "keys", "first", "n"), "texts")
     buckets = texts.select("t", F.posexplode("keys").alias("band", "key"))
@@ -314,7 +315,8 @@ def near_classes(documents: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     more = written(more.select(_t("a1", "a2", "a"), _t("b1", "b2", "b")), "links-in-buckets")
     roots = components(links.unionByName(more))
 
-    joined = texts.join(roots.withColumnRenamed("node", "t"), "t").select("t", "root", "first", "n")
+    nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())  # a root is a text of its class, too
+    joined = texts.join(nodes.withColumnRenamed("node", "t"), "t").select("t", "root", "first", "n")
     named = written(joined.groupBy("root").agg(F.min(F.struct("first", "t")).alias("of"), F.sum("n").alias("size")), "classes")
     found = joined.join(named, "root").select("t", "of", "size")
     found = texts.select("t", F.struct("first", "t").alias("alone"), "n").join(found, "t", "left")
