@@ -4,23 +4,28 @@ The canonical form drops copyright lines, case, punctuation and white space and
 entire if all of it, or all of one of its lines, is a known licence or notice: `license` names the one that the whole
 document is, `notices` those that stand on lines of their own.
 
+Lines are looked at only if they begin as a known text does; no text or line is shuffled, but for the few found ones.
+
 Cases: null and empty texts (and texts of punctuation only) have an empty canonical form, which is no licence; repeated
-rows are scanned one by one and alike; an empty table, or no known licences, gives no rows or no licences; known texts
+rows are scanned one by one and alike; long texts are scanned whole; an empty table, or no known licences, gives no rows or no licences; known texts
 with one digest go by the smallest of their names; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_key
+from .common import table, text_key, written
 
-#: Short licences and the usual one-line notices. Further ones come from a table known(license, text).
-KNOWN = [
-    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+#: The usual one-line notices. Whole licences are the public texts in licence_texts, by SPDX name; further
+#: ones, of both kinds, come as a table known(license, text).
+NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -31,25 +36,60 @@ KNOWN = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
 ]
 
-#: Fixed values: (pattern, replacement) in the order in which they apply to a lower-cased text; for Java and RE2 alike.
+#: The titles under which short licences stand, or none.
+TITLES = {
+    "BSD-2-Clause": ["", "BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["", "BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'],
+    "BSL-1.0": ["", "Boost Software License - Version 1.0 - August 17th, 2003"],
+    "ISC": ["", "ISC License", "The ISC License", "ISC License (ISC)"],
+    "MIT": ["", "MIT License", "The MIT License", "The MIT License (MIT)"],
+    "Zlib": ["", "zlib License", "The zlib License", "The zlib/libpng License"],
+}
+
+
+def _forms() -> list[tuple[str, str]]:
+    """(license, text): whole licences, the short ones under each title, with numbered and with other lists; then notices."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        name, text = path.stem, path.read_text()
+        if name in TITLES:
+            body = text.split("\n", 1)[1]
+            text = [f"{title}\n{b}" for title in TITLES[name] for b in dict.fromkeys([body, re.sub(r"(?m)^[0-9]\. ", "* ", body)])]
+        out += [(name, t) for t in ([text] if isinstance(text, str) else text)]
+        if name == "ISC":  # without its condition, it is another licence
+            out += [("0BSD", t.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", "").replace("ISC", "BSD Zero Clause")) for t in text]
+    return out + NOTICES
+
+
+KNOWN = _forms()
+
+#: Fixed values: (pattern, replacement) in the order in which they apply to a lower-cased text; for Java and RE2 alike. The
+#: first drops the lines of copyright, not those of a licence that merely begin with the word.
 STEPS = [
-    (r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*", r"\1"),
+    (r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]+(c\b|[0-9]{4}|year|yyyy|by\b)|c\)[^a-z0-9\n]+(copyright|[0-9]{4})|copyright[^a-z0-9\n]*©|all rights reserved)[^\n]*", r"\1"),
+    (r"(^|\n)[ \t]*©[^\n]*", r"\1"),
     (r"[^a-z0-9]+", " "),
-    (r"\b(licence|licenses|licences)\b", "license"),
-    (r"\blicenced\b", "licensed"),
-    (r"\borganisation\b", "organization"),
-    (r"\bnon commercial\b", "noncommercial"),
-    (r"\bcopyright owner\b", "copyright holder"),
+    (r"\b(sub|re)?(licence|licenses|licences)\b", r"\1license"),
+    (r"\b(sub|re)?licenced\b", r"\1licensed"),
+    (r"\b(author|organ|recogn|util|initial|optim|maxim|categor)is(e|ed|es|ing|ation|ations)\b", r"\1iz\2"),
+    (r"\b(fav|lab|hon)our", r"\1or"),
+    (r"\backnowledgement", "acknowledgment"),
+    (r"\b(non|sub) (commercial|infringement|licens)", r"\1\2"),
+    (r"\bcopyright owner", "copyright holder"),
+    (r"\bwhilst\b", "while"),
+    (r"\bper cent\b", "percent"),
+    (r"\bcentre\b", "center"),
 ]
-#: What a text holds if the first step, or any after the second, can change it.
-_FIRST, _LATER = ["copyright", "(c)", "©"], ["licenc", "licenses", "organisation", "non commercial", "copyright owner"]
+#: What a text holds if the first two steps, or any after the third, can change it.
+_FIRST = ["copyright", "(c)", "©", "all rights reserved"]
+_LATER = ["licenc", "licenses", "authoris", "organis", "recognis", "utilis", "initialis", "optimis", "maximis", "categoris", "favour", "labour", "honour"]
+_LATER += ["acknowledgement", "non commercial", "non infringement", "sub licens", "copyright owner", "whilst", "per cent", "centre"]
 
-#: No step changes so many of the first letters and digits of a notice.
-_HEAD = 3
+#: No step changes so many of the first letters and digits of a line that it keeps.
+_HEAD = 4
 
 
 def _any(c: Column, marks: list[str]) -> Column:
@@ -64,7 +104,7 @@ def with_digest(rows: DataFrame, text: str, name: str = "digest", empty: str = "
     """
     c = F.col(text)
     rows = rows.withColumn(text, F.lower(F.coalesce(c, F.lit(""))))
-    for guard, steps in ((_FIRST, STEPS[:1]), (None, STEPS[1:2]), (_LATER, STEPS[2:])):
+    for guard, steps in ((_FIRST, STEPS[:2]), (None, STEPS[2:3]), (_LATER, STEPS[3:])):
         done = c
         for pattern, put in steps:
             done = F.regexp_replace(done, pattern, put.replace("\\", "$"))
@@ -78,15 +118,30 @@ def _head(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.regexp_extract(F.lower(c), rf"[a-z0-9](?:[^a-z0-9]*[a-z0-9]){{0,{_HEAD - 1}}}", 0), "[^a-z0-9]", ""), F.lit(""))
 
 
+def _kept(c: Column) -> Column:
+    """The lines that the first two steps keep."""
+    for pattern, put in STEPS[:2]:
+        c = F.regexp_replace(c, pattern, put.replace("\\", "$"))
+    return c
+
+
+def canonical(text: str) -> str:
+    """The canonical form of one text: for the digests in the SQL, and for tests."""
+    text = text.lower()
+    for pattern, put in STEPS:
+        text = re.sub(pattern, put, text, flags=re.ASCII)
+    return text.strip(" ")
+
+
 def known_licences(spark, rows=KNOWN) -> DataFrame:
     return spark.createDataFrame(list(rows), "license string, text string")
 
 
 def scan(documents: DataFrame, known: DataFrame) -> DataFrame:
     """Each row of documents(doc_id, text): doc_id, digest (of its canonical form), license (null if it isn't one) and notices (sorted)."""
-    known = known.select("license", "text", _head(F.regexp_replace(F.lower("text"), STEPS[0][0], "$1")).alias("head"))
-    heads = known.select("head").distinct()
-    digests = with_digest(known, "text", empty="none").groupBy("digest").agg(F.min("license").alias("license"))
+    # Written, so that Spark knows their sizes, and broadcasts them where these are small.
+    digests = written(with_digest(known.select("license", "text"), "text", empty="none").groupBy("digest").agg(F.min("license").alias("license")), "licence-digests")
+    heads = written(known.select(_head(_kept(F.lower("text"))).alias("head")).distinct(), "licence-heads")
     lines = documents.select(*text_key(F.col("text")), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).withColumn("head", _head(F.col("line")))
     lines = with_digest(lines.join(heads, "head", "left_semi").select("k1", "k2", "line"), "line")
     notices = lines.join(digests, "digest").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("license")).alias("notices"))
@@ -109,9 +164,10 @@ def _sql() -> str:
             text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(put)}, 'g')"
         return f"trim({text})"
 
-    known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in KNOWN)
+    digests = sorted({(name, hashlib.sha256(canonical(text).encode()).hexdigest()) for name, text in KNOWN})
+    known = ", ".join(f"({quoted(name)}, {quoted(digest)})" for name, digest in digests)
     return f"""
-with k as (select min(license) as license, sha256({c("text")}) as digest from (values {known}) v(license, text) group by 2),
+with k as (select min(license) as license, digest from (values {known}) v(license, digest) group by 2),
 d as (select row_number() over () as r, doc_id, text, {c("text")} as canon from documents),
 l as (select r, {c("line")} as canon from (select r, unnest(string_split(text, chr(10))) as line from d)),
 n as (select r, string_agg(distinct license, ',' order by license) as notices from l join k on canon <> '' and sha256(canon) = digest group by r)

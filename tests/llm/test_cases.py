@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -84,7 +86,7 @@ def test_each_occurrence_is_drawn_on_its_own():
 
 
 def test_licences(spark, none):
-    mit = licences.KNOWN[11][1]
+    mit = next(t for n, t in licences.KNOWN if n == "MIT").split("[fullname]")[1]
     rows = [(1, "Copyright (c) 2020 Me\n\n" + mit.upper().replace(".", " ;")), (2, "x\nreleased under the MIT licence\nLicensed under CC BY-NC 4.0."), (3, None), (4, ""), (5, LONG), (5, LONG), (6, "...")]
     known = licences.known_licences(spark)
     found = [(r["doc_id"], r["license"], r["notices"]) for r in licences.scan(documents(spark, *rows), known).collect()]
@@ -92,6 +94,20 @@ def test_licences(spark, none):
     assert licences.scan(none, known).count() == 0 and licences.scan(documents(spark, *rows), known.limit(0)).filter("license is not null").count() == 0
 
 
+def test_whole_licences(spark):
+    texts = {p.stem: p.read_text() for p in (Path(licences.__file__).parent / "licence_texts").glob("*.txt")}
+    wrapped = {n: re.sub(r"(?<=[a-z,;]) *\n *(?=[A-Za-z])", " ", t) for n, t in texts.items()}
+    cased = {n: t.upper() for n, t in texts.items()}
+    rows = [(i, t) for i, t in enumerate(t for kind in (texts, cased, wrapped) for t in kind.values())]
+    names = [n for _ in range(3) for n in texts]
+    mit = "The MIT License (MIT)\r\n\r\nCopyright © 2019-2021 Some One <a@b.org>\r\nCopyright (C) 2022, Others\r\n" + texts["MIT"].split("[fullname]")[1].replace("\n", "\r\n").replace("OR\r\nIMPLIED", "OR IMPLIED").replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\r\nCOPYRIGHT")
+    bsd = "(c) 2001 The Firm. All rights reserved.\n" + texts["BSD-2-Clause"].split("[fullname]")[1].replace("1. ", "- ").replace("2. ", "- ")
+    rows += [(len(rows), mit), (len(rows) + 1, bsd), (len(rows) + 2, texts["MIT"] + "\nNot for any use at all.")]
+    found = {r["doc_id"]: (r["license"], r["digest"]) for r in licences.scan(documents(spark, *rows), licences.known_licences(spark)).collect()}
+    assert [found[i][0] for i in range(len(rows))] == [*names, "MIT", "BSD-2-Clause", None]
+    assert all(found[i][1] == hashlib.sha256(licences.canonical(t).encode()).hexdigest() for i, t in rows)
+
+
 def test_pii(odd, none):
     rows = pii.find_pii(odd).withColumn("red", pii.redact("text", "pii")).collect()
     assert {r["doc_id"]: r["red"] for r in rows}[9] == "mail <email>" and {r["doc_id"]: r["red"] for r in rows}[1] is None
