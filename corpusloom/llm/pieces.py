@@ -74,13 +74,31 @@ class Vocabulary:
         # All pairs of pieces that make a piece, and the pieces of single characters, for encode_units.
         self.size = n
         pairs = sorted((self.ids[p[:k]] * n + self.ids[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
-        self.pairs, self.pair_ids = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         ranks = {r: k for k, r in enumerate(sorted(set(self.rank.values())))}
-        self.pair_ranks = np.array([ranks[self.rank[pieces[i]]] for _, i in pairs], np.int64)
+        bits = max(len(pairs), 1).bit_length() + 2
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        # A hash table with linear probing: an empty slot holds no pair, no piece and no candidate.
+        self.slots, self.made, self.ranks = np.full(1 << bits, -1), np.full(1 << bits, -1), np.full(1 << bits, NONE)
+        for at, (pair, i) in zip(self._slot(np.array([x for x, _ in pairs], np.int64)).tolist(), pairs, strict=True):
+            while self.slots[at] >= 0:
+                at = at + 1 & self.mask
+            self.slots[at], self.made[at], self.ranks[at] = pair, i, ranks[self.rank[pieces[i]]]
         chars = {ord(p): i for p, i in self.ids.items() if len(p) == 1}
         self.char_ids = np.full(max(chars) + 2, -1, np.int64)
         self.char_ids[list(chars)] = list(chars.values())
 
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece that each pair of symbols makes and its rank; -1 and NONE where it makes none."""
+        pair = np.where((left < 0) | (right < 0), -1, left * self.size + right)
+        at = self._slot(pair)
+        wrong = np.arange(len(pair))
+        while len(wrong := wrong[((seen := self.slots[at[wrong]]) != pair[wrong]) & (seen >= 0)]):
+            at[wrong] = at[wrong] + 1 & self.mask
+        return self.made[at], self.ranks[at]
+
     def fallback(self, c: str) -> list[int]:
         return [self.byte_ids[b] for b in c.encode()]
 
@@ -158,14 +176,7 @@ def encode_units(v: Vocabulary, units: list[tuple[str, int]], dropout: float, se
     limit = np.uint64(int(dropout * (1 << 64)))
     key = keys if keys is not None else np.array([_key(u, k, seed) for u, k in units] if limit else [0] * len(units), np.uint64)
 
-    def candidates(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The piece that each pair makes and its rank; NONE where it makes none."""
-        pair = np.where((left < 0) | (right < 0), -1, left * v.size + right)
-        at = np.minimum(np.searchsorted(v.pairs, pair), len(v.pairs) - 1)
-        hit = v.pairs[at] == pair
-        return np.where(hit, v.pair_ids[at], -1), np.where(hit, v.pair_ranks[at], NONE)
-
-    made, rank = candidates(symbol, np.append(symbol[1:], -1))
+    made, rank = v.merged(symbol, np.append(symbol[1:], -1))
     rank[first[1:] - 1] = NONE
     if alone:
         for i in alone:
@@ -179,28 +190,24 @@ def encode_units(v: Vocabulary, units: list[tuple[str, int]], dropout: float, se
             final[first[unit[~rest]] + start[~rest]] = symbol[~rest]
         if not live.any():
             break
-        pick = np.zeros(len(unit), bool)
-        pick[(best & ((1 << 40) - 1))[live]] = True
-        unit, start, symbol, made, rank, pick = unit[rest], start[rest], symbol[rest], made[rest], rank[rest], pick[rest]
-        at = np.flatnonzero(pick)
-        ends = np.where(np.append(unit[1:], -1) == unit, np.append(start[1:], 0), sizes[unit])
-        place = (start[at] << 40 | start[at + 1] << 20 | ends[at + 1]).astype(np.uint64)
+        at = (best & ((1 << 40) - 1))[live]
+        after = np.minimum(at + 2, len(unit) - 1)
+        ends = np.where((at + 2 < len(unit)) & (unit[after] == unit[at]), start[after], sizes[unit[at]])
+        place = (start[at] << 40 | start[at + 1] << 20 | ends).astype(np.uint64)
         if merges is not None:
             merges.append((unit[at], place))
         if limit:
             skipped = _skipped(key[unit[at]], place, limit)
             rank[at[skipped]] = NONE
             at = at[~skipped]
-        if not len(at):
-            continue
         symbol[at] = made[at]
-        keep = np.ones(len(unit), bool)
-        keep[at + 1] = False
-        new = at - np.arange(len(at))  # one merge a unit: as many symbols have gone before it
-        unit, start, symbol, made, rank = unit[keep], start[keep], symbol[keep], made[keep], rank[keep]
+        rest[at + 1] = False  # the symbols that are merged away go with the units that are done
+        kept = np.flatnonzero(rest)
+        new = np.searchsorted(kept, at)
+        unit, start, symbol, made, rank = unit[kept], start[kept], symbol[kept], made[kept], rank[kept]
         for left in (new, new[new > 0] - 1):
             right = np.minimum(left + 1, len(unit) - 1)
-            m, r = candidates(symbol[left], symbol[right])
+            m, r = v.merged(symbol[left], symbol[right])
             made[left], rank[left] = m, np.where((right > left) & (unit[right] == unit[left]), r, NONE)
     odd = np.flatnonzero((final < 0) & (final != GONE))  # characters that become bytes
     count = np.where(final == GONE, 0, 1)
