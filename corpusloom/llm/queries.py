@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import ann, chat_format, decontam, licences, near_dups, pieces, pii, quality, suffix_dedup, url_filter
+from . import ann, chat_format, decontam, licences, near_dups, pieces, pii, prefix_trie, quality, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontam.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_remove_repeats": suffix_dedup.query,
     "op9_near_duplicates": near_dups.query,
     "op10_nearest_vectors": ann.query,
+    "op11_prefix_trie": prefix_trie.query,
 }
 
 SQL = {
@@ -20,4 +21,5 @@ SQL = {
     "op4_scan_licences": licences.SQL,
     "op6_filter_urls": url_filter.SQL,
     "op7_format_chats": chat_format.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
 }

@@ -1,7 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import re
+import zlib
+from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -9,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import ann, chat_format, decontam, licences, near_dups, pieces, pii, quality, suffix_dedup, url_filter
+from corpusloom.llm import ann, chat_format, decontam, licences, near_dups, pieces, pii, prefix_trie, quality, suffix_dedup, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, _k1 string, score string, pii string, spots string"
 LONG = " ".join(f"word{i % 997} and{i % 31}" for i in range(20_000))
@@ -324,3 +327,62 @@ def test_pipeline_of_nothing(spark, odd, none):
             assert out.columns == rows.columns, name
             assert out.count() <= rows.count()
     assert corpus_pipeline.quality_stage(spark, none, sf).count() == 0 and corpus_pipeline.pieces_stage(spark, none, sf).count() == 0
+
+
+def brute_trie(turns):
+    """turns: conv_id -> its turns in order. Nodes by (least member, depth), from sets of members."""
+    built = {}
+    for c, own in turns.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        built[c] = tuple(turns.get(c - math.fmod(c, 100), [])[:h] + own[h:])
+    members = defaultdict(list)
+    for c, seq in sorted(built.items()):
+        for d in range(len(seq) + 1):
+            members[seq[:d]].append(c)
+    out = set()
+    for seq, cs in members.items():
+        inside = [x for x in members if x[: len(seq)] == seq]
+        kids = sum(len(x) == len(seq) + 1 for x in inside)
+        leaves = sum(not any(len(y) == len(x) + 1 and y[: len(x)] == x for y in inside) for x in inside)
+        saved = sum((len(members[x]) - 1) * len(x[-1][1]) for x in inside if x)
+        ends = ",".join(str(c) for c in cs if built[c] == seq)
+        out.add((cs[0], len(seq), members[seq[:-1]][0] if seq else None, len(cs), kids, leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+CHATS = "conv_id long, turn long, role string, text string, key string, path string, level int, cut int, n int"
+
+
+@pytest.mark.parametrize("together, shard", [(128, 256), (1, 1), (3, 4)])
+def test_prefix_trie(spark, together, shard):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"say {c % 3 if c % 7 else c} {t if t < 4 else c % 2}") for c in range(95, 330) for t in range(c % 9)]
+    rows += [(c, t, "user", "the same") for c in range(400, 460) for t in range(7)] + [(500, t, "user", str(t % 5)) for t in range(300)]
+    rows += [(-205, None, None, None), (-205, 1, "user", "é😀"), (-205, 1, "user", "é😀"), (-205, 1, "", "z"), (-200, 0, "user", None), (None, 0, "user", "lost"), (7, 0, "user", ""), (8, None, "b", "x"), (8, None, "a", "y")]
+    turns = defaultdict(list)
+    for c, t, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        turns[c].append((role or "", text or ""))
+    df = spark.createDataFrame([(*r, "k", "p", 1, 2, 3) for r in rows], CHATS).repartition(5)
+    assert {tuple(r) for r in prefix_trie.trie_nodes(df, together, shard).collect()} == brute_trie(turns)
+
+
+def test_prefix_trie_of_nothing(spark):
+    assert prefix_trie.trie_nodes(spark.createDataFrame([], CHATS)).count() == 0
+
+
+def test_double_array():
+    rng = np.random.default_rng(3)
+    seqs = [rng.integers(0, 40, rng.integers(0, 9)) for _ in range(500)]
+    sizes = np.array([len(s) for s in seqs])
+    trie = prefix_trie.packed(np.concatenate(seqs), np.cumsum(sizes) - sizes, sizes, 40)
+
+    def find(seq):
+        at = np.zeros(1, np.int64)
+        for code in seq:
+            at = trie.step(at, np.array([code]))
+            if at[0] < 0:
+                return None
+        return int(at[0])
+
+    there = {tuple(s[:d]) for s in seqs for d in range(len(s) + 1)}
+    assert len({find(s) for s in there}) == len(there) and None not in {find(s) for s in there}
+    assert (trie.check >= 0).sum() == len(there) and all(find((*s, 39 - s[0])) is None for s in there if s and (*s, 39 - s[0]) not in there)
