@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import ann, chat_format, decontam, licences, near_dups, pieces, pii, prefix_trie, quality, suffix_dedup, url_filter
+from corpusloom.llm import ann, chat_format, decontam, licences, near_dups, pieces, pii, prefix_trie, quality, suffix_dedup, url_filter, whitening
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, _k1 string, score string, pii string, spots string"
 LONG = " ".join(f"word{i % 997} and{i % 31}" for i in range(20_000))
@@ -386,3 +386,74 @@ def test_double_array():
     there = {tuple(s[:d]) for s in seqs for d in range(len(s) + 1)}
     assert len({find(s) for s in there}) == len(there) and None not in {find(s) for s in there}
     assert (trie.check >= 0).sum() == len(there) and all(find((*s, 39 - s[0])) is None for s in there if s and (*s, 39 - s[0]) not in there)
+
+
+VECTORS = "vec_id long, embedding array<double>, label int, component int, whitened string, f int, n int, links int"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, 1, 2, "w", 3, 4, 5) for i, v in rows], VECTORS)
+
+
+def whitened_by_brute_force(rows, k=32):
+    ids, x = [i for i, _ in rows], np.floor(64 * np.array([v for _, v in rows])).astype(int)
+    n, sums = len(ids), x.sum(0)
+    y = x - sums / n
+    w, e = np.linalg.eigh(y.T @ y / n)
+    w, e = w[::-1][:k], e[:, ::-1][:, :k]
+    return ids, ((n * x - sums) ** 2).sum(1), y @ e / np.sqrt(w), w / np.trace(y.T @ y / n), w
+
+
+def check_whitening(found, rows):
+    ids, deviation, whitened, explained, w = whitened_by_brute_force(rows)
+    k = len(explained)
+    assert len(found) == len(rows) * k
+    got = defaultdict(list)
+    for r in found:
+        got[r["component"]].append((r["vec_id"], r["deviation"], r["whitened"], r["explained"], r["n"], r["identity_error"]))
+    assert sorted(got) == list(range(1, k + 1))
+    for c, have in got.items():
+        assert sorted((i, d) for i, d, *_ in have) == sorted(zip(ids, deviation.tolist(), strict=True))
+        assert all(n == len(rows) and e == pytest.approx(explained[c - 1], rel=1e-9) and err < 1e-9 for _, _, _, e, n, err in have)
+        alone = min([abs(w[c - 1] - w[j]) for j in range(len(w)) if j != c - 1], default=1) > 1e-4 * w[0]
+        if alone and c < k:
+            have, want = sorted((i, x) for i, _, x, *_ in have), sorted(zip(ids, whitened[:, c - 1].tolist(), strict=True))
+            sign = np.sign(np.dot([x for _, x in have], [x for _, x in want])) if len(set(ids)) == len(ids) else 0
+            assert not sign or np.allclose([x for _, x in have], sign * np.array([x for _, x in want]), atol=1e-8)
+
+
+def test_whitening_is_the_brute_force_one(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(rng.standard_normal((700, 40)) * np.linspace(3, 0.3, 40))]
+    rows += [(700 + i, [0.5] * 40) for i in range(300)] + [(1000, [0.0] * 40)]
+    whole, d = whitening.whole_vectors(vectors(spark, rows).repartition(7))
+    check_whitening(whitening.Whitening(whole, d).rows().collect(), rows)
+
+
+def test_whitening_query(spark, sf):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    check_whitening(whitening.query(spark, sf).collect(), rows)
+
+
+def test_whitening_of_odd_rows(spark):
+    good = [(1, [1.0, 0.0, 2.0]), (1, [1.0, 0.0, 2.0]), (2, [0.0, 0.0, 0.0]), (4, [0.5, -3.0, 2.0]), (5, [9.25, 1.0, 2.0])]
+    bad = [(6, None), (7, [1.0, None, 2.0]), (8, [float("nan"), 1.0, 1.0]), (9, [float("inf"), 1.0, 1.0]), (10, [1.0, 2.0]), (11, []), (12, [1e300, 0.0, 0.0])]
+    rows = lambda x: whitening.Whitening(*whitening.whole_vectors(vectors(spark, x))).rows().collect()
+    found = rows([*good, *bad])
+    ids, deviation, _, explained, _ = whitened_by_brute_force(good)
+    assert sorted((r["vec_id"], r["deviation"]) for r in found if r["component"] == 1) == sorted(zip(ids, deviation.tolist(), strict=True))
+    assert {round(r["explained"], 9) for r in found} == {round(float(e), 9) for e in explained if e > 1e-9} and all(r["identity_error"] < 1e-9 for r in found)
+    assert any(r["vec_id"] is None for r in rows([*good, (None, [3.0, 3.0, 3.0])]))
+    assert rows(good[:1]) == [] and rows([good[0]] * 3) == [] and rows([]) == [] and rows(bad) == []
+    wide = [(i, [float(i) * 2**40, 1.0 - i]) for i in range(4)]
+    assert all(r["deviation"] is None for r in rows(wide))
+
+
+def test_eigenpairs_are_converged():
+    rng = np.random.default_rng(2)
+    for d, k in ((60, 32), (200, 7), (3, 32)):
+        a = rng.standard_normal((d, 3 * d)) * np.linspace(1, 9, d)[:, None]
+        v = a @ a.T / d
+        values, axes = whitening.jacobi_davidson(lambda b, v=v: v @ b, d, k)
+        assert np.allclose(values, np.linalg.eigvalsh(v)[::-1][:k], rtol=1e-12)
+        assert np.linalg.norm(v @ axes - axes * values, axis=0).max() < 1e-12 * values[0] and np.allclose(axes.T @ axes, np.eye(len(values)), atol=1e-12)
