@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import ann, chat_format, decontam, licences, near_dups, pieces, pii, prefix_trie, quality, suffix_dedup, url_filter, whitening
+from . import ann, chat_format, decontam, licences, near_dups, near_vectors, pieces, pii, prefix_trie, quality, suffix_dedup, url_filter, whitening
 
 QUERIES = {
     "op1_decontaminate": decontam.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_near_duplicates": near_dups.query,
     "op10_nearest_vectors": ann.query,
     "op11_prefix_trie": prefix_trie.query,
+    "op12_near_vectors": near_vectors.query,
     "op13_whiten_vectors": whitening.query,
 }
 

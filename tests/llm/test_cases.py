@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import ann, chat_format, decontam, licences, near_dups, pieces, pii, prefix_trie, quality, suffix_dedup, url_filter, whitening
+from corpusloom.llm import ann, chat_format, decontam, licences, near_dups, near_vectors, pieces, pii, prefix_trie, quality, suffix_dedup, url_filter, whitening
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, _k1 string, score string, pii string, spots string"
 LONG = " ".join(f"word{i % 997} and{i % 31}" for i in range(20_000))
@@ -457,3 +457,60 @@ def test_eigenpairs_are_converged():
         values, axes = whitening.jacobi_davidson(lambda b, v=v: v @ b, d, k)
         assert np.allclose(values, np.linalg.eigvalsh(v)[::-1][:k], rtol=1e-12)
         assert np.linalg.norm(v @ axes - axes * values, axis=0).max() < 1e-12 * values[0] and np.allclose(axes.T @ axes, np.eye(len(values)), atol=1e-12)
+
+
+def brute_links(rows, threshold=0.95):
+    """vec_id -> (n_links, component_id, kept) from all pairs."""
+    best = {}
+    for i, v in rows:
+        if i is not None:
+            ok = v is not None and len(v) == 8 and all(c is not None and math.isfinite(c) for c in v) and any(v)
+            best[i] = min([b for b in (best.get(i), list(v) if ok else None) if b is not None], default=None)
+    ids = sorted(i for i in best if best[i] is not None)
+    x = np.array([best[i] for i in ids], float)
+    u = x / np.abs(x).max(axis=1)[:, None]
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    alike = u @ u.T >= threshold
+    root = near_vectors._roots(len(ids), *np.nonzero(alike))
+    out = {i: (int(alike[k].sum()) - 1, ids[root[k]], ids[root[k]] == i) for k, i in enumerate(ids)}
+    return {i: out.get(i, (0, i, True)) for i in best}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"sample": 300, "leaf": 20, "block": 16}])
+def test_near_vectors_are_those_of_all_pairs(spark, sizes):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((900, 8))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    near = base[:300] + rng.standard_normal((300, 8)) * 0.1
+    crowd = base[5] + rng.standard_normal((150, 8)) * 0.01
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near, crowd, crowd[:40], crowd[:40] * 3]))]
+    rows += [(2000, None), (2001, [0.0] * 8), (2002, [1.0, None] * 4), (2003, [float("nan")] * 8), (2004, [float("inf")] + [1.0] * 7), (2005, [1.0]), (2006, []), (None, rows[0][1]), (7, rows[8][1]), (2000, rows[3][1]), (2007, [1e300] * 8), (2008, [1e-300] * 8)]
+    df = vectors(spark, rows).repartition(6)
+    found = near_vectors.near_vectors(df, **sizes)
+    assert found.columns == ["vec_id", "n_links", "component_id", "kept"]
+    got, want = {r[0]: tuple(r)[1:] for r in found.collect()}, brute_links(rows)
+    assert got[2007][0] == got[2008][0] > 0 and got == want and found.count() == len(want)
+
+
+def test_near_vectors_of_nothing(spark):
+    assert near_vectors.near_vectors(vectors(spark, [])).count() == 0
+    assert [tuple(r) for r in near_vectors.near_vectors(vectors(spark, [(3, None), (3, [0.0]), (None, [1.0])])).collect()] == [(3, 0, 3, True)]
+    assert [tuple(r) for r in near_vectors.near_vectors(vectors(spark, [(3, [1.0, 2.0])])).collect()] == [(3, 0, 3, True)]
+
+
+def test_forest_keeps_near_vectors_together():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal((2000, 64))
+    side -= (side * x[:2000]).sum(1)[:, None] * x[:2000]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    other = 0.951 * x[:2000] + np.sqrt(1 - 0.951**2) * side
+    forest = near_vectors.Forest(x, len(x), 64)
+    of = [defaultdict(set), defaultdict(set)]
+    for k, v in enumerate((x[:2000], other)):
+        for r, leaf in zip(*(a.tolist() for a in forest.leaves(v)), strict=True):
+            of[k][r].add(leaf)
+    assert all(of[0][r] & of[1][r] for r in range(2000))
+    rows, leaves = forest.leaves(x)
+    assert len(rows) < 5 * 8 * len(x) and np.bincount(leaves).max() < 1200
