@@ -6,7 +6,7 @@ contains a window contains all its shingles, so the necessary prefix of a window
 in the corpus (of equally rare ones that of the smallest hash). A first pass counts the windows' shingles in the corpus; a
 second one joins the prefixes only. Their hits, with their positions, give the only places where a window can stand;
 places that don't fit into the document are dropped (length and position bounds) and the rest is compared word by word,
-beside the document's words: no text is shuffled.
+beside the document's words: no text is shuffled. Only with more than BROADCAST windows are texts shuffled, once.
 
 Only DataFrame expressions are used. Cases: null texts have no words; rows with a null item_id or text are no items;
 very long texts are taken whole; an empty benchmark or corpus gives clean documents or no rows; equal texts get equal results, whatever their doc_id, and
@@ -22,7 +22,8 @@ from .common import keyed, table, text_key, words, written
 
 WINDOW, SHINGLE = 10, 3
 
-#: So many windows at most (some 200 bytes each) are sent to all tasks; beyond that they meet the corpus by a shuffled join.
+#: So many windows at most (some 200 bytes each) are sent to all tasks; beyond that shingles with their places meet them by a
+#: shuffled join, and each text that has a place where a window may stand meets its places once.
 BROADCAST = 200_000
 
 
@@ -65,7 +66,8 @@ def find_items(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     sizes = sorted(r[0] for r in windows.select(size).distinct().collect()) or [shingle]  # at most SHINGLE numbers
     of_size = F.coalesce(*[F.when(size == n, _shingles(F.col("ws"), [n])) for n in sizes])
     parts = written(windows.select("ws", "items", F.explode(of_size).alias("s")).select("ws", "items", "s.*"), "window-shingles")
-    small = (lambda df: F.broadcast(df)) if windows.count() <= BROADCAST else (lambda df: df)
+    sent = windows.count() <= BROADCAST
+    small = (lambda df: F.broadcast(df)) if sent else (lambda df: df)
 
     # How often each shingle of a window stands in the corpus: added up in each task before anything is shuffled.
     docs = documents.select(*text_key(F.col("text")), words(F.col("text")).alias("dws"))
@@ -76,10 +78,20 @@ def find_items(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     ranked = parts.join(written(rarity, "rarity"), "shingle", "left").groupBy("ws", "items").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "at")).alias("p"))
     prefix = written(ranked.filter("p.n > 0").select("ws", "items", F.col("p.shingle").alias("shingle"), F.col("p.at").alias("off")), "prefixes")
     start = F.col("at") - F.col("off")
-    fits = (start >= 0) & (start + F.size("ws") <= F.size("dws")) & (F.slice("dws", F.greatest(start, F.lit(0)) + 1, F.size("ws")) == F.col("ws"))
-    spots = places.join(small(prefix), "shingle").filter(fits)
-    spots = spots.select("k1", "k2", F.struct(start.alias("start"), F.size("ws").alias("length"), "items").alias("spot"))
-    found = written(spots.groupBy("k1", "k2").agg(F.collect_set("spot").alias("found")), "places")  # copies of a text share theirs
+
+    def stands(at: Column, ws: Column) -> Column:
+        return (at >= 0) & (at + F.size(ws) <= F.size("dws")) & (F.slice("dws", F.greatest(at, F.lit(0)) + 1, F.size(ws)) == ws)
+
+    if sent:
+        spots = places.join(F.broadcast(prefix), "shingle").filter(stands(start, F.col("ws"))).select("k1", "k2", F.struct(start.alias("start"), F.size("ws").alias("length"), "items").alias("spot"))
+        found = spots.groupBy("k1", "k2").agg(F.collect_set("spot").alias("found"))  # copies of a text share theirs
+    else:
+        maybe = places.select("k1", "k2", "at", "shingle").join(prefix, "shingle").filter(start >= 0)
+        maybe = written(maybe.groupBy("k1", "k2").agg(F.collect_set(F.struct(start.alias("start"), "ws", "items")).alias("maybe")), "maybe")
+        held = documents.select(*text_key(F.col("text")), "text").join(maybe, ["k1", "k2"]).select("k1", "k2", words(F.col("text")).alias("dws"), "maybe")
+        spots = F.transform(F.filter("maybe", lambda m: stands(m["start"], m["ws"])), lambda m: F.struct(m["start"].alias("start"), F.size(m["ws"]).alias("length"), m["items"].alias("items")))
+        found = held.select("k1", "k2", spots.alias("found")).filter(F.size("found") > 0).groupBy("k1", "k2").agg(F.first("found").alias("found"))
+    found = written(found, "places")
 
     key = ["k1", "k2"] if keep_key else []
     docs = documents.select("doc_id", *text_key(F.col("text")), F.size(words(F.col("text"))).cast("long").alias("n_words")).join(found, ["k1", "k2"], "left")

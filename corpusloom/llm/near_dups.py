@@ -228,6 +228,27 @@ def _t(a: str, b: str, name: str) -> Column:
     return F.struct(F.col(a).alias("k1"), F.col(b).alias("k2")).alias(name)
 
 
+def meetings(placed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """placed(band, key, t, root) -> band, key, t, root, low, high: the pairs of blocks in which the texts of a bucket meet those of other roots.
+
+    A root of at least `block` texts of a bucket has blocks of its own, which don't meet one another; the other texts share
+    blocks. So a crowd of one root meets the few texts beside it, not itself.
+    """
+    bucket, i = ["band", "key"], F.col("i")
+    sizes = placed.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(*bucket)
+    sizes = written(sizes.join(mixed, bucket).select(*bucket, "root", "n", F.when(F.col("n") >= block, F.col("root")).alias("own")), "roots-of-buckets")
+    blocks = written(sizes.groupBy(*bucket, "own").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")), "blocks")  # own: null for shared blocks
+    rows = placed.join(sizes.select(*bucket, "root", "own"), [*bucket, "root"])
+    pure = F.struct(F.col("own").isNull().alias("shared"), "own").alias("of")  # unlike null, equal to itself
+    rows = rows.select(*bucket, "t", "root", pure).join(blocks.select(*bucket, pure, F.col("blocks").alias("mine")), [*bucket, "of"])
+    rows = rows.withColumn("here", F.xxhash64("of", F.pmod(F.xxhash64("t"), F.col("mine")))).drop("mine")
+    others = blocks.select(*bucket, F.col("own").alias("other"), pure, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    others = others.select(*bucket, "other", F.xxhash64("of", i.cast("long")).alias("there"))
+    met = rows.join(others, bucket).filter(F.col("of.shared") | F.col("other").isNull() | (F.col("of.own") != F.col("other")))
+    return met.select(*bucket, "t", "root", F.least("here", "there").alias("low"), F.greatest("here", "there").alias("high"))
+
+
 def near_classes(documents: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """Each row of documents(doc_id, text): doc_id, k1, k2 (which stand for its text), class_id (the least doc_id of the class),
     c1, c2 (the text of that document; exactly one text stands for a class) and class_size (rows)."""
@@ -304,12 +325,8 @@ def near_classes(documents: DataFrame, threshold: float = SIMILAR) -> DataFrame:
         t = group[["t1", "t2"]].to_numpy()
         return pd.DataFrame([(*t[i], *t[j]) for i, j in made], columns=["a1", "a2", "b1", "b2"]) if made else None
 
-    placed = rooted(buckets.select("band", "key", "t"))
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
-    mixed = written(mixed.select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    left = placed.join(mixed, ["band", "key"]).withColumn("mine", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")).join(bodies, "t")
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("band", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), F.col("t.k1").alias("t1"), F.col("t.k2").alias("t2"), F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2"), "weight", "items")
+    left = meetings(written(rooted(buckets.select("band", "key", "t")), "placed")).join(bodies, "t")
+    left = left.select("band", "key", "low", "high", F.col("t.k1").alias("t1"), F.col("t.k2").alias("t2"), F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2"), "weight", "items")
     group = ["band", "key", "low", "high"]
     more = left.repartition(*group).sortWithinPartitions(*group).mapInPandas(met, "a1 long, a2 long, b1 long, b2 long")
     more = written(more.select(_t("a1", "a2", "a"), _t("b1", "b2", "b")), "links-in-buckets")

@@ -49,7 +49,7 @@ _CUES = {
     "password": ["password", "passwd", "pwd", "passwort", "contraseña", "mot de passe"],
 }
 _PARSERS = {"iban": _IBAN, "account": _ACCOUNT, "ssn": _SSN, "tel": _TEL, "secret": _SECRET, "password": _PASSWORD}
-_FOLD = {c: c + 32 for c in range(65, 91)}
+_UPPER = re.compile(r"[A-Z]+")
 
 
 @cache
@@ -80,7 +80,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     text = text or ""
     found: list[tuple[str, int, int]] = []
     mail = ip = card = run = told = 0  # ends of the last email, ip, card and secret and of the last run of digits
-    for last, what in _automaton().iter(text.lower() if text.isascii() else text.translate(_FOLD)):
+    for last, what in _automaton().iter(text.lower() if text.isascii() else _UPPER.sub(lambda m: m[0].lower(), text)):
         if what == "digit":
             if last < run:
                 continue

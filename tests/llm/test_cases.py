@@ -12,6 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from corpusloom.llm.common import written
+from corpusloom.llm.near_dups import meetings as near_meetings
 from corpusloom.llm import ann, chat_format, decontam, licences, near_dups, near_vectors, pieces, pii, prefix_trie, quality, suffix_dedup, url_filter, whitening
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, _k1 string, score string, pii string, spots string"
@@ -514,3 +516,50 @@ def test_forest_keeps_near_vectors_together():
     assert all(of[0][r] & of[1][r] for r in range(2000))
     rows, leaves = forest.leaves(x)
     assert len(rows) < 5 * 8 * len(x) and np.bincount(leaves).max() < 1200
+
+
+def test_many_windows_meet_the_corpus_without_its_words(spark, sf, odd, none, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    key = lambda rows: sorted(((r["doc_id"] or -1, r["n_words"], r["n_hit"], r["items"], sorted(map(tuple, r["hits"]))) for r in rows), key=str)
+    want = key(decontam.find_items(docs, items).collect())
+    strange = spark.createDataFrame([(1, STORY[:200]), (2, "One  TWO"), (3, None), (None, STORY), (4, ""), (5, "absent words")], "item_id long, text string")
+    usual = key(decontam.find_items(odd, strange).collect())
+    monkeypatch.setattr(decontam, "BROADCAST", 0)
+    made = []
+    monkeypatch.setattr(decontam, "written", lambda df, name: made.append(df) or written(df, name))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        hits = key(decontam.find_items(docs, items).collect())
+        assert key(decontam.find_items(odd, strange).collect()) == usual and decontam.find_items(none, strange).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert hits == want and any(r[2] for r in hits)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in made]
+    assert not any("BroadcastHashJoin" in p for p in plans)
+    assert not re.search(r"Exchange.*\n(.*\n)?.*Project \[[^\]]*dws[^\]]*shingle", "\n".join(plans))
+
+
+def test_a_crowd_of_one_root_meets_only_the_texts_beside_it(spark):
+    row = lambda i, r, key=1: (1, key, (i, i), (r, r))
+    rows = [row(i, 0) for i in range(900)] + [row(1000 + i, 1000 + i // 2) for i in range(20)] + [row(2000 + i, 2000) for i in range(50)] + [row(i, 0, 2) for i in range(300)]
+    placed = spark.createDataFrame(rows, "band int, key long, t struct<k1: long, k2: long>, root struct<k1: long, k2: long>")
+    met = near_dups.meetings(placed, 16).collect()
+    assert {r["key"] for r in met} == {1}
+    groups = defaultdict(list)
+    for r in met:
+        groups[r["low"], r["high"]].append((r["t"][0], r["root"][0]))
+    pairs = {frozenset((a, b)) for g in groups.values() for a, x in g for b, y in g if x != y}
+    of = {t[0]: r[0] for _, k, t, r in rows if k == 1}
+    assert pairs == {frozenset((a, b)) for a in of for b in of if of[a] < of[b]}
+    assert len(met) < 15 * len(of)
+
+
+def test_near_copies_and_an_outlier(spark, monkeypatch):
+    words = [f"w{i}" for i in range(120)]
+    copies = [" ".join([*words[: i % 120], f"x{i}", *words[i % 120 + 1 :]]) for i in range(600)]
+    outlier = " ".join([*words[:60], *[f"y{i}" for i in range(60)]])
+    sizes = []
+    monkeypatch.setattr(near_dups, "meetings", lambda placed, block=near_dups.BLOCK: (sizes.append(placed.count()), near_meetings(placed, 64))[1])
+    found = {r["doc_id"]: r["class_id"] for r in near_dups.near_classes(documents(spark, *enumerate([*copies, outlier]))).collect()}
+    assert {found[i] for i in range(600)} == {0} and found[600] == 600
