@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import MAX_OVERLAP_SENTENCE, MAX_WORDS, MIN_WORDS, OVERLAP_WORDS, WINDOW_WORDS, WS
-from ..functions.text import normalize_whitespace, strip, uuid5, words
+from ..functions.text import fix_mojibake, normalize_whitespace, strip, uuid5, words
 
 #: Where a sentence ends, before a capital or a digit; and where it may end else.
 _STRONG_END, _ANY_END = r"(?<=[.!?]){}+(?=[\"'(\[]?[A-Z0-9])", r"(?<=[.!?]){}+"
@@ -95,15 +95,19 @@ def overlapping_chunks(text: str | None) -> list[str]:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def chunks_of(texts: pd.Series) -> pd.Series:
+def _chunks_of(texts: pd.Series) -> pd.Series:
     return pd.Series([overlapping_chunks(t) for t in texts.tolist()], dtype=object)
 
 
+#: Told to be non-deterministic, since a filter on its size, which an explode brings, would else pack each text once more.
+chunks_of = _chunks_of.asNondeterministic()
+
+
 def chunk_sections(sections: DataFrame, key: list[str], text: str = "section_text") -> DataFrame:
     """sections -> one row for each chunk: the section's other columns, chunk_index (from 0), chunk_text, chunk_id.
 
     chunk_id is the name-based UUID of key and index, so that a retried task gives the same one.
     """
-    repaired = sections.withColumn("_text", normalize_whitespace(F.col(text))).withColumn("_parts", chunks_of("_text"))
+    repaired = sections.withColumn("_parts", chunks_of(fix_mojibake(F.col(text))))  # the packer tidies white space itself
     rows = repaired.select(*[c for c in sections.columns if c != text], F.posexplode("_parts").alias("chunk_index", "chunk_text"))
     return rows.withColumn("chunk_id", uuid5(F.concat_ws("/", *[F.col(k).cast("string") for k in key], F.col("chunk_index").cast("string"))))
