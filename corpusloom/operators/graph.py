@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import fix_mojibake
-from ..functions.vectors import unit
 from ..sources.store import written
+from .similarity import similar_pairs
 
 
 def explicit_edges(sections: DataFrame, valid: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,40 +33,6 @@ def mutual_neighbors(near: DataFrame, k: int) -> DataFrame:
     return top.filter("src < dst").join(back, ["src", "dst"], "left_semi")
 
 
-def similar_pairs(rows: DataFrame, threshold: float, row_id: str, k: int | None = None, block: int = 2048, embedding: str = "embedding") -> DataFrame:
-    """(src, dst, similarity) of all ordered pairs of different rows with a cosine over the threshold; with k, each row's k most similar only.
-
-    A blocked matrix product: rows are dealt into blocks, every pair of blocks is one bounded task, and a block's rows
-    travel as one packed record. Ids must be distinct; zero vectors are similar to nothing.
-    """
-    kind = rows.schema[row_id].dataType.simpleString()
-    blocks = max(1, -(-rows.count() // block))
-    unit_rows = rows.select(F.col(row_id).alias("id"), unit(F.col(embedding)).alias("v"), F.pmod(F.xxhash64(F.col(row_id)), F.lit(blocks)).cast("int").alias("mine"))
-    packed = unit_rows.groupBy("mine").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    left = packed.select("mine", "rows", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    both = left.join(packed.select(F.col("mine").alias("other"), F.col("rows").alias("others")), "other")
-
-    def matched(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for rs, os in zip(pdf["rows"], pdf["others"], strict=True):
-            a, b = (np.array([np.asarray(r["v"]) for r in x]) for x in (rs, os))
-            ids, names = (np.array([r["id"] for r in x]) for x in (rs, os))
-            s = np.clip(a @ b.T, -1, 1)
-            s[ids[:, None] == names[None, :]] = -2
-            for i in range(len(ids)):
-                at = np.flatnonzero(s[i] > threshold)
-                if k is not None and len(at) > k:
-                    at = at[np.lexsort((names[at], -s[i][at]))[:k]]
-                out.append(pd.DataFrame({"src": ids[i], "dst": names[at], "similarity": s[i][at]}))
-        return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "similarity": []})
-
-    found = both.groupBy("mine", "other").applyInPandas(matched, f"src {kind}, dst {kind}, similarity double")
-    if k is None:
-        return found
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))
-    return found.withColumn("_n", rank).filter(F.col("_n") <= k).drop("_n")
-
-
 def semantic_edges(rows: DataFrame, row_id: str, threshold: float = K.SEMANTIC_THRESHOLD, k: int = K.SEMANTIC_NEIGHBORS) -> DataFrame:
     """(src, dst, similarity), src < dst: rows that are among each other's k most similar, over the threshold."""
     if not -1 <= threshold <= 1:

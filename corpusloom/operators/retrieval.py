@@ -76,15 +76,6 @@ def widened(window: int, page_size: int) -> int:
     return -(-window // page_size) * page_size + K.PREFETCHED_PAGES * page_size
 
 
-def batch_top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, embedding: str = "embedding") -> DataFrame:
-    """queries(query_id, vector) against all rows: each one's k rows of greatest cosine. The stated queries are an array of the frame's few rows, exploded beside each row."""
-    few = queries.agg(F.collect_list(F.struct(F.col(query_id).alias("id"), "vector")).alias("queries"))
-    asked = rows.join(F.broadcast(few)).select(row_id, embedding, F.explode("queries").alias("q"))
-    scored = asked.select(F.col("q.id").alias(query_id), row_id, cosine(F.col(embedding), F.col("q.vector")).alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc_nulls_last("cosine"), row_id))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def group_by_entry(results: DataFrame, url: str = "url", rank: str = "rank") -> DataFrame:
     """Results by page, in the order in which the pages first appear: start (from 0) and how many passages."""
     return results.groupBy(F.split_part(F.col(url), F.lit("#"), F.lit(1)).alias("page_url")).agg((F.min(rank) - 1).alias("start"), F.count(F.lit(1)).alias("passages"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as tx
 from ..functions.vectors import unit
-from ..operators import chunking, classify, entries, graph, retrieval
+from ..operators import chunking, classify, entries, graph, graph_index, retrieval, similarity
 from ..sources import html, store
 from .service import SearchService
 
@@ -170,7 +170,7 @@ def page_window(spark, sf_dir):
 def batch_eval_topk(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings")
     queries = rows.filter("vec_id < 25").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))  # the 25 stated queries
-    found = retrieval.batch_top_k(queries, rows, K.EVAL_RESULTS, "query_id", "vec_id")
+    found = similarity.batch_top_k(queries, rows, K.EVAL_RESULTS, "query_id", "vec_id")
     return found.select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -328,7 +328,7 @@ _MUTUAL = f"with {_PAIRS}, k as (select * from p qualify row_number() over (part
 
 @query(f"with {_PAIRS} select src, dst, round(s, 6) as similarity from p")
 def pairwise_cosine(spark, sf_dir):
-    return graph.similar_pairs(_t(spark, sf_dir, "embeddings"), 0.3, "vec_id").withColumn("similarity", F.round("similarity", 6))
+    return similarity.similar_pairs(_t(spark, sf_dir, "embeddings"), 0.3, "vec_id").withColumn("similarity", F.round("similarity", 6))
 
 
 def _semantic(spark, sf_dir) -> DataFrame:

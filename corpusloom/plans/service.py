@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.models import HashEmbedder, LexicalReranker
 from ..functions.text import clean_text, rerank_text_of_chunk, rerank_text_of_entry, section_bonus, title_bonus
-from ..operators import graph, retrieval
+from ..operators import graph, graph_index, retrieval
 
 
 @dataclass
@@ -29,10 +29,15 @@ class _Window:
 
 
 class SearchService:
-    """Hybrid two-level retrieval over chunks(chunk_id, entry_slug, entry_title, section_title, url, chunk_text, embedding) and entries(entry_id, entry_slug, entry_title, url, section_outline, intro_text, embedding)."""
+    """Hybrid two-level retrieval over chunks(chunk_id, entry_slug, entry_title, section_title, url, chunk_text, embedding) and entries(entry_id, entry_slug, entry_title, url, section_outline, intro_text, embedding).
 
-    def __init__(self, chunks: DataFrame, entries: DataFrame | None, embedder=None, reranker=None):
+    chunk_index and entry_index, if given, are tables of graph_index.build_index over them: global candidates then come from
+    the graphs, about the best ones, instead of from all rows. The expansion of entries is exact in either case.
+    """
+
+    def __init__(self, chunks: DataFrame, entries: DataFrame | None, embedder=None, reranker=None, chunk_index: DataFrame | None = None, entry_index: DataFrame | None = None):
         self.chunks, self.entries = chunks, entries
+        self.chunk_index, self.entry_index = chunk_index, entry_index
         self.spark = chunks.sparkSession
         self.embedder, self.reranker = embedder or HashEmbedder(), reranker or LexicalReranker()
         self.cache: OrderedDict[tuple[str, int | None], _Window] = OrderedDict()
@@ -44,11 +49,20 @@ class SearchService:
             raise ValueError(f"the query vector has {len(vector)} places, not {self.embedder.dimension}")
         return vector
 
+    def _from_index(self, rows: DataFrame, index: DataFrame, vector: list[float], k: int, row_id: str) -> DataFrame:
+        asked = self.spark.createDataFrame([(0, [float(v) for v in vector])], "query_id int, vector array<double>")
+        found = graph_index.search_index(index, asked, k).select(F.col("id").alias(row_id), "cosine")
+        return rows.drop("embedding").join(F.broadcast(found), row_id)  # k rows
+
     def retrieve_candidates(self, vector: list[float], limit: int | None = None) -> DataFrame:
+        if self.chunk_index is not None:
+            return self._from_index(self.chunks, self.chunk_index, vector, limit or K.CHUNK_CANDIDATES, "chunk_id")
         return retrieval.top_k(self.chunks, vector, limit or K.CHUNK_CANDIDATES, "chunk_id")
 
     def retrieve_entry_candidates(self, vector: list[float], limit: int | None = None) -> DataFrame | None:
         """None where there is no table of entries."""
+        if self.entries is not None and self.entry_index is not None:
+            return self._from_index(self.entries, self.entry_index, vector, limit or K.ENTRY_CANDIDATES, "entry_slug")
         return None if self.entries is None else retrieval.top_k(self.entries, vector, limit or K.ENTRY_CANDIDATES, "entry_slug")
 
     def retrieve_chunks_for_entries(self, vector: list[float], entries: DataFrame, each: int = K.CHUNKS_PER_ENTRY) -> DataFrame:
