@@ -143,26 +143,3 @@ def cascade_delete(edges: DataFrame, surviving: DataFrame, key: str) -> DataFram
     """Edges (src, dst) whose ends both survive."""
     ends = surviving.select(key)
     return edges.join(ends.withColumnRenamed(key, "src"), "src", "left_semi").join(ends.withColumnRenamed(key, "dst"), "dst", "left_semi")
-
-
-def load(new: DataFrame, path: str, keys: list[str], truncate: bool = False, dry_run: bool = False, version: str | None = None) -> int:
-    """Upserts new into the Parquet table at path (replaces it with truncate); dry_run only counts. The number of new rows.
-
-    The new table is written beside the old one and takes its place by renaming, so a failure half-way leaves the old one.
-    """
-    n = new.count()
-    if dry_run:
-        return n
-    spark = new.sparkSession
-    jvm = spark.sparkContext._jvm
-    here, aside, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{end}") for end in ("", f".new-{uuid.uuid4().hex}", f".old-{uuid.uuid4().hex}"))
-    files = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    there = files.exists(here)
-    merged = upsert(spark.read.parquet(path), new, keys, version) if there and not truncate else last_rows(new, keys, version)
-    merged.write.parquet(aside.toString())
-    if there:
-        files.rename(here, old)
-    files.rename(aside, here)
-    if there:
-        files.delete(old, True)
-    return n

@@ -10,7 +10,7 @@ from corpusloom.operators import chunking, classify, graph, retrieval
 from corpusloom.plans import build
 from corpusloom.plans.evaluate import evaluate
 from corpusloom.plans.service import GraphService, SearchService, create_search_service, payload
-from corpusloom.sources import html, store
+from corpusloom.sources import html, snapshots, store
 
 
 def sentence(n, end="."):
@@ -125,10 +125,10 @@ def test_labels(spark):
 def test_store(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     rows = lambda *r: spark.createDataFrame(list(r), "k int, v string")
-    assert store.load(rows((1, "a"), (2, "b")), path, ["k"]) == 2
-    assert store.load(rows((2, "c"), (3, "d")), path, ["k"], dry_run=True) == 2
-    store.load(rows((2, "c"), (3, "d")), path, ["k"])
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert snapshots.load(rows((1, "a"), (2, "b")), path, ["k"]) == 2
+    assert snapshots.load(rows((2, "c"), (3, "d")), path, ["k"], dry_run=True) == 2
+    snapshots.load(rows((2, "c"), (3, "d")), path, ["k"])
+    assert sorted(map(tuple, snapshots.Snapshots(spark, path).read("rows").collect())) == [(1, "a"), (2, "c"), (3, "d")]
     (tmp_path / "r.json").write_text('[{"a": "Ã©", "l": ["Ã©"]}, {"a": "x", "l": []}]')
     from pyspark.sql import types as T
 
@@ -148,7 +148,7 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.parquet(f"file://{tmp_path}/in")
     stream = spark.readStream.schema("k int, v string").parquet(f"file://{tmp_path}/in")
     upsert_stream(stream, f"file://{tmp_path}/out", ["k"], f"file://{tmp_path}/cp").awaitTermination()
-    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
+    assert snapshots.Snapshots(spark, f"file://{tmp_path}/out").read("rows").count() == 2
 
 
 def test_build_search_and_report(spark):
@@ -194,12 +194,13 @@ def test_models_are_loaded_once_a_worker(spark):
 
 def test_store_is_repeatable_and_repairs_deeply(spark, tmp_path):
     rows = spark.createDataFrame([(1, "b"), (1, "c"), (1, "a"), (2, "x")], "k int, v string")
-    assert store.load(rows, f"{tmp_path}/t", ["k"]) == 4
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t").collect())) == [(1, "c"), (2, "x")]
-    store.load(rows.limit(0).union(spark.createDataFrame([(2, "y"), (3, "z")], "k int, v string")), f"{tmp_path}/t", ["k"])
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t").collect())) == [(1, "c"), (2, "y"), (3, "z")]
-    store.load(rows, f"{tmp_path}/t", ["k"], truncate=True)
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    held = snapshots.Snapshots(spark, f"{tmp_path}/t")
+    assert snapshots.load(rows, held.root, ["k"]) == 4
+    assert sorted(map(tuple, held.read("rows").collect())) == [(1, "c"), (2, "x")]
+    snapshots.load(rows.limit(0).union(spark.createDataFrame([(2, "y"), (3, "z")], "k int, v string")), held.root, ["k"])
+    assert sorted(map(tuple, held.read("rows").collect())) == [(1, "c"), (2, "y"), (3, "z")]
+    snapshots.load(rows, held.root, ["k"], truncate=True)
+    assert held.read("rows").count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
     bad = "Ã©"
     deep = spark.createDataFrame([([{"m": {"k": bad}}],)], "d array<struct<m:map<string,string>>>")
     assert store.repair_records(deep).first()["d"][0]["m"]["k"] == "é"
