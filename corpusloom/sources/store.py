@@ -34,19 +34,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType, order: str = "section_ord", limit: int | None = None) -> DataFrame:
-    """A file of one JSON array, each record with its place in the list; with limit, the first records only. Anything but a list of records, or an empty one, is an error.
-
-    A JSON array can't be split, so a file is one task and has 2 GB at most; larger data comes as many files or as JSON lines (read_lines)."""
-    if limit is not None and limit <= 0:
-        raise ValueError("limit must be positive")
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", T.ArrayType(schema)).alias("records"))
-    if whole.filter("records is null or size(records) = 0").limit(1).count():
-        raise ValueError(f"{path}: not a JSON array of records")
-    rows = whole.select(F.posexplode("records").alias(order, "r")).select(F.col(order).cast("long"), "r.*")
-    return rows if limit is None else rows.filter(F.col(order) < limit)
-
-
 def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines, as write_records makes them: files are split between tasks. A line that is no record is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -10,7 +10,7 @@ from corpusloom.operators import chunking, classify, graph, retrieval
 from corpusloom.plans import build
 from corpusloom.plans.evaluate import evaluate
 from corpusloom.plans.service import GraphService, SearchService, create_search_service, payload
-from corpusloom.sources import html, snapshots, store
+from corpusloom.sources import html, json_array, snapshots, store
 
 
 def sentence(n, end="."):
@@ -133,12 +133,12 @@ def test_store(spark, tmp_path):
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("l", T.ArrayType(T.StringType()))])
-    read = store.read_records(spark, f"file://{tmp_path}/r.json", schema)
+    read = json_array.read_records(spark, f"file://{tmp_path}/r.json", schema)
     assert [tuple(r) for r in store.repair_records(read).orderBy("section_ord").collect()] == [(0, "é", ["é"]), (1, "x", [])]
-    assert store.read_records(spark, f"file://{tmp_path}/r.json", schema, limit=1).count() == 1
+    assert json_array.read_records(spark, f"file://{tmp_path}/r.json", schema, limit=1).count() == 1
     (tmp_path / "bad.json").write_text("[]")
     with pytest.raises(ValueError):
-        store.read_records(spark, f"file://{tmp_path}/bad.json", schema)
+        json_array.read_records(spark, f"file://{tmp_path}/bad.json", schema)
     assert store.database_url({"POSTGRES_DB": "d", "POSTGRES_USER": "u", "POSTGRES_PASSWORD": "p@ss"}) == "postgresql://u:p%40ss@localhost:5432/d"
 
 
