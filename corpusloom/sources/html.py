@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_text, entry_url, heading_parts, slug_of
+from .store import written
 
 HEADINGS = ["h2", "h3", "h4", "h5", "h6"]
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -174,4 +175,15 @@ def listed_entries(hrefs: DataFrame, limit: int | None = None) -> DataFrame:
     first = hrefs.select("pos", entry_url(F.col("href")).alias("url")).filter("url is not null").groupBy("url").agg(F.min("pos").alias("pos"))
     if limit is not None:
         first = first.orderBy("pos").limit(limit)
-    return first.withColumn("place", F.row_number().over(Window.orderBy("pos")))
+    return placed(first, "pos", "url")
+
+
+def placed(rows: DataFrame, *order: str, place: str = "place") -> DataFrame:
+    """rows with their place (from 1) in an order: sorted by ranges, each range numbered by itself and moved by the sizes of those before it."""
+    # The high bits of the id are the partition, the low ones the place in it; written, so that both reads see the same ranges.
+    ranged = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("_at", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return numbered.select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(place))
