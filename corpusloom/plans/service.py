@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import json
+import logging
 import time
+import uuid
 from collections import OrderedDict
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.models import HashEmbedder, LexicalReranker
 from ..functions.text import clean_text, rerank_text_of_chunk, rerank_text_of_entry, section_bonus, title_bonus
 from ..operators import graph, graph_index, retrieval
+from .results import ResultStore, result_key
+
+LOG = logging.getLogger("corpusloom.search")
 
 
 @dataclass
@@ -33,15 +38,19 @@ class SearchService:
 
     chunk_index and entry_index, if given, are tables of graph_index.build_index over them: global candidates then come from
     the graphs, about the best ones, instead of from all rows. The expansion of entries is exact in either case.
+    results, if given, is a store that other sessions share. After a search, stages has the rows of its stages and timings the
+    milliseconds; with metrics (the default) both go to the log as one line.
     """
 
-    def __init__(self, chunks: DataFrame, entries: DataFrame | None, embedder=None, reranker=None, chunk_index: DataFrame | None = None, entry_index: DataFrame | None = None):
+    def __init__(self, chunks: DataFrame, entries: DataFrame | None, embedder=None, reranker=None, chunk_index: DataFrame | None = None, entry_index: DataFrame | None = None, results: ResultStore | None = None, metrics: bool = True):
         self.chunks, self.entries = chunks, entries
         self.chunk_index, self.entry_index = chunk_index, entry_index
         self.spark = chunks.sparkSession
         self.embedder, self.reranker = embedder or HashEmbedder(), reranker or LexicalReranker()
         self.cache: OrderedDict[tuple[str, int | None], _Window] = OrderedDict()
-        self.stages: dict[str, tuple[float, int]] = {}
+        self.results, self.metrics = results, metrics
+        self.stages: dict[str, int] = {}
+        self.timings: dict[str, float] = {}
 
     def embed_query(self, text: str) -> list[float]:
         vector = self.embedder.query(self.spark, text)
@@ -86,29 +95,37 @@ class SearchService:
     def window(self, query: str, wanted: int, candidate_limit: int | None = None) -> DataFrame:
         """The ranked results of a query, enough for `wanted` of them, behind the confidence gate, persisted.
 
-        Each stage is worked out and kept by itself, few rows by its LIMIT; self.stages has its milliseconds and rows.
+        One plan: rows of its stages are counted as they pass, by observations, and logged with the times when all is done.
         """
-        self.stages, held = {}, []
+        start, seen = time.time(), {}
+        vector = self.embed_query(query)
+        embedded = time.time()
 
-        def staged(name: str, make) -> DataFrame:
-            start = time.time()
-            df = make().persist()
-            held.append(df)
-            n = df.count()
-            self.stages[name] = ((time.time() - start) * 1000, n)
-            return df
+        def staged(name: str, df: DataFrame) -> DataFrame:
+            if not self.metrics:
+                return df
+            seen[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+            return df.observe(seen[name], F.count(F.lit(1)).alias("rows"))
 
-        start = time.time()
-        vector = self.embed_query(query)
-        self.stages["embed_query"] = ((time.time() - start) * 1000, 1)
         n_chunks, n_entries = retrieval.budgets(wanted, candidate_limit)
-        lists, ranked = [staged("chunk_candidates", lambda: self.retrieve_candidates(vector, n_chunks))], None
-        if (found := self.retrieve_entry_candidates(vector, n_entries)) is not None:
-            ranked = staged("entries", lambda: self.rerank_entries(query, found))
-            lists.append(staged("expanded_chunks", lambda: self.retrieve_chunks_for_entries(vector, ranked.filter(F.col("rank") <= K.EXPANDED_ENTRIES))))
-        rows = staged("results", lambda: retrieval.confident(self.rerank_candidates(query, retrieval.merge_candidates(lists, "chunk_id"), ranked)))
-        for df in held[:-1]:
-            df.unpersist()
+        lists, ranked = [staged("chunk_candidates", self.retrieve_candidates(vector, n_chunks))], None
+        try:
+            if (found := self.retrieve_entry_candidates(vector, n_entries)) is not None:
+                ranked = staged("entries", self.rerank_entries(query, found)).persist()  # used twice
+                lists.append(staged("expanded_chunks", self.retrieve_chunks_for_entries(vector, ranked.filter(F.col("rank") <= K.EXPANDED_ENTRIES))))
+            merged = staged("merged", retrieval.merge_candidates(lists, "chunk_id"))
+            reranked = self.rerank_candidates(query, merged, ranked).persist()  # the gate looks at it first
+            rows = retrieval.confident(reranked).persist()
+            n = rows.count()
+        finally:
+            for df in (ranked, locals().get("reranked")):
+                if df is not None:
+                    df.unpersist()
+        end = time.time()
+        self.stages = {name: o.get["rows"] for name, o in seen.items()} | {"results": n}
+        self.timings = {"embed_query_ms": (embedded - start) * 1000, "retrieve_ms": (end - embedded) * 1000}
+        if self.metrics:
+            LOG.info("%s", json.dumps({"event": "search", "query_chars": len(query), "wanted": wanted, "rows": self.stages, **{k: round(v, 1) for k, v in self.timings.items()}}))
         return rows
 
     def search(self, query: str, candidate_limit: int | None = None, result_limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -127,9 +144,14 @@ class SearchService:
         key = query, candidate_limit
         held = self.cache.get(key)
         if held is None or time.time() - held.made > K.CACHE_SECONDS or not held.serves(end):
-            wanted = retrieval.widened(end, limit)
-            rows = self.window(query, wanted, candidate_limit)
-            held = _Window(rows, time.time(), wanted, rows.count())
+            shared = self.results.get(result_key(query, candidate_limit)) if self.results else None
+            held = shared and _Window(*shared)
+            if held is None or not held.serves(end):
+                wanted = retrieval.widened(end, limit)
+                rows = self.window(query, wanted, candidate_limit)
+                held = _Window(rows, time.time(), wanted, rows.count())
+                if self.results:
+                    self.results.put(result_key(query, candidate_limit), rows, wanted, held.n)
             if key in self.cache:
                 self.cache.pop(key).rows.unpersist()
             while len(self.cache) >= K.CACHED_QUERIES:

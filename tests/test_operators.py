@@ -165,7 +165,7 @@ def test_build_search_and_report(spark):
     for bad in ("", " ", "x" * 301):
         with pytest.raises(ValueError):
             service.search(bad)
-    assert set(service.stages) == {"embed_query", "chunk_candidates", "entries", "expanded_chunks", "results"} and all(n > 0 for _, n in service.stages.values())
+    assert set(service.stages) == {"chunk_candidates", "entries", "expanded_chunks", "merged", "results"} and all(n > 0 for n in service.stages.values())
     service.search("truth", candidate_limit=20), service.search("truth", candidate_limit=100)
     assert {("truth", 20), ("truth", 100)} <= set(service.cache)
     assert "Query: truth" in evaluate(service, ["truth"])
