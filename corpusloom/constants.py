@@ -68,27 +68,27 @@ ALIASES = {
     "political philosophy": "Political Philosophy",
     "social and political philosophy": "Political Philosophy",
 }
-TOPIC_LABELS = [
-    "Philosophy of Mind",
-    "History of Philosophy",
-    "Political Philosophy",
-    "Philosophy of Science",
-    "Metaphysics",
-    "Epistemology",
-    "History of Philosophy",
-    "Asian Philosophy",
-    "Philosophy of Science",
-    "Epistemology",
-    "Aesthetics",
-    "Logic",
-    "Metaphysics",
-    "Ethics",
-    "Feminist Philosophy",
-    "Philosophy of Mathematics",
-    "Metaphysics",
-    "Philosophy of Language",
-    "History of Philosophy",
-    "Philosophy of Science",
-]
+TOPIC_LABELS = {
+    "0": "Philosophy of Mind",
+    "1": "History of Philosophy",
+    "2": "Political Philosophy",
+    "3": "Philosophy of Science",
+    "4": "Metaphysics",
+    "5": "Epistemology",
+    "6": "History of Philosophy",
+    "7": "Asian Philosophy",
+    "8": "Philosophy of Science",
+    "9": "Epistemology",
+    "10": "Aesthetics",
+    "11": "Logic",
+    "12": "Metaphysics",
+    "13": "Ethics",
+    "14": "Feminist Philosophy",
+    "15": "Philosophy of Mathematics",
+    "16": "Metaphysics",
+    "17": "Philosophy of Language",
+    "18": "History of Philosophy",
+    "19": "Philosophy of Science",
+}
 MIN_TOPIC_PROBABILITY = 0.15
 LABEL_FIELDS = ["subdiscipline", "discipline", "category", "area"]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -28,12 +31,12 @@ def page_label(metas: Column, text: Column, aliases: dict[str, str] = K.ALIASES)
     return first_of(from_meta, *fields)
 
 
-def topic_label(payload: Column, labels: list[str] = K.TOPIC_LABELS, least: float = K.MIN_TOPIC_PROBABILITY) -> Column:
+def topic_label(payload: Column, labels: dict[str, str] = K.TOPIC_LABELS, least: float = K.MIN_TOPIC_PROBABILITY) -> Column:
     """The label of the most probable topic of a payload such as [{"topics": {"3": 0.4}}]; the first of equal ones; null under `least`."""
     topics = F.map_entries(F.get(F.from_json(payload, "array<struct<topics:map<string,double>>>"), F.lit(0))["topics"])
     none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("value"))
     best = F.aggregate(topics, none, lambda b, t: F.when(b["value"].isNull() | (t["value"] > b["value"]), F.struct(t["key"].alias("key"), t["value"].alias("value"))).otherwise(b))
-    names = F.create_map(*[x for i, name in enumerate(labels) for x in (F.lit(str(i)), F.lit(name))])
+    names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
     return F.when(best["value"] >= least, F.element_at(names, best["key"]))
 
 
@@ -42,5 +45,48 @@ def resolved(page: Column, topic: Column) -> Column:
     return F.struct(F.coalesce(page, topic).alias("label"), F.when(page.isNotNull(), "page").when(topic.isNotNull(), "topic").otherwise("none").alias("source"))
 
 
-def color_of(label: Column) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in K.COLORS.items() for x in pair]), label), F.lit(K.DEFAULT_COLOR))
+def color_of(label: Column, colors: dict[str, str] = K.COLORS, default: str = K.DEFAULT_COLOR) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in colors.items() for x in pair]), label), F.lit(default))
+
+
+@dataclass(frozen=True)
+class Categories:
+    """Labels, as a file names them: default and other colours, the order of a legend, other spellings, and the topic model's labels by topic id."""
+
+    default_color: str
+    legend_order: list[str]
+    colors: dict[str, str]
+    aliases: dict[str, str]
+    topics: dict[str, str]
+    least: float
+
+    def resolved(self, metas: Column, text: Column, payload: Column) -> Column:
+        """(label, source) of an entry."""
+        return resolved(page_label(metas, text, self.aliases), topic_label(payload, self.topics, self.least))
+
+    def color(self, label: Column) -> Column:
+        return color_of(label, self.colors, self.default_color)
+
+    def legend(self, labels: DataFrame) -> DataFrame:
+        """labels(label) that occur -> (place, label, color), in the legend's order, others after it by name."""
+        order = F.array_position(F.array(*map(F.lit, self.legend_order)), F.col("label"))
+        rows = labels.filter("label is not null").select("label").distinct().withColumn("order", F.when(order > 0, order))
+        return rows.select(F.row_number().over(Window.orderBy(F.asc_nulls_last("order"), "label")).alias("place"), "label", self.color(F.col("label")).alias("color"))  # as few rows as there are labels
+
+
+def read_categories(spark: SparkSession, path: str) -> Categories:
+    """Of a JSON file; a key that is missing, a topic without a label, and a label without a colour are errors."""
+    found = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    model = found.get("inpho_topic_model") or {}
+    needed = [(found, k) for k in ("default_color", "legend_order", "subdiscipline_colors", "aliases", "inpho_topic_model")] + [(model, k) for k in ("k", "min_topic_probability", "topic_to_subdiscipline")]
+    missing = [k for where, k in needed if k not in where]
+    if missing:
+        raise ValueError(f"{path}: no {', '.join(missing)}")
+    topics = {str(k): v for k, v in model["topic_to_subdiscipline"].items()}
+    missing = [str(i) for i in range(int(model["k"])) if str(i) not in topics]
+    if missing:
+        raise ValueError(f"{path}: no label for topics {', '.join(missing)}")
+    strange = sorted({*found["aliases"].values(), *topics.values(), *found["legend_order"]} - found["subdiscipline_colors"].keys())
+    if strange:
+        raise ValueError(f"{path}: no colour for {', '.join(strange)}")
+    return Categories(found["default_color"], found["legend_order"], found["subdiscipline_colors"], {k.lower(): v for k, v in found["aliases"].items()}, topics, float(model["min_topic_probability"]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import fix_mojibake
+from ..sources.html import placed
 from ..sources.store import written
 from .similarity import similar_pairs
 
@@ -153,6 +154,11 @@ def summary(nodes: DataFrame, explicit: DataFrame, semantic: DataFrame, focused:
     return counts.union(held.select(F.lit("condensed"), (F.col("semantic_edges") > budget).cast("long")))
 
 
+def drawing_order(nodes: DataFrame) -> DataFrame:
+    """nodes(slug, degree) with their place in drawing, from 1: those with fewer neighbours first, so that the others lie on top."""
+    return placed(nodes, "degree", "slug")
+
+
 def node_radius(nodes: DataFrame) -> DataFrame:
     """nodes(slug, degree) with radius: a square-root scale from 4.5 to 13 over [0, greatest degree]."""
     top = nodes.agg(F.greatest(F.max("degree"), F.lit(1)).alias("top"))

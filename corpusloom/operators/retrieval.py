@@ -79,3 +79,8 @@ def widened(window: int, page_size: int) -> int:
 def group_by_entry(results: DataFrame, url: str = "url", rank: str = "rank") -> DataFrame:
     """Results by page, in the order in which the pages first appear: start (from 0) and how many passages."""
     return results.groupBy(F.split_part(F.col(url), F.lit("#"), F.lit(1)).alias("page_url")).agg((F.min(rank) - 1).alias("start"), F.count(F.lit(1)).alias("passages"))
+
+
+def search_summary(results: DataFrame, url: str = "url") -> DataFrame:
+    """(passages, entries): how many results there are, and on how many different pages."""
+    return results.agg(F.count(F.lit(1)).alias("passages"), F.count_distinct(F.split_part(F.col(url), F.lit("#"), F.lit(1))).alias("entries"))

@@ -6,6 +6,8 @@ sections in order, documents for long texts, pages for HTML, lineitem for explic
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from .. import constants as K
 from ..functions import text as tx
 from ..functions.vectors import unit
 from ..operators import chunking, classify, entries, graph, graph_index, retrieval, similarity
-from ..sources import html, store
+from ..sources import html, snapshots, store
 from .service import SearchService
 
 QUERIES: dict = {}
@@ -127,16 +129,19 @@ def section_bonus(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", F.round(tx.section_bonus(F.lit(QUERY_TEXT), F.col("p_type")), 6).alias("bonus"))
 
 
-@query(f"""{_TOKENS}, e as (select vec_id, {_RERANK_SQL} as rerank, label / 10.0 as c from embeddings)
-select vec_id, round(cast(rerank + c + {_title_bonus_sql('q', 't')} as double), 6) as final from e join t on vec_id = p_partkey""")
+@query(f"""{_TOKENS}, {_Q0}, e as (select vec_id, {_RERANK_SQL} as rerank, {_COS} as c from embeddings e, q)
+select vec_id, round(cast(rerank + c + {_title_bonus_sql('q', 't')} as double), 6) as final from e join t on vec_id = p_partkey""".replace("embeddings e, q)", "embeddings e, q0 q)").replace("q as (select embedding", "q0 as (select embedding"))
 def fuse_entry_scores(spark, sf_dir):
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", _rerank().alias("rerank"), (F.col("label") / 10.0).alias("cosine"))
+    rows = retrieval.scored(_t(spark, sf_dir, "embeddings"), _vector(spark, sf_dir)).select("vec_id", _rerank().alias("rerank"), "cosine")
     rows = rows.join(_t(spark, sf_dir, "part"), F.col("vec_id") == F.col("p_partkey"))
     return rows.select("vec_id", F.round(retrieval.entry_score(F.col("rerank"), F.col("cosine"), tx.title_bonus(F.lit(QUERY_TEXT), F.col("p_name"))), 6).alias("final"))
 
 
+_SECTION_SQL = """case when len(q) = 0 or len(s) = 0 then 0.0 else 0.4 * len(list_filter(list_distinct(s), lambda x: list_contains(q, x))) / greatest(len(list_distinct(s)), 1)
+  + case when len(s) >= 2 and contains(array_to_string(q, ' '), array_to_string(s, ' ')) then 0.5 else 0.0 end end"""
 _FUSED = f"""{_LISTS}, m as (select label, avg(c) as c, avg({_RERANK_SQL}) as r from d group by label), parents as (select label, r + c as final from m order by final desc, label limit 6),
-f as (select vec_id, label, c, {_RERANK_SQL} as rerank, {_RERANK_SQL} + 0.75 * c + 0.8 * greatest(coalesce(final, 0.0), 0.0) as final from d left join parents using (label)),
+{_TOKENS[5:]}, b as (select p_partkey as vec_id, {_title_bonus_sql("q", "t")} as title, {_SECTION_SQL} as section from t),
+f as (select vec_id, label, c, {_RERANK_SQL} as rerank, {_RERANK_SQL} + 0.75 * c + 0.8 * greatest(coalesce(final, 0.0), 0.0) + 0.35 * coalesce(title, 0.0) + 0.2 * coalesce(section, 0.0) as final from d left join parents using (label) left join b using (vec_id)),
 r as (select *, row_number() over (order by final desc, c desc, vec_id) as rank from f),
 g as (select * from r where not exists (select 1 from r where rank = 1 and rerank < -2.0 and c < 0.3))"""
 
@@ -146,8 +151,9 @@ def _fused(spark, sf_dir) -> DataFrame:
     means = rows.groupBy("label").agg(F.avg("cosine").alias("c"), F.avg("rerank").alias("r"))
     parents = means.select("label", (F.col("r") + F.col("c")).alias("final")).orderBy(F.desc("final"), "label").limit(K.EXPANDED_ENTRIES)
     rows = retrieval.with_parent(rows, parents, "label")
-    none = F.lit(0.0)
-    rows = rows.withColumn("final", retrieval.chunk_score(F.col("rerank"), F.col("cosine"), F.col("parent"), none, none))
+    q, titles = F.lit(QUERY_TEXT), _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), "p_name", "p_type")
+    title, section = (F.coalesce(bonus(q, F.col(c)), F.lit(0.0)) for bonus, c in ((tx.title_bonus, "p_name"), (tx.section_bonus, "p_type")))
+    rows = rows.join(titles, "vec_id", "left").withColumn("final", retrieval.chunk_score(F.col("rerank"), F.col("cosine"), F.col("parent"), title, section))
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final"), F.desc("cosine"), "vec_id")))
 
 
@@ -260,9 +266,46 @@ def chunk_words(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.word_windows("text")).alias("chunk_index", "chunk_text"))
 
 
-@query()
+def _sentences_sql(t: str) -> str:
+    """The sentences of a text with normalised white space, as in split_sentences."""
+    strong = f"regexp_replace({t}, '([.!?]){K.WS}+([\"''(\\[]?[A-Z0-9])', '\\1' || chr(1) || '\\2', 'g')"
+    weak = f"regexp_replace({t}, '([.!?]){K.WS}+', '\\1' || chr(1), 'g')"
+    return f"list_filter(list_transform(string_split(case when contains({strong}, chr(1)) then {strong} else {weak} end, chr(1)), lambda x: regexp_replace(x, {_STRIP})), lambda x: x <> '')"
+
+
+def _packed_sql(items: str, joint: str) -> str:
+    """Chunks of a list of (t, n, parts): parts stand for an item of over 400 words."""
+    full = "len(a.t) > 0 and a.n + x.n > 400 and (a.n >= 300 or 300 - a.n <= a.n + x.n - 400)"
+    step = f"""case when x.n > 400 then struct_pack(t := '', n := cast(0 as bigint), parts := a.parts || case when len(a.t) > 0 then [a.t] else [] end || x.parts)
+      when {full} then struct_pack(t := x.t, n := x.n, parts := a.parts || [a.t])
+      else struct_pack(t := case when len(a.t) > 0 then a.t || {joint} || x.t else x.t end, n := a.n + x.n, parts := a.parts) end"""
+    folded = f"list_reduce(list_prepend(struct_pack(t := '', n := cast(0 as bigint), parts := cast([] as varchar[])), {items}), lambda a, x: {step})"
+    return f"list_transform([{folded}], lambda f: f.parts || case when len(f.t) > 0 then [f.t] else [] end)[1]"
+
+
+def _n_words_sql(t: str) -> str:
+    return f"cast(len(regexp_extract_all({t}, '{_WORDS}')) as bigint)"
+
+
+
+
+@query(f"""with n as (select doc_id, {_n_words_sql("text")} as raw, {_norm_sql(_PARA)} as t from documents),
+p as (select doc_id, generate_subscripts(ps, 1) as i, unnest(ps) as t from (select doc_id, list_filter(list_transform(regexp_split_to_array(t, '\\n{K.WS}*\\n'), lambda x: regexp_replace(x, {_STRIP})), lambda x: x <> '') as ps from n where raw > 400)),
+pn as (select *, {_n_words_sql("t")} as n from p),
+s as (select doc_id, i, generate_subscripts(ss, 1) as j, unnest(ss) as t from (select doc_id, i, {_sentences_sql("t")} as ss from pn where n > 400)),
+sn as (select *, {_n_words_sql("t")} as n from s),
+w as (select doc_id, i, j, list(array_to_string(ws[k + 1:k + 350], ' ') order by k) as parts from (select doc_id, i, j, ws, unnest(range(0, len(ws), 350)) as k from (select doc_id, i, j, regexp_extract_all(t, '{_WORDS}') as ws from sn where n > 400)) group by all),
+si as (select doc_id, i, list(struct_pack(t := t, n := n, parts := coalesce(parts, cast([] as varchar[]))) order by j) as items from sn left join w using (doc_id, i, j) group by all),
+sp as (select doc_id, i, {_packed_sql("items", "' '")} as parts from si),
+pi as (select doc_id, list(struct_pack(t := t, n := n, parts := coalesce(parts, cast([] as varchar[]))) order by i) as items from pn left join sp using (doc_id, i) group by all),
+base as (select doc_id, {_packed_sql("items", "chr(10) || chr(10)")} as parts from pi union all select doc_id, [t] from n where raw <= 400 and t <> ''),
+c as (select doc_id, generate_subscripts(parts, 1) - 1 as chunk_index, unnest(parts) as t from base),
+l as (select *, case when len(ss) = 0 then t else ss[-1] end as last from (select *, {_sentences_sql("t")} as ss from c)),
+o as (select doc_id, chunk_index, t, lag(case when {_n_words_sql("last")} <= 80 then last else array_to_string(regexp_extract_all(last, '{_WORDS}')[-40:], ' ') end) over (partition by doc_id order by chunk_index) as before from l),
+h as (select *, sha1(unhex('{K.ENTRY_NAMESPACE.replace("-", "")}') || encode(doc_id || '/' || chunk_index)) as h from o)
+select doc_id, cast(chunk_index as int) as chunk_index, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] as chunk_id,
+  case when before is null or before = '' or starts_with(t, before) then t else before || chr(10) || chr(10) || t end as chunk_text from h""")
 def chunk_sections(spark, sf_dir):
-    """Greedy packing and overlap; SQL has no fold, so tests hold it against a plain restatement."""
     text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
     rows = _t(spark, sf_dir, "documents").select("doc_id", text.alias("section_text"))
     return chunking.chunk_sections(rows, ["doc_id"]).select("doc_id", "chunk_index", "chunk_id", "chunk_text")
@@ -425,6 +468,69 @@ def graph_summary(spark, sf_dir):
 _HOP = f"{_EDGES}, h1 as (select 's1' as slug union select neighbor from u where slug = 's1'), h2 as (select slug from h1 union select neighbor from u where slug in (select slug from h1))"
 
 
+@query(f"with {_HOP} select slug from h1")
+def neighborhood_1hop(spark, sf_dir):
+    return graph.neighborhood("s1", 1, _edges(spark, sf_dir))
+
+
+@query(f"with {_HOP} select slug from h2")
+def neighborhood_2hop(spark, sf_dir):
+    return graph.neighborhood("s1", 2, _edges(spark, sf_dir))
+
+
+@query(f"""{_MUTUAL}, x as (select cast(vec_id as varchar) as src, cast(vec_id + 1 as varchar) as dst from embeddings), n as (select dst as s from x where src = '7' union select src from x where dst = '7')
+select src, dst, round(similarity + case when src = 7 or dst = 7 then 2 when cast(src as varchar) in (select s from n) or cast(dst as varchar) in (select s from n) then 0.6 else 0 end, 6) as score from semantic""")
+def edge_score(spark, sf_dir):
+    near = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src"), (F.col("vec_id") + 1).alias("dst"))
+    return graph.scored_edges(_semantic(spark, sf_dir), near, 7).select("src", "dst", F.round("score", 6).alias("score"))
+
+
+# Edges in order; each is taken if both ends have room among those taken before it.
+@query(f"""{_MUTUAL}, x as (select vec_id as src, vec_id + 1 as dst from embeddings), n as (select dst as s from x where src = 7 union select src from x where dst = 7),
+e as (select src, dst, similarity, similarity + case when src = 7 or dst = 7 then 2 when src in (select s from n) or dst in (select s from n) then 0.6 else 0 end as score from semantic),
+r as (select list_reduce(list_prepend(struct_pack(src := -1::bigint, dst := -1::bigint, taken := cast([] as struct(src bigint, dst bigint)[])), list(struct_pack(src := src, dst := dst, taken := cast([] as struct(src bigint, dst bigint)[])) order by score desc, similarity desc, src desc, dst desc)),
+  lambda a, x: struct_pack(src := x.src, dst := x.dst, taken := case when len(a.taken) < 300
+    and len(list_filter(a.taken, lambda t: t.src = x.src or t.dst = x.src)) < case when x.src = 7 then 4 else 2 end
+    and len(list_filter(a.taken, lambda t: t.src = x.dst or t.dst = x.dst)) < case when x.dst = 7 then 4 else 2 end
+    then list_append(a.taken, struct_pack(src := x.src, dst := x.dst)) else a.taken end)) as f from e)
+select src, dst, round(similarity, 6) as similarity, round(score, 6) as score from e where (select count(*) from e) <= 300 or list_contains((select f.taken from r), struct_pack(src := src, dst := dst))""")
+def edge_thinning(spark, sf_dir):
+    near = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src"), (F.col("vec_id") + 1).alias("dst"))
+    scored = graph.scored_edges(_semantic(spark, sf_dir), near, 7)
+    taken = graph.thinned_edges(store.written(scored, "scored"), 300, 2, 7)
+    return taken.select("src", "dst", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
+
+
+@query(f"with {_FULL}, d as (select slug, count(*) as degree from (select src as slug, dst as o from i union select dst, src from i) group by slug) select slug, coalesce(degree, 0) as degree, row_number() over (order by coalesce(degree, 0), slug) as place from f left join d using (slug)")
+def drawing_order(spark, sf_dir):
+    return graph.drawing_order(node_degrees(spark, sf_dir))
+
+
+@query(f"with {_FULL}, d as (select slug, count(*) as degree from (select src as slug, dst as o from i union select dst, src from i) group by slug) select slug, coalesce(degree, 0) as degree from f left join d using (slug)")
+def node_degrees(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    nodes = graph.well_linked(e)
+    return graph.degrees(nodes, graph.induced(e, nodes))
+
+
+@query(f"with {_EDGES}, v as (select distinct slug from u), p as (select 'p' || p_partkey as slug from part where p_size > 10) select slug, 'vectors' as missing_in from v where slug not in (select slug from p) union all select slug, 'documents' from p where slug not in (select slug from v)")
+def reconcile_slugs(spark, sf_dir):
+    parts = _t(spark, sf_dir, "part").filter("p_size > 10").select(F.concat(F.lit("p"), "p_partkey").alias("slug"))
+    return graph.reconcile(graph.undirected(_edges(spark, sf_dir)), parts)[1]
+
+
+@query(f"""{_MUTUAL}, {_FULL}, m as (select 'p' || src as src, 'p' || dst as dst from semantic where 'p' || src in (select slug from f) and 'p' || dst in (select slug from f)),
+c as (select (select count(*) from f) as n, (select count(*) from i) as e, (select count(*) from m) as s) select unnest(['nodes', 'explicit_edges', 'semantic_edges', 'condensed']) as what, unnest([n, e, s, cast(s > least(18000, greatest(10000, n * 12)) as bigint)]) as n from c""")
+def graph_summary(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    nodes = graph.well_linked(e)
+    semantic = _semantic(spark, sf_dir).select(*[F.concat(F.lit("p"), c).alias(c) for c in ("src", "dst")])
+    return graph.summary(nodes, graph.induced(e, nodes), graph.induced(semantic, nodes))
+
+
+_HOP = f"{_EDGES}, h1 as (select 's1' as slug union select neighbor from u where slug = 's1'), h2 as (select slug from h1 union select neighbor from u where slug in (select slug from h1))"
+
+
 @query(f"with {_HOP} select slug from h1")
 def neighborhood_1hop(spark, sf_dir):
     return graph.neighborhood("s1", 1, _edges(spark, sf_dir))
@@ -517,7 +623,7 @@ def _spelling() -> Column:
 
 
 _ALIAS_SQL = "list_extract([" + ", ".join([*[f"'{v}'" for v in K.ALIASES.values()], "null"]) + f"], doc_id % {len(_SPELLINGS)} + 1)"
-_TOPIC_SQL = "list_extract([" + ", ".join(f"'{v}'" for v in K.TOPIC_LABELS) + "], doc_id % 20 + 1)"
+_TOPIC_SQL = "list_extract([" + ", ".join(f"'{v}'" for v in K.TOPIC_LABELS.values()) + "], doc_id % 20 + 1)"
 
 
 @query(f"select doc_id, {_ALIAS_SQL} as label, case when {_ALIAS_SQL} is null then '{K.DEFAULT_COLOR}' else case {_ALIAS_SQL} {' '.join(f'''when '{k}' then '{v}' ''' for k, v in K.COLORS.items())} end end as color from documents")
@@ -584,11 +690,13 @@ def update_labels(spark, sf_dir):
 @query("""select * from (
   select 'unique o_custkey' as rule, count(*) as broken from (select o_custkey from orders group by 1 having count(*) > 1)
   union all select 'check total', count(*) from orders where not (o_totalprice > 100000)
+  union all select 'dimension embedding', count(*) from embeddings where label = 3
   union all select 'reference o_custkey', count(*) from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)
 ) where broken > 0""")
 def constraint_violations(spark, sf_dir):
     customers = _t(spark, sf_dir, "customer").filter("c_acctbal > 0")
-    return store.violations(_t(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], checks={"total": "o_totalprice > 100000"}, references=[("o_custkey", customers, "c_custkey")])
+    cut = _t(spark, sf_dir, "embeddings").withColumn("embedding", F.slice("embedding", F.lit(1), F.when(F.col("label") == 3, 63).otherwise(64)))
+    return store.violations(cut, ["vec_id"], ["label"], vectors={"embedding": 64}).unionByName(store.violations(_t(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], checks={"total": "o_totalprice > 100000"}, references=[("o_custkey", customers, "c_custkey")]))
 
 
 @query(f"with {_LINKS}, {_VALID} select src, dst, weight from l where src in (select slug from v) and dst in (select slug from v)")
@@ -598,9 +706,72 @@ def cascade_delete(spark, sf_dir):
     return store.cascade_delete(_links(spark, sf_dir), left, "slug").select("src", "dst", "weight")
 
 
+@query(SQL["upsert_full"])
+def snapshot_upsert(spark, sf_dir):
+    """Two commits; rows that come late, with a lower v, don't replace those that are there."""
+    held = snapshots.Snapshots(spark, f"{store.shared_dir(spark)}/customers-{uuid.uuid4().hex}")
+    old = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", F.lit(1).alias("v"))
+    third = F.col("c_custkey") % 3 == 0
+    added = old.filter("c_custkey % 7 = 0").withColumn("c_custkey", F.col("c_custkey") + 1_000_000)
+    changed = old.withColumns({"c_name": F.when(third, F.upper("c_name")).otherwise("late"), "c_acctbal": F.when(third, 0.0).otherwise(-1.0), "v": F.when(third, 2).otherwise(0)})
+    held.upsert("customers", old, ["c_custkey"], "v")
+    held.upsert("customers", changed.unionByName(added), ["c_custkey"], "v", batch=("orders", 0))
+    held.upsert("customers", old.withColumns({"c_name": F.lit("replayed"), "v": F.lit(9)}), ["c_custkey"], "v", batch=("orders", 0))
+    return held.read("customers").drop("v")
+
+
+@query(f"{_MUTUAL}, {_LINKS} select 'explicit' as kind, src, dst, cast(weight as double) as value from l union all select 'semantic', cast(src as varchar), cast(dst as varchar), round(similarity, 6) from semantic")
+def snapshot_edges(spark, sf_dir):
+    """Both kinds of edges, replaced by one commit and read from one version."""
+    root = f"{store.shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    snapshots.reload_edges(root, _links(spark, sf_dir), _semantic(spark, sf_dir))
+    held = snapshots.Snapshots(spark, root)
+    version = held.pointer()["version"]
+    explicit, semantic = (held.read(t, version) for t in ("explicit_edges", "semantic_edges"))
+    kinds = [(explicit, "explicit", F.col("weight").cast("double")), (semantic, "semantic", F.round("similarity", 6))]
+    rows = [df.select(F.lit(kind).alias("kind"), *[F.col(c).cast("string").alias(c) for c in ("src", "dst")], value.alias("value")) for df, kind, value in kinds]
+    return rows[0].union(rows[1])
+
+
+@query("select doc_id, text, source, lang, cast(doc_id as varchar) || text as kept from documents")
+def repair_nested(spark, sf_dir):
+    """Garbled strings in structs, arrays and maps of a table come back; keys stay."""
+    bad = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.array(F.struct(bad(F.col("text")).alias("t"), F.create_map(F.col("source"), bad(F.col("lang"))).alias("m"))).alias("deep"), F.concat(F.col("doc_id").cast("string"), bad(F.col("text"))).alias("kept"))
+    back = store.repair_records(rows)
+    return back.select("doc_id", F.col("deep")[0]["t"].alias("text"), F.map_keys(F.col("deep")[0]["m"])[0].alias("source"), F.map_values(F.col("deep")[0]["m"])[0].alias("lang"), "kept")
+
+
+@query("select doc_id, row_number() over (order by n_chars, doc_id) as place from documents")
+def document_places(spark, sf_dir):
+    return html.placed(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id").select("doc_id", "place")
+
+
+@query(r"""with m as (select page_id, split_part(split_part(translate(regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1), '/', '-'), '?', 1), '#', 1) as slug from pages), f as (select slug, min(page_id) as pos from m where slug <> '' group by slug)
+select 'http://h.org/entries/' || slug || '/' as url, pos, row_number() over (order by pos) as place from f""")
+def listed_entries(spark, sf_dir):
+    made = F.concat(F.lit("http://h.org/entries/"), F.translate(F.regexp_extract("url", r"^[a-z]+://[^/?#]*(.*)$", 1), "/", "-"))
+    return html.listed_entries(_t(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), made.alias("href")))
+
+
+@query("select count(*) as passages, count(distinct split_part(url, '#', 1)) as entries from pages")
+def search_summary(spark, sf_dir):
+    return retrieval.search_summary(_t(spark, sf_dir, "pages"))
+
+
 # --- services --------------------------------------------------------------------------------------------------------
 
 
+@query()
+def graph_index_search(spark, sf_dir):
+    """Approximate, so tests hold its recall against exact search: all vectors indexed, those divisible by 100 asked."""
+    rows = _t(spark, sf_dir, "embeddings")
+    index = store.written(graph_index.build_index(rows, "vec_id"), "graph-index")
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = graph_index.search_index(index, asked, 10, exclude_self=True)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
+
+
 @query()
 def hybrid_search(spark, sf_dir):
     """Sections to chunks and entries, embedded by feature hashing, then one page of hybrid search. The models are stand-ins, so there is no SQL."""

@@ -114,7 +114,7 @@ def test_labels(spark):
     def label(payload):
         return spark.range(1).select(classify.topic_label(F.lit(payload)).alias("x")).first()["x"]
 
-    assert label('[{"topics":{"3":0.15,"4":0.15}}]') == K.TOPIC_LABELS[3]
+    assert label('[{"topics":{"3":0.15,"4":0.15}}]') == K.TOPIC_LABELS["3"]
     assert label('[{"topics":{"3":0.149}}]') is None and label("[]") is None and label('[{"topics":{}}]') is None and label('[{"topics":{"77":0.9}}]') is None
     page = lambda metas, text: spark.range(1).select(classify.page_label(F.array(*map(F.lit, metas)), F.lit(text)).alias("x")).first()["x"]
     assert page(["x", "Ethics"], "Category: logic") == "Ethics"
