@@ -1,11 +1,16 @@
 """Approximate nearest neighbours: an inverted multi-index.
 
 Both halves of the vectors are quantised apart, with CENTROIDS centroids each; a pair of centroids is a cell. A query
-walks the pairs by the sum of its two distances with a heap, until the cells it has passed hold SHARE of all rows; their
+walks the pairs by the sum of its two distances with a heap, until the cells it has passed hold a share of all rows; their
 entries are ranked by exact distance on the original vectors. The codebooks are fitted to SAMPLE rows (those with the
 smallest hash of the id); every row is indexed. The cell counts (at most CENTROIDS ** 2 numbers) deal the entries out to
-chunks of about CHUNK rows: small cells share one, a large one (many equal vectors) is split by a hash of the id. Query
-blocks meet the chunks that they need, and each pair of block and chunk is one bounded task.
+chunks of about CHUNK rows: small cells share one, a large one (many equal vectors) is split by a hash of the id.
+
+The share is measured: PROBES rows are compared with all others, and the least share is taken at which the walks pass TARGET
+of their true neighbours. It is small where vectors have clusters and large where they are random, at every size.
+
+Queries travel to the chunks that they need. A chunk's queries are dealt into blocks of about QUERIES, and each chunk is
+copied for its own blocks only; a chunk and a block are one bounded task.
 
 Cases: vectors that are null, zero, of another dimension than most rows have, or that hold null or non-finite components
 take no part, nor do null ids; rows with one id count as one row (the smallest vector); ties go to the smaller id; with
@@ -23,8 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Centroids of a half, rows that the codebooks are fitted to, share of all rows that a query looks at, neighbours.
-CENTROIDS, SAMPLE, SHARE, K = 64, 20_000, 0.6, 10
+#: Centroids of a half, rows that the codebooks are fitted to, neighbours.
+CENTROIDS, SAMPLE, K = 64, 20_000, 10
+
+#: Rows that the share is measured with, and the part of their true neighbours that it is to pass.
+PROBES, TARGET = 100, 0.97
 
 #: Rows of a chunk of the index and queries of a block.
 CHUNK, QUERIES = 4096, 1024
@@ -110,16 +118,48 @@ class Index:
                     chunk, room = chunk + 1, CHUNK
                 self.places.append((cell, chunk, 1))
                 room -= n
+        self.cells = entries
         places = vectors.sparkSession.createDataFrame(self.places, "cell int, first int, split int")
         self.entries = entries.join(F.broadcast(places), "cell").select("vec_id", "vector", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("split"))).cast("int").alias("chunk"))
 
 
-def search(queries: DataFrame, index: Index, k: int = K, share: float = SHARE) -> DataFrame:
-    """queries(vec_id, vector) -> query_id, rank (from 1), vec_id, score: each query's k nearest other rows, by Euclidean distance."""
+def measured_share(index: Index, k: int = K, probes: int = PROBES, target: float = TARGET) -> float:
+    """The least share of all rows that walks must look at to pass `target` of the k true neighbours of some rows, found by brute force."""
+    books, half, counts = index.books, index.half, index.counts
+    asked = [(r["vec_id"], np.array(r["vector"])) for r in index.cells.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(probes).select("vec_id", "vector").collect()]
+    q = np.array([v for _, v in asked])
+
+    def nearest_rows(batches):
+        for pdf in batches:
+            x, ids, cell = np.array(pdf["vector"].tolist()).reshape(len(pdf), -1), pdf["vec_id"].to_numpy(), pdf["cell"].to_numpy()
+            out = []
+            for n, (own, _) in enumerate(asked):
+                d = ((x - q[n]) ** 2).sum(1)
+                d[ids == own] = np.inf
+                best = np.lexsort((ids, d))[:k]
+                best = best[np.isfinite(d[best])]
+                out.append(pd.DataFrame({"n": n, "vec_id": ids[best], "cell": cell[best], "d": d[best]}))
+            yield pd.concat(out)
+
+    rank = F.row_number().over(Window.partitionBy("n").orderBy("d", "vec_id"))
+    true = index.cells.mapInPandas(nearest_rows, "n int, vec_id long, cell int, d double").withColumn("r", rank).filter(F.col("r") <= k).collect()  # k rows a probe
+    cells_of: dict[int, list[int]] = {}
+    for r in true:
+        cells_of.setdefault(r["n"], []).append(r["cell"])
+    at = []
+    for n, cells in cells_of.items():
+        near = tuple(((c - h) ** 2).sum(1) for h, c in zip((q[n][:half], q[n][half:]), books, strict=True))
+        order = walk(near, counts, index.size)
+        reached = dict(zip(order, np.cumsum(counts[order]) / index.size, strict=True))
+        at += [reached[c] for c in cells]
+    return float(np.quantile(at, target, method="higher")) if at else 1.0
+
+
+def search(queries: DataFrame, index: Index, k: int = K, share: float | None = None) -> DataFrame:
+    """queries(vec_id, vector) -> query_id, rank (from 1), vec_id, score: each query's k nearest other rows, by Euclidean distance. share: of all rows that a query looks at; measured by default."""
     books, half, counts = index.books, index.half, index.counts
-    need = max(int(np.ceil(share * index.size)), k + 1)
+    need = max(int(np.ceil((measured_share(index, k) if share is None else share) * index.size)), k + 1)
     chunks_of = {cell: range(first, first + split) for cell, first, split in index.places}
-    blocks = max(1, -(-queries.count() // QUERIES))
 
     def walked(batches):
         for pdf in batches:
@@ -147,9 +187,11 @@ def search(queries: DataFrame, index: Index, k: int = K, share: float = SHARE) -
             found.append(pd.DataFrame({"query_id": q, "vec_id": ids[at][best], "score": d[best]}))
         return pd.concat([none, *found])
 
-    asked = queries.mapInPandas(walked, "query_id long, vector array<double>, cells binary, chunks array<int>")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode("chunks")).drop("chunks")
-    entries = index.entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = written(queries.mapInPandas(walked, "query_id long, vector array<double>, cells binary, chunks array<int>"), "walks")
+    asked = asked.withColumn("chunk", F.explode("chunks")).drop("chunks")
+    blocks = asked.groupBy("chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
+    asked = asked.join(blocks, "chunk").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
+    entries = index.entries.join(blocks, "chunk").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     found = entries.groupBy("chunk", "block").cogroup(asked.groupBy("chunk", "block")).applyInPandas(nearest_of, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,7 +11,7 @@ only the others run an agenda of their own. dropout 0 is plain BPE.
 Decoding is lossless: characters without a piece, and U+2581 itself (the model's mark for a space), become byte pieces.
 
 Cases: a null text has null pieces and decodes to null; an empty one has none; long texts are encoded whole; repeated
-texts get equal pieces; an empty table gives no rows; other columns pass through unread.
+texts get equal pieces; an empty table gives no rows; other columns pass through unread, one of the result's name is replaced.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 Only DataFrame expressions are used. Cases: a null URL, or one without "://", has an empty host and path, fits no rule
 and is allowed; an empty table or an empty list gives an empty result or a filter that holds nothing; repeated rows are
-judged one by one and alike; other columns of the input pass through unread.
+judged one by one and alike; URLs are read whole, however long. Other columns of the input pass through unread, but a column
+that has the name of one of the result's (host, path, canonical, rule, verdict, listed) or is called block is replaced.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 #: (verdict, host, path prefix). Rules are configuration: a bounded list, not a table that grows.
 RULES = [
@@ -86,23 +87,25 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "ur
 
     A page's verdict is its longest rule's; without a rule it is block for a canonical URL in listed(canonical), else allow.
     """
-    listed = listed.select("canonical").filter("canonical is not null").distinct()
+    listed = written(listed.select("canonical").filter("canonical is not null").distinct(), "listed")  # read three times
     blocks, n = bloom_blocks(listed)
     clash = [c for c in ("host", "path", "canonical", "rule", "verdict", "listed", "block") if c in pages.columns]
     pages = pages.drop(*clash)
     parts = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "canonical": canonical_url(F.col(url))}).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
     out = [*pages.columns, "host", "path", "canonical"]
     ruled = parts.filter("fit is not null").select(*out, "fit.rule", "fit.verdict", F.lit(False).alias("listed"))
-    free = parts.filter("fit is null").withColumn("block", _block(F.col("canonical"), n))
+    # Pages without a canonical URL are on no list; they would all have one block.
+    nameless = parts.filter("fit is null and canonical is null").select(*out, F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(False).alias("listed"))
+    free = parts.filter("fit is null and canonical is not null").withColumn("block", _block(F.col("canonical"), n))
     tested = free.join(blocks, "block", "left")
     passes = reduce(lambda a, b: a & b, [F.col(f"f{w}").bitwiseAND(m) == m for w, m in enumerate(_masks(F.col("canonical")))])
-    tested = tested.withColumn("possible", F.coalesce(passes & F.col("canonical").isNotNull(), F.lit(False)))
+    tested = tested.withColumn("possible", F.coalesce(passes, F.lit(False)))
     rule = F.lit(None).cast("string").alias("rule")
     clear = tested.filter(~F.col("possible")).select(*out, rule, F.lit("allow").alias("verdict"), F.lit(False).alias("listed"))
     exact = tested.filter("possible").join(listed.withColumn("hit", F.lit(True)), "canonical", "left")
     hit = F.coalesce(F.col("hit"), F.lit(False))
     exact = exact.select(*out, rule, F.when(hit, "block").otherwise("allow").alias("verdict"), hit.alias("listed"))
-    return ruled.unionByName(clear).unionByName(exact)
+    return ruled.unionByName(nameless).unionByName(clear).unionByName(exact)
 
 
 def mirrored_urls(pages: DataFrame, url: str = "url") -> DataFrame:

@@ -563,3 +563,77 @@ def test_near_copies_and_an_outlier(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "meetings", lambda placed, block=near_dups.BLOCK: (sizes.append(placed.count()), near_meetings(placed, 64))[1])
     found = {r["doc_id"]: r["class_id"] for r in near_dups.near_classes(documents(spark, *enumerate([*copies, outlier]))).collect()}
     assert {found[i] for i in range(600)} == {0} and found[600] == 600
+
+
+def test_urls_that_clash_repeat_and_are_long(spark):
+    long = "https://www.a.org/x?" + "&".join(f"utm_{i}=1&q{i}=2" for i in range(20_000))
+    rows = [(1, "http://a.org/b", "keep"), (1, "http://a.org/b", "keep"), (2, long, "keep"), (3, None, "keep"), (4, "no scheme", "keep"), (5, "http://a.org/b/?utm_x=1", "keep")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, host string").withColumn("other", F.col("host"))
+    canonical = spark.range(1).select(url_filter.canonical_url(F.lit(long))).first()[0]
+    listed = spark.createDataFrame([("a.org/b",), (canonical,), (None,), ("a.org/b",)], "canonical string")
+    found = url_filter.filter_urls(pages, listed).collect()
+    assert sorted((r["page_id"], r["host"], r["verdict"]) for r in found) == [(1, "a.org", "block"), (1, "a.org", "block"), (2, "www.a.org", "block"), (3, "", "allow"), (4, "", "allow"), (5, "a.org", "block")]
+    assert all(r["other"] == "keep" for r in found) and "utm_" not in canonical and canonical.endswith("q19999=2")
+    assert {r["verdict"] for r in url_filter.filter_urls(pages, listed.limit(0)).collect()} == {"allow"}
+
+
+def recall_of(found, x, asked, k):
+    hits, by = 0, defaultdict(set)
+    for r in found:
+        by[r["query_id"]].add(r["vec_id"])
+    for q in asked:
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(by[q] & set(np.argsort(d, kind="stable")[:k].tolist()))
+    return hits / (k * len(asked))
+
+
+def test_share_follows_the_vectors(spark):
+    rng = np.random.default_rng(9)
+    n, asked = 6000, range(0, 6000, 100)
+    clustered = rng.standard_normal((120, 24))[rng.integers(0, 120, n)] + 0.15 * rng.standard_normal((n, 24))
+    shares = {}
+    for name, x in (("clustered", clustered), ("random", rng.standard_normal((n, 24)))):
+        rows, dim = ann.valid_vectors(vectors(spark, list(enumerate(x.tolist()))))
+        index = ann.Index(rows, dim)
+        shares[name] = ann.measured_share(index)
+        assert recall_of(ann.search(rows.filter("vec_id % 100 = 0"), index).collect(), x, asked, ann.K) >= 0.9
+    assert shares["clustered"] <= 0.1 < shares["random"]
+
+
+def test_no_vectors_are_near(spark):
+    rows = vectors(spark, [(100, [1.0, 2.0]), (7, [1.0, 3.0]), (8, None)])
+    valid, dim = ann.valid_vectors(rows)
+    assert [tuple(r) for r in ann.search(valid.filter("vec_id % 100 = 0"), ann.Index(valid, dim)).collect()] == [(100, 1, 7, 1.0)]
+    assert ann.valid_vectors(vectors(spark, []))[1] == 0
+
+
+def test_descent_finds_the_least_loss():
+    rng = np.random.default_rng(5)
+    n, d, cost = 80, 6, 0.7
+    x = rng.standard_normal((n, d))
+    y = (x @ rng.standard_normal(d) + 0.8 * rng.standard_normal(n) > 0).astype(int)
+    sign = np.where(y == 1, 1.0, -1.0)
+    w, b = quality.descend([(np.arange(d), v) for v in x], y, d, cost, rounds=2000)
+    primal = lambda w, b: (w @ w + b * b) / 2 + cost * np.maximum(0, 1 - sign * (x @ w + b)).sum()
+    # A plain solver of the dual: projected gradient on its box.
+    z = np.hstack([x, np.ones((n, 1))]) * sign[:, None]
+    gram, alpha = z @ z.T, np.zeros(n)
+    step = 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(40_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, cost)
+    best = z.T @ alpha
+    assert primal(w, b) <= primal(best[:-1], best[-1]) * 1.001 and np.allclose(np.append(w, b), best, atol=0.02)
+
+
+def test_piece_columns_are_those_of_each_unit(spark, tmp_path):
+    texts = ["wonderful words of wonderful things", "", None, "  two  spaces\n", "é日本 🎈 xyzzy" * 3, STORY]
+    documents(spark, *enumerate(texts)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in pieces.query(spark, str(tmp_path)).collect()}
+    encoder, v = pieces.Encoder(), pieces.vocabulary(pieces.MODEL)
+    want = {}
+    for i, t in enumerate(texts):
+        units = pieces._UNITS.findall(" " + t) if t else []
+        want[i] = None if t is None else [x for u, o in zip(units, encoder._occurrences(t, len(units)).tolist(), strict=True) for x in pieces.encode_unit(v, u, o, pieces.DROPOUT, pieces.SEED)]
+    hashes = {r["i"]: r["h"] for r in spark.createDataFrame(list(want.items()), "i int, p array<int>").select("i", F.xxhash64("p").alias("h")).collect()}
+    assert all(got[i]["n_pieces"] == len(p or []) and got[i]["pieces_hash"] == hashes[i] and got[i]["lossless"] for i, p in want.items())
