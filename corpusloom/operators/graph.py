@@ -114,22 +114,27 @@ def thinned_edges(scored: DataFrame, budget: int, cap: int, focus: str | None =
     if scored.count() <= budget:
         return scored
     order = F.struct(F.col("score").alias("s"), F.col("similarity").alias("m"), F.struct(F.col("src").alias("a"), F.col("dst").alias("b")).alias("e"))
-    room = F.when(F.lit(focus).isNotNull() & (F.col("slug") == F.lit(focus)), 2 * cap).otherwise(cap)
-    left, taken = scored.withColumn("_o", order), None
+    room = lambda end: F.when(F.lit(focus).isNotNull() & (F.col(end) == F.lit(focus)), 2 * cap).otherwise(cap)
+    rows, rounds = scored.withColumns({"_o": order, "_src_room": room("src"), "_dst_room": room("dst")}), []
+    best = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("_o")))
     while True:
-        ends = left.select(F.col("src").alias("slug"), "_o").union(left.select("dst", "_o"))
-        used = None if taken is None else taken.select(F.col("src").alias("slug")).union(taken.select("dst")).groupBy("slug").agg(F.count(F.lit(1)).alias("used"))
-        free = ends.select("slug").distinct()
-        free = (free.join(used, "slug", "left") if used is not None else free.withColumn("used", F.lit(0))).withColumn("free", room - F.coalesce("used", F.lit(0)))
-        place = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("_o")))
-        good = ends.withColumn("_n", place).join(free, "slug").filter(F.col("_n") <= F.col("free")).groupBy("_o").count().filter("count = 2").select("_o")
-        new = written(left.join(good, "_o", "left_semi"), "taken")
-        if new.isEmpty():
+        # Each end of an edge is many rows of one node: places are given by the node, over both of its sides.
+        sides = rows.select(F.explode(F.array(F.struct("src", F.col("_src_room").alias("room")), F.struct(F.col("dst").alias("src"), F.col("_dst_room").alias("room")))).alias("n"), "_o")
+        sides = sides.select(F.col("n.src").alias("slug"), F.col("n.room").alias("room"), "_o").withColumn("good", best("slug") <= F.col("room"))
+        good = sides.groupBy("_o").agg(F.min("good").alias("_take"))
+        told = sides.join(good, "_o")
+        used = told.groupBy("slug").agg(F.sum(F.col("_take").cast("int")).alias("used"))  # so many places of each node go in this round
+        new = rows.join(good, "_o")
+        for end in ("src", "dst"):
+            new = new.join(used.select(F.col("slug").alias(end), F.col("used").alias("_used")), end, "left").withColumn(f"_{end}_room", F.col(f"_{end}_room") - F.coalesce("_used", F.lit(0))).drop("_used")
+        new = written(new, "thinning")
+        rounds.append(new.filter("_take").select(*scored.columns, "_o"))
+        rows = new.filter("not _take and _src_room > 0 and _dst_room > 0").drop("_take")
+        if rows.isEmpty():
             break
-        taken = new if taken is None else taken.unionByName(new)
-        used = taken.select(F.col("src").alias("slug")).union(taken.select("dst")).groupBy("slug").agg(F.count(F.lit(1)).alias("used")).withColumn("free", room - F.col("used")).filter("free <= 0").select("slug")
-        rest = left.join(good, "_o", "left_anti").join(used.withColumnRenamed("slug", "src"), "src", "left_anti").join(used.withColumnRenamed("slug", "dst"), "dst", "left_anti")
-        left = written(rest, "left")
+    taken = rounds[0]
+    for r in rounds[1:]:
+        taken = taken.unionByName(r)
     return taken.orderBy(F.desc("_o")).limit(budget).select(*scored.columns)
 
 

@@ -16,7 +16,7 @@ def embedded(rows: DataFrame, text: str, embedder=None, name: str = "embedding")
 
 
 def build(pages: DataFrame, embedder=None, root: str = "#main-text", headings: list[str] = html.HEADINGS, threshold: float = K.SEMANTIC_THRESHOLD) -> dict[str, DataFrame]:
-    """pages(url, html) -> sections, chunks, entries, explicit_edges, semantic_edges. Entries without chunks have no vector and no edges."""
+    """pages(url, html) -> sections, chunks, entries, explicit_edges, semantic_edges, leads. Entries without chunks have no vector and no edges."""
     parsed = html.parse_pages(pages.select("url", "html"), root, headings=headings)
     sections = html.page_sections(parsed)
     chunks = embedded(chunking.chunk_sections(sections, ["entry_slug", "section_ord"]), "chunk_text", embedder)
@@ -28,4 +28,4 @@ def build(pages: DataFrame, embedder=None, root: str = "#main-text", headings: l
     links = html.link_counts(parsed)
     links = graph.induced(links, valid)
     semantic = graph.semantic_edges(known.withColumnRenamed("graph_embedding", "embedding"), "entry_slug", threshold)
-    return {"sections": sections, "chunks": chunks, "entries": docs, "explicit_edges": links, "semantic_edges": semantic}
+    return {"sections": sections, "chunks": chunks, "entries": docs, "explicit_edges": links, "semantic_edges": semantic, "leads": html.page_leads(parsed)}

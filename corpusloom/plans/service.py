@@ -212,8 +212,27 @@ class GraphService:
         return {name: df.count() for name, df in (("entries", self.entries), ("explicit_edges", self.explicit), ("semantic_edges", self.semantic))}
 
 
+#: Columns that a front end reads, with their types, of each part of a view.
+PAYLOAD = {
+    "nodes": {"slug": "string", "entry_title": "string", "degree": "bigint"},
+    "explicit_edges": {"src": "string", "dst": "string", "weight": "int"},
+    "semantic_edges": {"src": "string", "dst": "string", "similarity": "double"},
+}
+
+
+def check_payload(view: dict[str, DataFrame]) -> None:
+    """A ValueError that names what a view lacks, or has with another type; further columns are allowed. No job runs."""
+    wrong = [f"no {part}" for part in PAYLOAD if part not in view]
+    for part in PAYLOAD.keys() & view.keys():
+        have = dict(view[part].dtypes)
+        wrong += [f"{part}.{c} is {have.get(c, 'missing')}, not {kind}" for c, kind in PAYLOAD[part].items() if have.get(c) != kind]
+    if wrong:
+        raise ValueError("; ".join(sorted(wrong)))
+
+
 def payload(view: dict[str, DataFrame]) -> str:
     """A view, bounded by its caller, as one JSON object of lists of records: what a front end reads."""
+    check_payload(view)
     return "{" + ",".join(f"{json.dumps(name)}:[{','.join(r[0] for r in df.select(F.to_json(F.struct("*"))).collect())}]" for name, df in view.items()) + "}"
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_text, entry_url, heading_parts, slug_of
+from ..functions.text import clean_text, entry_url, heading_parts, slug_of, url_parameter
 from .store import written
 
 HEADINGS = ["h2", "h3", "h4", "h5", "h6"]
@@ -156,6 +156,21 @@ def parse_pages(pages: DataFrame, root: str = "#main-text", preamble: str = "#pr
     return pages.withColumn("_page", F.pandas_udf(parsed, _PAGE)("url", "html")).select(*pages.columns, "_page.*").withColumn("title", clean_text(F.col("title")))
 
 
+def linked_parameter(pages: DataFrame, part: str, parameter: str, prefer: str = "#academic-tools", name: str = "linked") -> DataFrame:
+    """pages(html) with a query parameter of a link added: of the first link whose address has `part`, looked for in the preferred block, then in the whole page. Null where there is none, or the parameter is absent or blank."""
+
+    @F.pandas_udf(T.StringType())
+    def link(htmls: pd.Series) -> pd.Series:
+        def of(text):
+            tree = parse(text or "")
+            places = [p for p in (_root(tree, prefer), tree) if p is not None]
+            return next((a.attrs["href"] for p in places for a in p.walk() if a.name == "a" and part in (a.attrs.get("href") or "")), None)
+
+        return pd.Series([of(t) for t in htmls.tolist()], dtype=object)
+
+    return pages.withColumn(name, link("html")).withColumn(name, url_parameter(F.col(name), parameter))
+
+
 def page_sections(parsed: DataFrame) -> DataFrame:
     """parse_pages' rows -> sections(section_ord, entry_slug, entry_title, section_number, section_title, section_text, url), by page."""
     rows = parsed.select("url", "title", F.posexplode("sections").alias("section_ord", "s"))
@@ -164,6 +179,11 @@ def page_sections(parsed: DataFrame) -> DataFrame:
     return rows.select("section_ord", slug_of(F.col("url")).alias("entry_slug"), F.col("title").alias("entry_title"), parts["number"].alias("section_number"), parts["title"].alias("section_title"), F.col("s.text").alias("section_text"), link.alias("url"))
 
 
+def page_leads(parsed: DataFrame) -> DataFrame:
+    """parse_pages' rows -> (entry_slug, lead): the first paragraph of each entry's page; one row an entry."""
+    return parsed.select(slug_of(F.col("url")).alias("entry_slug"), "url", "lead").filter("entry_slug is not null").groupBy("entry_slug").agg(F.min_by("lead", "url").alias("lead"))
+
+
 def link_counts(parsed: DataFrame) -> DataFrame:
     """parse_pages' rows -> (src, dst, weight): how often a page of an entry links another entry."""
     rows = parsed.select(slug_of(F.col("url")).alias("src"), F.explode("hrefs").alias("href")).withColumn("dst", slug_of(entry_url(F.col("href"))))

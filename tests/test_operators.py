@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom import constants as K
 from corpusloom.functions import models
 from corpusloom.operators import chunking, classify, graph, retrieval
-from corpusloom.plans import build
+from corpusloom.plans import build, service
 from corpusloom.plans.evaluate import evaluate
 from corpusloom.plans.service import GraphService, SearchService, create_search_service, payload
 from corpusloom.sources import html, json_array, snapshots, store
@@ -206,3 +206,39 @@ def test_store_is_repeatable_and_repairs_deeply(spark, tmp_path):
     assert store.repair_records(deep).first()["d"][0]["m"]["k"] == "é"
     store.write_records(rows, f"{tmp_path}/lines")
     assert store.read_lines(spark, f"{tmp_path}/lines", rows.schema).count() == 4
+
+
+def test_link_in_the_preferred_block(spark):
+    a = '<p><a href="/x?sep=first">x</a></p><div id="academic-tools"><a href="/other">o</a><a href="https://i.org/entity?p=1&sep=mind%20x">i</a></div>'
+    rows = [(1, a), (2, '<a href="/e?sep=only">x</a>'), (3, '<a href="/e?q=1">x</a>'), (4, None), (5, '<a href="/e?sep=">x</a><div id="academic-tools"></div>')]
+    found = html.linked_parameter(spark.createDataFrame(rows, "page_id int, html string"), "sep=", "sep").collect()
+    got = {r["page_id"]: r["linked"] for r in found}
+    assert got[2] == "only" and got[3] is None and got[4] is None and got[5] is None and got[1].startswith("mind")
+
+
+def test_categories(spark, tmp_path):
+    config = {"default_color": "#000", "legend_order": ["B", "A"], "subdiscipline_colors": {"A": "#a", "B": "#b", "C": "#c"}, "aliases": {"Aye": "A"}, "inpho_topic_model": {"k": 2, "min_topic_probability": 0.2, "topic_to_subdiscipline": {"0": "B", "1": "C"}}}
+
+    def read(**change):
+        (tmp_path / "c.json").write_text(json.dumps({k: v for k, v in (config | change).items() if v is not None}))
+        return classify.read_categories(spark, f"file://{tmp_path}/c.json")
+
+    c = read()
+    rows = spark.createDataFrame([(["aye"], "", None), ([], "", '[{"topics": {"1": 0.3}}]'), ([], "", '[{"topics": {"1": 0.1}}]')], "m array<string>, t string, p string")
+    found = rows.select(c.resolved(F.col("m"), F.col("t"), F.col("p")).alias("r")).select("r.*", c.color(F.col("r.label")).alias("color"))
+    assert [tuple(r) for r in found.collect()] == [("A", "page", "#a"), ("C", "topic", "#c"), (None, "none", "#000")]
+    assert [tuple(r) for r in c.legend(spark.createDataFrame([("C",), ("A",), ("B",), ("A",), (None,)], "label string")).orderBy("place").collect()] == [(1, "B", "#b"), (2, "A", "#a"), (3, "C", "#c")]
+    for change in ({"aliases": None}, {"inpho_topic_model": {"k": 2}}, {"inpho_topic_model": config["inpho_topic_model"] | {"k": 3}}, {"legend_order": ["Z"]}):
+        with pytest.raises(ValueError, match="no "):
+            read(**change)
+
+
+def test_payload_is_checked(spark):
+    nodes = spark.createDataFrame([("a", "A", 1)], "slug string, entry_title string, degree long")
+    edges = spark.createDataFrame([("a", "b", 2)], "src string, dst string, weight int")
+    good = {"nodes": nodes, "explicit_edges": edges, "semantic_edges": edges.select("src", "dst", F.lit(0.5).alias("similarity"))}
+    service.check_payload(good)
+    with pytest.raises(ValueError, match="explicit_edges.weight is bigint, not int; no semantic_edges"):
+        service.check_payload({"nodes": nodes, "explicit_edges": edges.withColumn("weight", F.lit(2).cast("long"))})
+    with pytest.raises(ValueError, match="nodes.degree is missing"):
+        payload(good | {"nodes": nodes.drop("degree")})
