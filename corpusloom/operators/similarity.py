@@ -1,6 +1,7 @@
 """Exact cosine joins in blocks: all pairs over a threshold, each row's most similar rows, and the nearest rows of a batch of queries.
 
-Rows gather around pivots (some rows, PIVOTS at most) and are dealt into blocks of one pivot. A block has, for every pivot, the
+Rows gather around pivots (PIVOTS at most, far from one another, out of SAMPLE rows) and are dealt into blocks of one pivot,
+those within NEAR of it apart from the others. A block has, for every pivot, the
 least and the greatest angle of its rows to it. By the triangle inequality two rows are at least as far apart as their angles
 to a pivot differ, so two blocks whose ranges lie too far apart at any pivot hold no pair over the threshold and never meet.
 Each two blocks that are left meet once, as packed records in one bounded task that gives both directions.
@@ -18,47 +19,66 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.vectors import norm, unit
 from ..sources.store import written
 
+#: Rows that pivots are chosen from, and the angle within which a row is near its pivot.
+SAMPLE, NEAR = 4096, np.pi / 4
+
 #: Pivots, rows of a block, and queries of a block. What rounding may take from an angle.
-PIVOTS, BLOCK, QUERIES, ROUNDING = 32, 2048, 1024, 1e-6
+PIVOTS, BLOCK, QUERIES, ROUNDING = 256, 2048, 1024, 1e-6
 
 #: Queries of a batch that the driver passes to tasks; a larger set is no batch of stated queries.
 MOST_QUERIES = 65_536
 
 
-def pivoted(rows: DataFrame, row_id: str, embedding: str = "embedding", block: int = BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, int]:
-    """(id, v, mine, angles) of the rows with a direction, as a written table, and the number of blocks. v: unit vectors; mine: the block."""
+def far_apart(x: np.ndarray, k: int) -> np.ndarray:
+    """At most k of these unit vectors, each the farthest from those before it."""
+    chosen, closest = [0], x @ x[0]
+    while len(chosen) < min(k, len(x)) and closest.min() < 1 - ROUNDING:
+        chosen.append(int(closest.argmin()))
+        closest = np.maximum(closest, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def pivoted(rows: DataFrame, row_id: str, embedding: str = "embedding", block: int = BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, int, np.ndarray]:
+    """(mine, ids, vs) of the rows with a direction: blocks as packed records, vs their unit vectors one after another, as a written table; the number of blocks, and the pivots."""
     x = F.col(embedding)
     good = rows.filter(norm(x) > 0).select(F.col(row_id).alias("id"), unit(x).alias("v"))
-    few = [r["v"] for r in good.orderBy(F.xxhash64("id"), "id").limit(min(pivots, max(1, -(-4 * good.count() // block)))).select("v").collect()]
-    if not few:
-        return good.select("id", "v", F.lit(0).alias("mine"), F.array().cast("array<double>").alias("angles")), 0
-    p = np.array(few)
+    few = good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+    p = far_apart(np.array([r["v"] for r in few]), min(pivots, -(-2 * good.count() // block))) if few else np.zeros((0, 0))
 
-    def placed(batches):
+    def nearest(batches):
         for b in batches:
             if len(b):
                 v = b.column("v").flatten().to_numpy().reshape(len(b), -1)
-                angles = np.arccos(np.clip(v @ p.T, -1, 1))
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(angles.ravel()), len(p)).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(angles.argmin(1).astype(np.int32)), lists], names=["id", "v", "near", "angles"])
+                s = v @ p.T
+                near = 2 * s.argmax(1) + (s.max(1) < np.cos(NEAR))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(near.astype(np.int32))], names=["id", "v", "near"])
 
-    schema = T.StructType([*good.schema.fields, T.StructField("near", T.IntegerType()), T.StructField("angles", T.ArrayType(T.DoubleType()))])
-    near = written(good.mapInArrow(placed, schema), "pivoted")
+    schema = T.StructType([*good.schema.fields, T.StructField("near", T.IntegerType())])
+    near = written(good.mapInArrow(nearest, schema), "pivoted")
     first, plan = 0, []
-    for r in near.groupBy("near").count().orderBy("near").collect():  # one row a pivot
+    for r in near.groupBy("near").count().orderBy("near").collect():  # two rows a pivot
         n = -(-r["count"] // block)
         plan.append((r["near"], first, n))
         first += n
     table = rows.sparkSession.createDataFrame(plan, "near int, first int, n int")
     mine = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("n"))).cast("int")
-    return near.join(F.broadcast(table), "near").select("id", "v", mine.alias("mine"), "angles"), first
+    packed = near.join(F.broadcast(table), "near").groupBy(mine.alias("mine")).agg(F.collect_list(F.struct("id", "v")).alias("r"))
+    return written(packed.select("mine", F.col("r.id").alias("ids"), F.flatten("r.v").alias("vs")), "blocks"), first, p
 
 
-def block_pairs(placed: DataFrame, blocks: int, least: float) -> DataFrame:
+def block_pairs(packed: DataFrame, blocks: int, pivots: np.ndarray, least: float) -> DataFrame:
     """(mine, other, gap), mine < other: the pairs of blocks that can hold a pair with a cosine of at least `least`, and the least angle of such a pair."""
-    at = placed.select("mine", F.posexplode("angles").alias("pivot", "angle")).groupBy("mine", "pivot").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
-    ranges = at.groupBy("mine").agg(F.sort_array(F.collect_list(F.struct("pivot", "lo", "hi"))).alias("r"))
-    ranges = written(ranges.select("mine", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi")), "block-ranges")
+
+    def ranged(batches):
+        for b in batches:
+            lo, hi = [], []
+            for vs in b.column("vs"):
+                angles = np.arccos(np.clip(vs.values.to_numpy().reshape(-1, pivots.shape[1]) @ pivots.T, -1, 1))
+                lo.append(angles.min(0))
+                hi.append(angles.max(0))
+            yield pa.RecordBatch.from_arrays([b.column("mine"), pa.array(lo, pa.list_(pa.float64())), pa.array(hi, pa.list_(pa.float64()))], names=["mine", "lo", "hi"])
+
+    ranges = written(packed.select("mine", "vs").mapInArrow(ranged, "mine int, lo array<double>, hi array<double>"), "block-ranges")
     left = ranges.select("mine", F.col("lo").alias("a"), F.col("hi").alias("b"), F.explode(F.sequence(F.col("mine"), F.lit(blocks - 1))).alias("other")).filter("mine < other")
     both = left.join(ranges.select(F.col("mine").alias("other"), "lo", "hi"), "other")
     gaps = F.zip_with(F.zip_with("lo", "b", lambda x, y: x - y), F.zip_with("a", "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y))
@@ -84,12 +104,10 @@ def similar_pairs(rows: DataFrame, threshold: float, row_id: str, k: int | None
     a row of either so far. Ids must be distinct; zero vectors are similar to nothing.
     """
     kind = rows.schema[row_id].dataType
-    placed, blocks = pivoted(rows, row_id, embedding, block, pivots)
+    packed, blocks, p = pivoted(rows, row_id, embedding, block, pivots)
     schema = T.StructType([T.StructField("src", kind), T.StructField("dst", kind), T.StructField("similarity", T.DoubleType())])
     if not blocks:
         return rows.sparkSession.createDataFrame([], schema)
-    packed = placed.groupBy("mine").agg(F.collect_list(F.struct("id", "v")).alias("r"))
-    packed = written(packed.select("mine", F.col("r.id").alias("ids"), F.flatten("r.v").alias("vs")), "blocks")
     wanted = to_arrow_schema(schema)
 
     def matched(batches):
@@ -112,11 +130,11 @@ def similar_pairs(rows: DataFrame, threshold: float, row_id: str, k: int | None
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))
     top = (lambda df: df.withColumn("_n", rank).filter(F.col("_n") <= k).drop("_n")) if k is not None else (lambda df: df)
     inside = diagonal.repartition("mine").select(*columns).mapInArrow(matched, schema)
-    pairs = block_pairs(placed, blocks, threshold)
+    pairs = block_pairs(packed, blocks, p, threshold)
     if k is not None:
         inside = written(inside, "inside-blocks")
         present = inside.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("s"))
-        floor = placed.select("mine", F.col("id").alias("src")).join(present, "src", "left")
+        floor = packed.select("mine", F.explode("ids").alias("src")).join(present, "src", "left")
         floor = floor.groupBy("mine").agg(F.min(F.when(F.col("n") >= k, F.col("s")).otherwise(threshold)).alias("floor"))
         pairs = pairs.join(floor.withColumnRenamed("floor", "f1"), "mine").join(floor.select(F.col("mine").alias("other"), F.col("floor").alias("f2")), "other")
         pairs = pairs.filter(F.cos(F.col("gap") - ROUNDING) >= F.least("f1", "f2"))

@@ -36,9 +36,9 @@ def test_pairs(spark, threshold, k):
 
 def test_blocks_that_cannot_reach_the_threshold_do_not_meet(spark):
     rows, df = table(spark, np.random.default_rng(2), 1200, 16, 20, 0.15)
-    placed, blocks = similarity.pivoted(df, "id", block=40)
-    formed = similarity.block_pairs(placed, blocks, 0.85).count()
-    assert blocks >= 30 and formed < 0.5 * blocks * (blocks - 1) / 2
+    packed, blocks, pivots = similarity.pivoted(df, "id", block=40)
+    formed = similarity.block_pairs(packed, blocks, pivots, 0.85).count()
+    assert blocks >= 30 and formed < 0.2 * blocks * (blocks - 1) / 2
     want = all_pairs(rows, 0.85)
     assert {(r["src"], r["dst"]) for r in similarity.similar_pairs(df, 0.85, "id", block=40).collect()} == want.keys()
     best = all_pairs(rows, 0.85, 5)
