@@ -49,6 +49,12 @@ def color_of(label: Column, colors: dict[str, str] = K.COLORS, default: str = K.
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in colors.items() for x in pair]), label), F.lit(default))
 
 
+#: The keys of a file of categories, and of its topic model.
+_MODEL = "inpho_topic_model"
+_KEYS = ["default_color", "legend_order", "subdiscipline_colors", "aliases", _MODEL]
+_MODEL_KEYS = ["k", "min_topic_probability", "topic_to_subdiscipline"]
+
+
 @dataclass(frozen=True)
 class Categories:
     """Labels, as a file names them: default and other colours, the order of a legend, other spellings, and the topic model's labels by topic id."""
@@ -77,9 +83,8 @@ class Categories:
 def read_categories(spark: SparkSession, path: str) -> Categories:
     """Of a JSON file; a key that is missing, a topic without a label, and a label without a colour are errors."""
     found = json.loads(spark.read.text(path, wholetext=True).first()[0])
-    model = found.get("inpho_topic_model") or {}
-    needed = [(found, k) for k in ("default_color", "legend_order", "subdiscipline_colors", "aliases", "inpho_topic_model")] + [(model, k) for k in ("k", "min_topic_probability", "topic_to_subdiscipline")]
-    missing = [k for where, k in needed if k not in where]
+    model = found.get(_MODEL) or {}
+    missing = [k for k in _KEYS if k not in found] + [k for k in _MODEL_KEYS if k not in model]
     if missing:
         raise ValueError(f"{path}: no {', '.join(missing)}")
     topics = {str(k): v for k, v in model["topic_to_subdiscipline"].items()}

@@ -590,7 +590,24 @@ def html_links(spark, sf_dir):
     return parsed.select("page_id", F.explode("hrefs").alias("href")).groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("links"))
 
 
-@query()
+def _shown_sql(t: str) -> str:
+    """What a reader sees of a string between tags."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        t = f"replace({t}, '{entity}', '{char}')"
+    return f"regexp_replace(regexp_replace({t}, '{K.WS}+', ' ', 'g'), {_STRIP})"
+
+
+def _strings_sql(t: str) -> str:
+    """The strings of a piece of HTML, stripped, with a space between them."""
+    return f"array_to_string(list_filter(list_transform(regexp_split_to_array({t}, '<[^>]*>'), lambda x: {_shown_sql('x')}), lambda x: x <> ''), ' ')"
+
+
+# Paragraphs of these pages are closed, up to one that opens <b> and leaves it open: all that follows is inside it.
+@query(f"""with a as (select page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) as a from pages),
+r as (select page_id, regexp_extract(a, '(?s)<h1[^>]*>(.*?)</h1>', 1) as h, regexp_extract(a, '(?s)</h1>(.*)$', 1) as rest from a),
+c as (select page_id, h, case when contains(rest, '<p><b>') then split_part(rest, '<p><b>', 1) else rest end as closed, case when contains(rest, '<p><b>') then rest[instr(rest, '<p><b>'):] else '' end as opened from r),
+b as (select page_id, {_strings_sql("h")} as heading, list_filter(list_transform(regexp_extract_all(closed, '(?s)<p>(.*?)</p>', 1), lambda p: {_strings_sql("p")}) || [{_strings_sql("opened")}], lambda x: x <> '') as blocks from c)
+select page_id, 0 as section_ord, coalesce(blocks[1], '') as lead, heading, array_to_string(blocks, chr(10) || chr(10)) as text from b where len(blocks) > 0""")
 def html_sections(spark, sf_dir):
     rows = _pages(spark, sf_dir).select("page_id", "lead", F.posexplode("sections").alias("section_ord", "s"))
     return rows.select("page_id", "section_ord", "lead", F.col("s.heading").alias("heading"), F.col("s.text").alias("text"))

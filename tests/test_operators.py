@@ -209,9 +209,9 @@ def test_store_is_repeatable_and_repairs_deeply(spark, tmp_path):
 
 
 def test_link_in_the_preferred_block(spark):
-    a = '<p><a href="/x?sep=first">x</a></p><div id="academic-tools"><a href="/other">o</a><a href="https://i.org/entity?p=1&sep=mind%20x">i</a></div>'
-    rows = [(1, a), (2, '<a href="/e?sep=only">x</a>'), (3, '<a href="/e?q=1">x</a>'), (4, None), (5, '<a href="/e?sep=">x</a><div id="academic-tools"></div>')]
-    found = html.linked_parameter(spark.createDataFrame(rows, "page_id int, html string"), "sep=", "sep").collect()
+    a = '<p><a href="/x?entry=first">x</a></p><div id="academic-tools"><a href="/other">o</a><a href="https://i.org/entity?p=1&entry=mind%20x">i</a></div>'
+    rows = [(1, a), (2, '<a href="/e?entry=only">x</a>'), (3, '<a href="/e?q=1">x</a>'), (4, None), (5, '<a href="/e?entry=">x</a><div id="academic-tools"></div>')]
+    found = html.linked_parameter(spark.createDataFrame(rows, "page_id int, html string"), "entry=", "entry").collect()
     got = {r["page_id"]: r["linked"] for r in found}
     assert got[2] == "only" and got[3] is None and got[4] is None and got[5] is None and got[1].startswith("mind")
 
