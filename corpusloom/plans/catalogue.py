@@ -15,7 +15,7 @@ from .. import constants as K
 from ..functions import text as tx
 from ..functions.vectors import unit
 from ..operators import chunking, classify, entries, graph, graph_index, retrieval, similarity
-from ..sources import html, snapshots, store
+from ..sources import html, json_array, snapshots, store
 from .service import SearchService
 
 QUERIES: dict = {}
@@ -759,6 +759,26 @@ def repair_nested(spark, sf_dir):
     return back.select("doc_id", F.col("deep")[0]["t"].alias("text"), F.map_keys(F.col("deep")[0]["m"])[0].alias("source"), F.map_values(F.col("deep")[0]["m"])[0].alias("lang"), "kept")
 
 
+@query("select row_number() over (order by c_custkey) - 1 as section_ord, c_custkey, c_name, [c_mktsegment, '}]\"[{'] as tags, c_acctbal from customer")
+def json_array_records(spark, sf_dir):
+    """The customers as one JSON array in one file, read back in byte ranges, each with its place in the list."""
+    path = f"{store.shared_dir(spark)}/array-{uuid.uuid4().hex}"
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", F.array("c_mktsegment", F.lit('}]"[{')).alias("tags"), "c_acctbal")
+    lines = html.placed(rows, "c_custkey").select("place", F.concat(F.when(F.col("place") == 1, "[").otherwise(","), F.to_json(F.struct(*rows.columns))).alias("value"))
+    end = spark.range(1).select(F.lit((1 << 62)).alias("place"), F.lit("]").alias("value"))
+    lines.unionByName(end).orderBy("place").coalesce(1).select("value").write.text(path)
+    return json_array.read_records(spark, path, rows.schema)
+
+
+@query("select conv_id, turn, role, text from conversations")
+def json_lines(spark, sf_dir):
+    """The conversations as JSON lines, written and read back."""
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    path = f"{store.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    store.write_records(rows, path)
+    return store.read_lines(spark, path, rows.schema)
+
+
 @query("select doc_id, row_number() over (order by n_chars, doc_id) as place from documents")
 def document_places(spark, sf_dir):
     return html.placed(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id").select("doc_id", "place")
