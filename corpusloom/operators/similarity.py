@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.vectors import norm, unit
+from ..functions.vectors import norm
 from ..sources.store import written
 
 #: Rows that pivots are chosen from, and the angle within which a row is near its pivot.
@@ -29,6 +29,10 @@ PIVOTS, BLOCK, QUERIES, ROUNDING = 256, 2048, 1024, 1e-6
 MOST_QUERIES = 65_536
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def far_apart(x: np.ndarray, k: int) -> np.ndarray:
     """At most k of these unit vectors, each the farthest from those before it."""
     chosen, closest = [0], x @ x[0]
@@ -41,17 +45,18 @@ def far_apart(x: np.ndarray, k: int) -> np.ndarray:
 def pivoted(rows: DataFrame, row_id: str, embedding: str = "embedding", block: int = BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, int, np.ndarray]:
     """(mine, ids, vs) of the rows with a direction: blocks as packed records, vs their unit vectors one after another, as a written table; the number of blocks, and the pivots."""
     x = F.col(embedding)
-    good = rows.filter(norm(x) > 0).select(F.col(row_id).alias("id"), unit(x).alias("v"))
+    good = rows.filter(norm(x) > 0).select(F.col(row_id).alias("id"), x.cast("array<double>").alias("v"))
     few = good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
-    p = far_apart(np.array([r["v"] for r in few]), min(pivots, -(-2 * good.count() // block))) if few else np.zeros((0, 0))
+    p = far_apart(_units(np.array([r["v"] for r in few])), min(pivots, -(-2 * good.count() // block))) if few else np.zeros((0, 0))
 
     def nearest(batches):
         for b in batches:
             if len(b):
-                v = b.column("v").flatten().to_numpy().reshape(len(b), -1)
+                v = _units(b.column("v").flatten().to_numpy().reshape(len(b), -1))
                 s = v @ p.T
                 near = 2 * s.argmax(1) + (s.max(1) < np.cos(NEAR))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(near.astype(np.int32))], names=["id", "v", "near"])
+                lists = pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("id"), lists, pa.array(near.astype(np.int32))], names=["id", "v", "near"])
 
     schema = T.StructType([*good.schema.fields, T.StructField("near", T.IntegerType())])
     near = written(good.mapInArrow(nearest, schema), "pivoted")
