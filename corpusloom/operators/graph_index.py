@@ -5,7 +5,7 @@ partition is one record of the stored index, so that a search reads it in place,
 node. A node stands in layer 0 and, with a chance that falls by LINKS, in each layer above. Its links in a layer are chosen
 among its nearest nodes there: one that is nearer to the node than to any link chosen before it goes first, so that links
 lead into all directions; links back are kept up to a bound, and what no path reaches is linked with the nearest node
-that is reached. A search descends greedily and walks layer 0 with a bounded heap of candidates.
+that is reached. Paths lead from each node of a layer to every other. A search descends greedily and walks layer 0 with a bounded heap of candidates.
 
 Rows whose vector is null, zero or not of the first dimension are in no graph.
 """
@@ -62,20 +62,32 @@ def _both_ways(n: int, links: int, src: np.ndarray, dst: np.ndarray, sim: np.nda
 
 
 def _reach(x: np.ndarray, links: list[list[int]]) -> None:
-    """Adds links, both ways, until paths lead from the first node to every other."""
+    """Adds links until paths lead from each node to every other: a search may begin at any of them.
+
+    A node has a link back to the one it is first reached from, so that paths lead to the first node as well as from it.
+    """
     seen = np.zeros(len(x), bool)
 
     def walk(nodes: list[int]) -> None:
         seen[nodes] = True
         while nodes:
-            nodes = [j for i in nodes for j in links[i] if not seen[j] and not seen.__setitem__(j, True)]
+            reached = []
+            for i in nodes:
+                for j in links[i]:
+                    if not seen[j]:
+                        seen[j] = True
+                        reached.append(j)
+                        if i not in links[j]:
+                            links[j].append(i)
+            nodes = reached
 
     walk([0])
     for i in np.flatnonzero(~seen).tolist():
         if not seen[i]:
             near = int(np.argmax(np.where(seen, x @ x[i], -np.inf)))
             links[near].append(i)
-            links[i].append(near)
+            if near not in links[i]:  # a second link would bring a node twice
+                links[i].append(near)
             walk([i])
 
 

@@ -69,6 +69,11 @@ def test_clusters_are_linked():
     for i in range(0, len(x), 7):
         found, _ = graph.nearest(x[i], len(x))
         assert len(found) == len(x)
+    for layer, (offsets, _) in enumerate(graph.layers):
+        there = np.flatnonzero(np.diff(offsets))
+        for start in there:  # wherever a search begins, it comes to all nodes of the layer
+            found, _ = graph._walk(x[start], layer, [(1.0, int(start))], len(x))
+            assert sorted(i for _, i in found) == list(there)
 
 
 def test_search_uses_the_index_on_request(spark):
