@@ -220,6 +220,10 @@ PAYLOAD = {
 }
 
 
+#: Rows of a part of a view that payload takes to the driver, at most.
+PAYLOAD_ROWS = 100_000
+
+
 def check_payload(view: dict[str, DataFrame]) -> None:
     """A ValueError that names what a view lacks, or has with another type; further columns are allowed. No job runs."""
     wrong = [f"no {part}" for part in PAYLOAD if part not in view]
@@ -230,10 +234,28 @@ def check_payload(view: dict[str, DataFrame]) -> None:
         raise ValueError("; ".join(sorted(wrong)))
 
 
-def payload(view: dict[str, DataFrame]) -> str:
-    """A view, bounded by its caller, as one JSON object of lists of records: what a front end reads."""
+def _records(df: DataFrame) -> DataFrame:
+    return df.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def payload(view: dict[str, DataFrame], most: int = PAYLOAD_ROWS) -> str:
+    """A view as one JSON object of lists of records: what a front end reads. A part of more than `most` rows is a ValueError,
+    and comes to the driver no further than to tell; such views are written by write_payload."""
+    check_payload(view)
+    parts = []
+    for name, df in view.items():
+        rows = _records(df.limit(most + 1)).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows")
+        parts.append(f"{json.dumps(name)}:[{','.join(r[0] for r in rows)}]")
+    return "{" + ",".join(parts) + "}"
+
+
+def write_payload(view: dict[str, DataFrame], path: str) -> None:
+    """A view of any size: a folder for each part, with its records as JSON lines in the order of the view. No row passes through the driver."""
     check_payload(view)
-    return "{" + ",".join(f"{json.dumps(name)}:[{','.join(r[0] for r in df.select(F.to_json(F.struct("*"))).collect())}]" for name, df in view.items()) + "}"
+    for name, df in view.items():
+        _records(df).write.mode("overwrite").text(f"{path}/{name}")
 
 
 def create_search_service(spark: SparkSession, chunks_path: str, entries_path: str | None = None, embedder=None, reranker=None) -> SearchService:

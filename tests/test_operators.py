@@ -9,7 +9,7 @@ from corpusloom.functions import models
 from corpusloom.operators import chunking, classify, graph, retrieval
 from corpusloom.plans import build, service
 from corpusloom.plans.evaluate import evaluate
-from corpusloom.plans.service import GraphService, SearchService, create_search_service, payload
+from corpusloom.plans.service import GraphService, SearchService, create_search_service, payload, write_payload
 from corpusloom.sources import html, json_array, snapshots, store
 
 
@@ -181,6 +181,13 @@ def test_missing_entries_and_payload(spark, tmp_path):
     service = GraphService(nodes, edges, edges.select("src", "dst", F.lit(0.9).alias("similarity")), spark.createDataFrame([("a", " The  lead. ")], "entry_slug string, lead string"))
     view = json.loads(payload(service.get_neighborhood("a")))
     assert {r["slug"]: r.get("lead") for r in view["nodes"]} == {"a": "The lead.", "b": None} and view["explicit_edges"] == [{"src": "a", "dst": "b", "weight": 2}]
+    near = service.get_neighborhood("a")
+    with pytest.raises(ValueError, match="nodes has more than 1 rows"):
+        payload(near, 1)
+    write_payload(near, f"file://{tmp_path}/view")
+    for part, rows in view.items():
+        lines = [line for file in sorted((tmp_path / "view" / part).glob("*.txt")) for line in file.read_text().splitlines()]
+        assert [json.loads(line) for line in lines] == rows
     assert service.health() == {"entries": 2, "explicit_edges": 1, "semantic_edges": 1}
 
 
