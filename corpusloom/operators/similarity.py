@@ -4,13 +4,15 @@ Rows gather around pivots (PIVOTS at most, far from one another, out of SAMPLE r
 those within NEAR of it apart from the others. A block has, for every pivot, the
 least and the greatest angle of its rows to it. By the triangle inequality two rows are at least as far apart as their angles
 to a pivot differ, so two blocks whose ranges lie too far apart at any pivot hold no pair over the threshold and never meet.
-Each two blocks that are left meet once, as packed records in one bounded task that gives both directions.
+Each two blocks that are left meet once, and give both directions. Blocks are dealt into groups, and two groups are a cell, one
+bounded task: so a block is shuffled once for each group, a fixed number of times, and not once for each block that it meets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,9 @@ SAMPLE, NEAR = 4096, np.pi / 4
 #: Pivots, rows of a block, and queries of a block. What rounding may take from an angle.
 PIVOTS, BLOCK, QUERIES, ROUNDING = 256, 2048, 1024, 1e-6
 
+#: Groups of blocks, at least, and the bytes of vectors in one; more rows than these hold make more groups.
+GROUPS, GROUP_BYTES = 12, 1 << 26
+
 #: Queries of a batch that the driver passes to tasks; a larger set is no batch of stated queries.
 MOST_QUERIES = 65_536
 
@@ -87,7 +92,7 @@ def block_pairs(packed: DataFrame, blocks: int, pivots: np.ndarray, least: float
     left = ranges.select("mine", F.col("lo").alias("a"), F.col("hi").alias("b"), F.explode(F.sequence(F.col("mine"), F.lit(blocks - 1))).alias("other")).filter("mine < other")
     both = left.join(ranges.select(F.col("mine").alias("other"), "lo", "hi"), "other")
     gaps = F.zip_with(F.zip_with("lo", "b", lambda x, y: x - y), F.zip_with("a", "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y))
-    return both.withColumn("gap", F.greatest(F.array_max(gaps), F.lit(0.0))).filter(F.cos(F.col("gap") - ROUNDING) >= least).select("mine", "other", "gap")
+    return both.withColumn("gap", F.greatest(F.array_max(gaps), F.lit(0.0))).filter(F.cos(F.greatest(F.col("gap") - ROUNDING, F.lit(0.0))) >= least).select("mine", "other", "gap")
 
 
 def _best(s: np.ndarray, names: np.ndarray, threshold: float, k: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +107,44 @@ def _best(s: np.ndarray, names: np.ndarray, threshold: float, k: int | None) ->
     return np.nonzero(s > threshold)
 
 
+class _Top:
+    """The k best of each row of a cell so far: scores and places in the order of names. least: what a score must reach to come in."""
+
+    def __init__(self, rows: int, threshold: float, k: int):
+        self.scores, self.places = np.full((rows, k), -np.inf), np.zeros((rows, k), np.int64)
+        self.least, self.k = np.full(rows, np.nextafter(threshold, 2)), k
+
+    def add(self, first: int, s: np.ndarray, places: np.ndarray) -> None:
+        """s: rows from `first` on against columns of these places."""
+        least = self.least[first : first + len(s)]
+        i, j = np.nonzero(s >= least[:, None])
+        if len(i) > 64 * len(s) and s.shape[1] > self.k:
+            i, j = np.nonzero(s >= np.maximum(-np.partition(-s, self.k - 1, axis=1)[:, self.k - 1], least)[:, None])
+        rows = np.unique(i)
+        at = np.concatenate([i, np.repeat(rows, self.k)])
+        score = np.concatenate([s[i, j], self.scores[first + rows].ravel()])
+        place = np.concatenate([places[j], self.places[first + rows].ravel()])
+        order = np.lexsort((place, -score, at))
+        at, score, place = at[order], score[order], place[order]
+        n = np.arange(len(at)) - np.searchsorted(at, at)
+        at, score, place, n = (x[n < self.k] for x in (at, score, place, n))
+        self.scores[first + at, n], self.places[first + at, n] = score, place
+        self.least[first + rows] = np.maximum(self.least[first + rows], self.scores[first + rows, -1])
+
+
+def celled(pairs: DataFrame, packed: DataFrame, blocks: int, row_bytes: int) -> DataFrame:
+    """(cell, mine, ids, vs, partners) of pairs(mine, other, gap): a cell is two groups of blocks, a partition of its own. A block is
+    sent to each cell that has a pair of it, as often as there are groups at most, not once a pair; partners are the others of its pairs."""
+    groups = min(blocks, max(GROUPS, -(-blocks * row_bytes // GROUP_BYTES)))
+    i, j = (F.pmod(F.col(c), F.lit(groups)) for c in ("mine", "other"))
+    high = F.greatest(i, j)
+    told = pairs.withColumn("cell", (high * (high + 1) / 2 + F.least(i, j)).cast("int"))
+    here = told.groupBy("cell", "mine").agg(F.collect_list(F.struct("other", "gap")).alias("partners"))
+    there = told.select("cell", F.col("other").alias("mine"), F.filter(F.array(F.struct("other", "gap")), lambda _: F.lit(False)).alias("partners"))
+    needed = here.unionByName(there.distinct()).groupBy("cell", "mine").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+    return packed.join(written(needed, "cells"), "mine").repartitionById(groups * (groups + 1) // 2, F.col("cell"))
+
+
 def similar_pairs(rows: DataFrame, threshold: float, row_id: str, k: int | None = None, block: int = BLOCK, embedding: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
     """(src, dst, similarity) of all ordered pairs of different rows with a cosine over the threshold; with k, each row's k most similar only.
 
@@ -113,28 +156,55 @@ def similar_pairs(rows: DataFrame, threshold: float, row_id: str, k: int | None
     schema = T.StructType([T.StructField("src", kind), T.StructField("dst", kind), T.StructField("similarity", T.DoubleType())])
     if not blocks:
         return rows.sparkSession.createDataFrame([], schema)
-    wanted = to_arrow_schema(schema)
+    wanted, width = to_arrow_schema(schema), p.shape[1]
+
+    def matched(x, y, i, j, s):
+        return pa.RecordBatch.from_arrays([x.take(pa.array(i)), y.take(pa.array(j)), pa.array(s)], schema=wanted)
 
-    def matched(batches):
+    def within(batches):
         for b in batches:
             for r in range(len(b)):
-                (a, na), (c, nc) = ((b.column(v)[r].values.to_numpy().reshape(len(b.column(i)[r]), -1), b.column(i)[r].values) for v, i in (("vs", "ids"), ("others", "names")))
-                names = [np.array(x.to_pylist()) for x in (na, nc)]
-                s = np.clip(a @ c.T, -1, 1)
-                same = b.column("same")[r].as_py()
-                if same:
-                    np.fill_diagonal(s, -2)
-                found = [(na, nc, *_best(s, names[1], threshold, k), s)]
-                if not same:
-                    found.append((nc, na, *_best(s.T, names[0], threshold, k), s.T))
-                for x, y, i, j, of in found:
-                    yield pa.RecordBatch.from_arrays([x.take(pa.array(i)), y.take(pa.array(j)), pa.array(of[i, j])], schema=wanted)
-
-    columns = ["ids", "vs", "names", "others", "same"]
-    diagonal = packed.select("mine", "ids", "vs", F.col("ids").alias("names"), F.col("vs").alias("others"), F.lit(True).alias("same"))
+                ids, v = b.column("ids")[r].values, b.column("vs")[r].values.to_numpy().reshape(-1, width)
+                s = np.clip(v @ v.T, -1, 1)
+                np.fill_diagonal(s, -2)
+                i, j = _best(s, np.array(ids.to_pylist()), threshold, k)
+                yield matched(ids, ids, i, j, s[i, j])
+
+    def between(batches):
+        cells = {}
+        for b in batches:
+            for r in range(len(b)):
+                cells.setdefault(b.column("cell")[r].as_py(), []).append([b.column(c)[r] for c in ("mine", "ids", "vs", "partners")])
+        for cell in cells.values():
+            ids, vs = [x.values for _, x, _, _ in cell], [x.values.to_numpy().reshape(-1, width) for _, _, x, _ in cell]
+            at = {m.as_py(): n for n, (m, _, _, _) in enumerate(cell)}
+            first = np.cumsum([0, *map(len, ids)])
+            meet = sorted((x["gap"], n, at[x["other"]]) for n, (_, _, _, partners) in enumerate(cell) for x in partners.as_py())
+            if k is not None:
+                named = pa.concat_arrays(ids)
+                ordered = named.take(named_order := pc.sort_indices(named))
+                places = np.empty(len(named), np.int64)
+                places[named_order.to_numpy()] = np.arange(len(named))
+                top = _Top(len(named), threshold, k)
+            for gap, m, n in meet:
+                one, two = slice(first[m], first[m + 1]), slice(first[n], first[n + 1])
+                if k is not None and np.cos(max(gap - ROUNDING, 0.0)) < min(top.least[one].min(), top.least[two].min()):
+                    continue
+                s = vs[m] @ vs[n].T
+                np.clip(s, -1, 1, out=s)
+                if k is None:
+                    i, j = np.nonzero(s > threshold)
+                    yield matched(ids[m], ids[n], i, j, s[i, j])
+                    yield matched(ids[n], ids[m], j, i, s[i, j])
+                else:
+                    top.add(first[m], s, places[two])
+                    top.add(first[n], s.T, places[one])
+            if k is not None:
+                i, n = np.nonzero(top.scores > -np.inf)
+                yield matched(named, ordered, i, top.places[i, n], top.scores[i, n])
+
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))
-    top = (lambda df: df.withColumn("_n", rank).filter(F.col("_n") <= k).drop("_n")) if k is not None else (lambda df: df)
-    inside = diagonal.repartition("mine").select(*columns).mapInArrow(matched, schema)
+    inside = packed.repartition("mine").select("ids", "vs").mapInArrow(within, schema)
     pairs = block_pairs(packed, blocks, p, threshold)
     if k is not None:
         inside = written(inside, "inside-blocks")
@@ -142,11 +212,10 @@ def similar_pairs(rows: DataFrame, threshold: float, row_id: str, k: int | None
         floor = packed.select("mine", F.explode("ids").alias("src")).join(present, "src", "left")
         floor = floor.groupBy("mine").agg(F.min(F.when(F.col("n") >= k, F.col("s")).otherwise(threshold)).alias("floor"))
         pairs = pairs.join(floor.withColumnRenamed("floor", "f1"), "mine").join(floor.select(F.col("mine").alias("other"), F.col("floor").alias("f2")), "other")
-        pairs = pairs.filter(F.cos(F.col("gap") - ROUNDING) >= F.least("f1", "f2"))
-    pairs = written(pairs.select("mine", "other"), "block-pairs")
-    across = pairs.join(packed, "mine").join(packed.select(F.col("mine").alias("other"), F.col("ids").alias("names"), F.col("vs").alias("others")), "other")
-    across = across.select(*columns[:-1], F.lit(False).alias("same")).mapInArrow(matched, schema)
-    return top(inside.unionByName(across))
+        pairs = pairs.filter(F.cos(F.greatest(F.col("gap") - ROUNDING, F.lit(0.0))) >= F.least("f1", "f2"))
+    pairs = written(pairs.select("mine", "other", "gap"), "block-pairs")
+    both = inside.unionByName(celled(pairs, packed, blocks, block * width * 8).mapInArrow(between, schema))
+    return both if k is None else both.withColumn("_n", rank).filter(F.col("_n") <= k).drop("_n")
 
 
 def batch_top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, embedding: str = "embedding") -> DataFrame:

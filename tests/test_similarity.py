@@ -46,6 +46,27 @@ def test_blocks_that_cannot_reach_the_threshold_do_not_meet(spark):
     assert edges == {(a, b) for a, b in best if a < b and (b, a) in best}
 
 
+def test_a_block_is_sent_once_a_group(spark):
+    rows, df = table(spark, np.random.default_rng(4), 800, 8, 20, 0.5)
+    packed, blocks, pivots = similarity.pivoted(df, "id", block=16)
+    pairs = similarity.block_pairs(packed, blocks, pivots, -1.0)
+    cells = similarity.celled(pairs, packed, blocks, 16 * 8 * 8).cache()
+    assert pairs.count() == blocks * (blocks - 1) // 2 > 2 * cells.count() and cells.count() <= blocks * similarity.GROUPS
+    met = [(r["cell"], r["mine"], p["other"]) for r in cells.select("cell", "mine", "partners").collect() for p in r["partners"]]
+    assert len(met) == len({m[1:] for m in met}) == pairs.count()
+    there = {(r["cell"], r["mine"]) for r in cells.select("cell", "mine").collect()}
+    assert all((c, other) in there for c, _, other in met)
+    best = all_pairs(rows, -1.0, 4)
+    assert {(r["src"], r["dst"]) for r in similarity.similar_pairs(df, -1.0, "id", 4, block=16).collect()} == best.keys()
+
+
+def test_equal_similarities_go_by_name(spark):
+    df = spark.createDataFrame([(f"r{i:03d}", [float(i % 2), float(1 - i % 2)]) for i in reversed(range(60))], SCHEMA)
+    found = similarity.similar_pairs(df, 0.9, "id", 2, block=7)
+    alike = {i: [f"r{j:03d}" for j in range(60) if j % 2 == i % 2 and j != i][:2] for i in range(60)}
+    assert {(r["src"], r["dst"]) for r in found.collect()} == {(f"r{i:03d}", j) for i, js in alike.items() for j in js}
+
+
 def test_batch(spark):
     rows, df = table(spark, np.random.default_rng(3), 300, 8, 10, 0.5)
     asked = [(i, rows[i * 7][1]) for i in range(20)] + [(50, [0.0] * 8)]
