@@ -10,9 +10,27 @@ from pyspark.sql import functions as F
 from ..constants import ENTRY_NAMESPACE, NOT_WS, RERANK_OUTLINE_LINES, RERANK_OVERVIEW_WORDS, STOPWORDS, WS
 
 
+#: NOT_WS for Java, with the common characters first; the white space that doesn't belong to a text's words is never tried again (++, *+).
+_W = rf"[!-~\xa1-\x{{167f}}{NOT_WS}]"
+
+
+def word_run(n: int) -> str:
+    """A pattern: the longest run of at most n words, of those that are left."""
+    return rf"{_W}++(?:{WS}++{_W}++){{0,{n - 1}}}+"
+
+
+def on_one_line(run: Column) -> Column:
+    return F.regexp_replace(run, f"{WS}++", " ")
+
+
+def first_words(c: Column, n: int) -> Column:
+    """The first n words (1 at least), on one line: nothing after them is looked at."""
+    return on_one_line(F.regexp_extract(c, f"^{WS}*+({word_run(n)})", 1))
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.regexp_extract(c, f"(?s)^{WS}*+(.*{_W})", 1)
 
 
 def fix_mojibake(c: Column) -> Column:
@@ -55,7 +73,7 @@ def clean_text(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(f"{NOT_WS}+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(f"{_W}++"), F.lit(0))
 
 
 def word_count(c: Column) -> Column:
@@ -64,12 +82,13 @@ def word_count(c: Column) -> Column:
 
 def truncate_words(c: Column, n: int) -> Column:
     """The text as it is if it has at most n words, else its first n words on one line."""
-    return F.when(word_count(c) <= n, strip(c)).otherwise(F.array_join(F.slice(words(c), 1, n), " "))
+    return F.when(c.rlike(f"^{WS}*+(?:{_W}++{WS}++){{{n}}}+{_W}"), first_words(c, n)).otherwise(strip(c))
 
 
 def trim_to_words(c: Column, n: Column | int) -> Column:
     """The first n words of the normalised text, on one line."""
-    return F.array_join(F.slice(words(normalize_whitespace(c)), F.lit(1), n if isinstance(n, Column) else F.lit(n)), " ")
+    c = fix_mojibake(c)  # white space of any kind parts words alike
+    return first_words(c, n) if not isinstance(n, Column) and n > 0 else F.array_join(F.slice(words(c), F.lit(1), n if isinstance(n, Column) else F.lit(n)), " ")
 
 
 def trailing_words(c: Column, n: int) -> Column:

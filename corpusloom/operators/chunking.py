@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import MAX_OVERLAP_SENTENCE, MAX_WORDS, MIN_WORDS, OVERLAP_WORDS, WINDOW_WORDS, WS
-from ..functions.text import fix_mojibake, normalize_whitespace, strip, uuid5, words
+from ..functions.text import fix_mojibake, on_one_line, strip, uuid5, word_run
 
 #: Where a sentence ends, before a capital or a digit; and where it may end else.
 _STRONG_END, _ANY_END = r"(?<=[.!?]){}+(?=[\"'(\[]?[A-Z0-9])", r"(?<=[.!?]){}+"
@@ -33,10 +33,8 @@ def split_sentences(normal: Column) -> Column:
 
 
 def word_windows(text: str) -> Column:
-    """Runs of WINDOW_WORDS words of a column."""
-    w = words(normalize_whitespace(F.col(text)))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(WINDOW_WORDS))
-    return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(WINDOW_WORDS)), " ")), lambda x: x != "")
+    """Runs of WINDOW_WORDS words of a column, each matched as one, so that a text is gone through once."""
+    return F.transform(F.regexp_extract_all(fix_mojibake(F.col(text)), F.lit(word_run(WINDOW_WORDS)), F.lit(0)), on_one_line)
 
 
 def _tidy(text: str) -> str:

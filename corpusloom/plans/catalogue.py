@@ -263,7 +263,9 @@ def split_sentences(spark, sf_dir):
 @query(f"""with w as (select doc_id, {_NW} as w from documents)
 select doc_id, cast(i // 350 as int) as chunk_index, array_to_string(w[i + 1:i + 350], ' ') as chunk_text from (select doc_id, w, unnest(range(0, len(w), 350)) as i from w)""")
 def chunk_words(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.word_windows("text")).alias("chunk_index", "chunk_text"))
+    # outer, since a plain explode brings a filter on the size, which makes the windows once more
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(chunking.word_windows("text")).alias("chunk_index", "chunk_text"))
+    return rows.filter("chunk_text is not null")
 
 
 def _sentences_sql(t: str) -> str:
