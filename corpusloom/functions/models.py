@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from .text import lexical_tokens
 
 
+#: Texts that the hashing embedder counts at once.
+AT_ONCE = 512
+
+
 class Embedder(Protocol):
     dimension: int
 
@@ -39,12 +43,15 @@ class HashEmbedder:
         n = self.dimension
 
         @F.pandas_udf("array<float>")
-        def summed(places: pd.Series) -> pd.Series:
-            count = np.array([0 if p is None else len(p) for p in places])
-            flat = np.concatenate([np.zeros(0, np.int64), *[p for p in places if p is not None and len(p)]]).astype(np.int64)
-            row = np.repeat(np.arange(len(places)), count)
-            total = np.bincount(row * n + flat // 2, 1.0 - 2.0 * (flat % 2), len(places) * n)
-            return pd.Series(list(total.reshape(-1, n).astype(np.float32)))
+        def summed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                for i in range(0, len(batch), AT_ONCE):
+                    places = batch.iloc[i : i + AT_ONCE]
+                    count = np.array([0 if p is None else len(p) for p in places])
+                    flat = np.concatenate([np.zeros(0, np.int64), *[p for p in places if p is not None and len(p)]]).astype(np.int64)
+                    row = np.repeat(np.arange(len(places)), count)
+                    total = np.bincount(row * n + flat // 2, 1.0 - 2.0 * (flat % 2), len(places) * n)
+                    yield pd.Series(list(total.reshape(-1, n).astype(np.float32)))
 
         # of each token: twice its place, plus one where it counts as minus
         places = F.transform(lexical_tokens(text, True), lambda t: (F.pmod(F.xxhash64(t), F.lit(n)) * 2 + F.when(F.xxhash64(F.lit(1), t) % 2 == 0, 0).otherwise(1)).cast("int"))

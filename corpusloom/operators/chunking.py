@@ -8,6 +8,7 @@ time.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,9 @@ from pyspark.sql import types as T
 from ..constants import MAX_OVERLAP_SENTENCE, MAX_WORDS, MIN_WORDS, OVERLAP_WORDS, WINDOW_WORDS, WS
 from ..functions.text import fix_mojibake, on_one_line, strip, uuid5, word_run
 
+#: Sections whose chunks a task holds at once.
+AT_ONCE = 256
+
 #: Where a sentence ends, before a capital or a digit; and where it may end else.
 _STRONG_END, _ANY_END = r"(?<=[.!?]){}+(?=[\"'(\[]?[A-Z0-9])", r"(?<=[.!?]){}+"
 
@@ -93,8 +97,10 @@ def overlapping_chunks(text: str | None) -> list[str]:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _chunks_of(texts: pd.Series) -> pd.Series:
-    return pd.Series([overlapping_chunks(t) for t in texts.tolist()], dtype=object)
+def _chunks_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        for i in range(0, len(texts), AT_ONCE):
+            yield pd.Series([overlapping_chunks(t) for t in texts.iloc[i : i + AT_ONCE]], dtype=object)
 
 
 #: Told to be non-deterministic, since a filter on its size, which an explode brings, would else pack each text once more.
