@@ -33,6 +33,11 @@ def strip(c: Column) -> Column:
     return F.regexp_extract(c, f"(?s)^{WS}*+(.*{_W})", 1)
 
 
+def maybe_mojibake(c: Column) -> Column:
+    """Whether a text, or one of those joined in it, may be changed by fix_mojibake."""
+    return c.rlike(r"[\x{c3}\x{c2}\x{e2}\x{80}-\x{9f}]")
+
+
 def fix_mojibake(c: Column) -> Column:
     """UTF-8 that was read as Latin-1 (up to twice) set right; the whole text or nothing.
 
@@ -41,7 +46,7 @@ def fix_mojibake(c: Column) -> Column:
     """
 
     def garbled(x: Column) -> Column:
-        return x.rlike(r"[\x{c3}\x{c2}\x{e2}\x{80}-\x{9f}]") & ~x.rlike(r"[^\x{00}-\x{ff}]")
+        return maybe_mojibake(x) & ~x.rlike(r"[^\x{00}-\x{ff}]")
 
     def once(x: Column) -> Column:
         # encode() raises on what Latin-1 lacks, so only what passed the test reaches it

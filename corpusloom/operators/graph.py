@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import fix_mojibake
+from ..functions.text import fix_mojibake, maybe_mojibake
 from ..sources.html import placed
 from ..sources.store import written
 from .similarity import similar_pairs
 
 
+def _repaired_counts(counts: Column) -> Column:
+    """The entries (key, value) of a map with their keys repaired. Of keys that become one, the highest value stays.
+
+    Keys can only become one within their map, so that no grouping of all links is needed. Most maps have no key to repair.
+    """
+    pairs = F.sort_array(F.transform(F.map_entries(counts), lambda e: F.struct(fix_mojibake(e["key"]).alias("key"), e["value"].alias("value"))))
+    last = F.transform(F.array(pairs), lambda a: F.filter(a, lambda e, i: ~e["key"].eqNullSafe(F.get(a, i + 1)["key"])))
+    return F.when(maybe_mojibake(F.array_join(F.map_keys(counts), "")), F.get(last, F.lit(0))).otherwise(F.map_entries(counts))
+
+
 def explicit_edges(sections: DataFrame, valid: DataFrame) -> tuple[DataFrame, DataFrame]:
     """sections(section_ord, entry_slug, outbound_links, outbound_link_counts) -> edges (src, dst, weight), and those whose target isn't in valid(slug).
 
@@ -19,9 +29,10 @@ def explicit_edges(sections: DataFrame, valid: DataFrame) -> tuple[DataFrame, Da
     """
     src = sections.withColumn("src", fix_mojibake(F.col("entry_slug")))
     counts = F.coalesce("outbound_link_counts", F.map_from_arrays(F.array_distinct("outbound_links"), F.transform(F.array_distinct("outbound_links"), lambda _: F.lit(1))))
-    first = src.groupBy("src").agg(F.min_by(F.struct(counts.alias("counts")), "section_ord").alias("s"))
-    links = first.select("src", F.explode("s.counts").alias("dst", "weight")).withColumn("dst", fix_mojibake(F.col("dst"))).filter("src <> dst")
-    links = links.groupBy("src", "dst").agg(F.max("weight").alias("weight")).join(valid.select(F.col("slug").alias("src")), "src", "left_semi")
+    first = src.groupBy("src").agg(_repaired_counts(F.min_by(F.struct(counts.alias("counts")), "section_ord")["counts"]).alias("links"))
+    # Sources are checked while an entry is one row.
+    first = first.join(valid.select(F.col("slug").alias("src")), "src", "left_semi")
+    links = first.select("src", F.inline("links").alias("dst", "weight")).filter("src <> dst")
     targets = valid.select(F.col("slug").alias("dst"))
     return links.join(targets, "dst", "left_semi").select("src", "dst", "weight"), links.join(targets, "dst", "left_anti").select("src", "dst", "weight")
 

@@ -74,6 +74,18 @@ def test_explicit_edges(spark):
     assert [tuple(r) for r in skipped.collect()] == [("a", "zz", 1)]
 
 
+def test_explicit_edges_groups_entries_only(spark):
+    """Keys that become one do so within a map; no task holds all links of its entries in a hash table."""
+    good, once, twice = "caf\u00e9", "caf\u00c3\u00a9", "caf\u00c3\u0083\u00c2\u00a9"
+    rows = [(0, "a", None, {good: 1, once: 7, twice: 3, "b": 2}), (0, "b", None, {once: 1, good: None, "\u00e2": 4}), (0, once, [good, once, "a"], None), (0, "c", None, {}), (0, "d", None, None), (0, "z", ["a"], None)]
+    sections = spark.createDataFrame(rows, "section_ord int, entry_slug string, outbound_links array<string>, outbound_link_counts map<string,int>")
+    edges, skipped = graph.explicit_edges(sections, spark.createDataFrame([(x,) for x in ("a", "b", "c", "d", good)], "slug string"))
+    assert sorted(map(tuple, edges.collect())) == [("a", "b", 2), ("a", good, 7), ("b", good, 1), (good, "a", 1)]
+    assert [tuple(r) for r in skipped.collect()] == [("b", "\u00e2", 4)]
+    for df in (edges, skipped):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
 def test_graph_service(spark):
     entries = spark.createDataFrame([(x, x.upper()) for x in "abcde"], "entry_slug string, entry_title string")
     explicit = spark.createDataFrame([("a", "b", 1), ("b", "a", 2), ("a", "c", 1), ("a", "d", 1), ("c", "d", 1)], "src string, dst string, weight int")
