@@ -30,10 +30,10 @@ def explicit_edges(sections: DataFrame, valid: DataFrame) -> tuple[DataFrame, Da
     src = sections.withColumn("src", fix_mojibake(F.col("entry_slug")))
     counts = F.coalesce("outbound_link_counts", F.map_from_arrays(F.array_distinct("outbound_links"), F.transform(F.array_distinct("outbound_links"), lambda _: F.lit(1))))
     first = src.groupBy("src").agg(_repaired_counts(F.min_by(F.struct(counts.alias("counts")), "section_ord")["counts"]).alias("links"))
-    # Sources are checked while an entry is one row.
-    first = first.join(valid.select(F.col("slug").alias("src")), "src", "left_semi")
+    # Sources are checked while an entry is one row. Slugs aren't broadcast: made from numbers of a compressed table, they are far larger than Spark's size check takes them for.
+    first = first.join(valid.select(F.col("slug").alias("src")).hint("merge"), "src", "left_semi")
     links = first.select("src", F.inline("links").alias("dst", "weight")).filter("src <> dst")
-    targets = valid.select(F.col("slug").alias("dst"))
+    targets = valid.select(F.col("slug").alias("dst")).hint("merge")
     return links.join(targets, "dst", "left_semi").select("src", "dst", "weight"), links.join(targets, "dst", "left_anti").select("src", "dst", "weight")
 
 

@@ -84,6 +84,7 @@ def test_explicit_edges_groups_entries_only(spark):
     assert [tuple(r) for r in skipped.collect()] == [("b", "\u00e2", 4)]
     for df in (edges, skipped):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_graph_service(spark):
